@@ -65,12 +65,20 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
-    """Tells rows apart that carry the same id but different texts.
-
-    Exact repeats of a row share a key, and so share every result.
-    """
-    return F.sha2(F.concat_ws("\x00", F.col(id_column).cast("string"), text_of(text_column)), 256)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def kept_rows(df: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of a stored table whose numbers in the scan are (left_anti: are
+    not) in ``rows`` (column row)."""
+    number = unused(df, "_row")
+    out = df.withColumn(number, F.monotonically_increasing_id())
+    return out.join(rows.select(F.col("row").alias(number)), number, how).select(*(f"`{c}`" for c in df.columns))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, partitions, text_of, written
+from .common import BLANKS, kept_rows, partitions, text_of, written
 
 BLOCK_CHARS = 8192
 SALTS = 32
@@ -129,6 +129,4 @@ def keep_first(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     docs is a stored table: its scan must number rows alike each time, as
     scans of files do.
     """
-    kept = _groups(docs, block_chars).filter("first is null or row = first.row").select(F.col("row").alias("_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return kept_rows(docs, _groups(docs, block_chars).filter("first is null or row = first.row").select("row"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import kept_rows, partitions, written
 
 RADIUS = 3
 PARTS = 5
@@ -326,6 +326,5 @@ def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     docs is a stored table, whose scan numbers rows alike each time.
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = near_duplicates(docs, shingle, radius).groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    first = near_duplicates(docs, shingle, radius).groupBy("label").agg(F.min(order).alias("first"))
+    return kept_rows(docs, first.select(F.col("first.row").alias("row")))
