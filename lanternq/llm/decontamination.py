@@ -22,10 +22,12 @@ scan numbers rows alike each time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import kept_rows, text_of, written
 
 WINDOW = 8
 LITERALS = 4
@@ -47,13 +49,21 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _is_end(t: Column) -> Column:
     return F.substring(t, 1, 1).isin(".", "!", "?", "\n")
 
 
 def templates(tokens: Column) -> Column:
     """struct(raw, form) of each token that is no end of a sentence."""
+    return let(tokens, _templates)
+
 
+def _templates(tokens: Column) -> Column:
     def form(t: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(tokens, i - 1))
         first = F.substring(t, 1, 1)
@@ -70,7 +80,10 @@ def templates(tokens: Column) -> Column:
 
 def forms(tokens: Column) -> Column:
     """The forms of ``templates`` alone, as hashes."""
+    return let(tokens, _forms)
 
+
+def _forms(tokens: Column) -> Column:
     def form(t: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(tokens, i - 1))
         first = F.substring(t, 1, 1)
@@ -86,6 +99,10 @@ def forms(tokens: Column) -> Column:
 
 
 def window_hashes(hashes: Column, window: int) -> Column:
+    return let(hashes, lambda h: _window_hashes(h, window))
+
+
+def _window_hashes(hashes: Column, window: int) -> Column:
     starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(1), F.size(hashes) - window + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window)))
 
@@ -140,5 +157,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item of the benchmark."""
-    gone = written(leaks(docs, benchmark).select(F.col("row").alias("_row")).distinct(), "leaked_rows")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*docs.columns)
+    return kept_rows(docs, written(leaks(docs, benchmark).select("row").distinct(), "leaked_rows"), "left_anti")
