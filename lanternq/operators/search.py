@@ -75,7 +75,7 @@ def search_text(
 def search_patterns(lines: DataFrame, patterns: list[str], max_results: int = 100) -> DataFrame:
     """One scan for several patterns; a row for each (pattern, line)."""
     if not patterns:
-        return lines.withColumn("pattern", F.lit(None).cast("string")).filter(F.lit(False))
+        return lines.withColumn("rank", F.lit(0)).withColumn("pattern", F.lit(None).cast("string")).filter(F.lit(False))
     hit = F.array(*(F.when(F.col("line").rlike(effective(p)), F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern"))) for k, p in enumerate(patterns)))
     rows = lines.select("*", F.explode(F.array_compact(hit)).alias("hit")).select(*lines.columns, "hit.rank", "hit.pattern")
     return first_n_per_file(rows, max_results, "pattern")
