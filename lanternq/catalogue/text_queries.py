@@ -101,7 +101,7 @@ def search_cap_per_file(spark, sf_dir):
     return search.search_text(lines(spark, sf_dir), "th", max_results=3).select("path", "line_number", "line")
 
 
-_PATTERNS = ["threre", "queel+", r"\bachge"]
+_PATTERNS = ["threre", "queel+", "achge[a-z]*n"]
 
 
 @query(f"""WITH {LINES}, p AS (SELECT * FROM (VALUES {", ".join(f"({i}, {quoted(p)})" for i, p in enumerate(_PATTERNS))}) v(rank, pattern))

@@ -69,11 +69,6 @@ def max_tokens(chars: Column, chars_per_token: int = 4) -> Column:
     return F.greatest(F.lit(1), (chars / chars_per_token).cast("long")).cast("long")
 
 
-def numbered_line(number: Column, line: Column, marked: Column) -> Column:
-    mark = F.when(marked, " >>> ").otherwise("     ")
-    return F.concat(F.lpad(number.cast("string"), 4, " "), mark, right_stripped(line))
-
-
 def numbered(number: Column) -> Column:
     """The number in four places or more."""
     return F.when(number < 10000, F.lpad(number.cast("string"), 4, " ")).otherwise(number.cast("string"))
