@@ -148,7 +148,7 @@ def initial_search_top100(spark, sf_dir):
 
 
 @query(f"""WITH {LINES}, {TOP}, sem AS (SELECT path, line_number FROM lines WHERE regexp_matches(line, '(?i)threre')),
-    both_lists AS (SELECT path, line_number, NULL AS score, 0 AS origin FROM sem UNION ALL SELECT path, line_number, score, 1 FROM top)
+    both_lists AS (SELECT path, line_number, NULL AS score, 1 AS origin FROM sem UNION ALL SELECT path, line_number, score, 0 FROM top)
     SELECT path, line_number, round(coalesce(CAST(score AS DOUBLE), 0.0), 6) AS score, CAST(origin AS INTEGER) AS origin FROM both_lists
     QUALIFY row_number() OVER (PARTITION BY path, line_number ORDER BY origin) = 1""")
 def merge_results(spark, sf_dir):

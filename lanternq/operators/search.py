@@ -81,6 +81,12 @@ def search_patterns(lines: DataFrame, patterns: list[str], max_results: int = 10
     return first_n_per_file(rows, max_results, "pattern")
 
 
+def search_fuzzy(lines: DataFrame, word: str, most_edits: int = 1, max_results: int = 100) -> DataFrame:
+    """Lines with a word that a few edits turn into the one asked for (an extension)."""
+    near = F.exists(F.regexp_extract_all(F.lower("line"), F.lit(f"{WORD_CHAR}+"), F.lit(0)), lambda w: F.levenshtein(w, F.lit(word.lower()), most_edits) >= 0)
+    return first_n_per_file(lines.filter(near), max_results)
+
+
 def search_symbols(lines: DataFrame, name: str, kind: str | None = None, most: int = 20) -> DataFrame:
     """Lines that look like the definition of a name."""
     return search_patterns(lines, symbol_patterns(name, kind), most)
@@ -113,8 +119,8 @@ def initial_search(lines: DataFrame, keywords: list[str], most_per_file: int = 5
 
 
 def merge_results(keyword_hits: DataFrame, semantic_hits: DataFrame) -> DataFrame:
-    """Both lists by path and line, the semantic one first; missing scores count as zero."""
-    both = semantic_hits.withColumn("origin", F.lit(0)).unionByName(keyword_hits.withColumn("origin", F.lit(1)), allowMissingColumns=True)
+    """Both lists by path and line, where the keyword hit counts; missing scores count as zero."""
+    both = keyword_hits.withColumn("origin", F.lit(0)).unionByName(semantic_hits.withColumn("origin", F.lit(1)), allowMissingColumns=True)
     first = Window.partitionBy("path", "line_number").orderBy("origin")
     return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").withColumn("score", F.coalesce("score", F.lit(0.0)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import fixed
 from ..functions.text import language_of
-from ..operators import pack, search, structure
+from ..operators import graph, pack, search, structure
 from ..operators.graph import saved
 from ..sources.corpus import extension, lines
 from .prompt import prompt
@@ -22,6 +22,34 @@ def question_keywords(question: str) -> list[str]:
     return list(dict.fromkeys(plain + re.findall(fixed.QUOTED, question)))
 
 
+def question_terms(question: str) -> list[str]:
+    """What ``functions.text.key_terms`` gives, for one question on the driver."""
+    plain = [w for w in re.findall(fixed.IDENTIFIER, question) if len(w) > 2 and w.lower() not in fixed.TERM_STOPS]
+    return list(dict.fromkeys(plain + re.findall(fixed.QUOTED, question)))
+
+
+def code_map(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a corpus."""
+    parsed = structure.structure(files)
+    functions, classes = structure.functions(parsed), structure.classes(parsed)
+    imports, calls = structure.dependencies(files, parsed)
+    imports, calls = structure.resolved_imports(imports, files), structure.resolved_calls(calls, functions)
+    nodes = saved(graph.nodes(files, functions, classes, imports))
+    return nodes, saved(graph.with_ends(graph.edges(functions, classes, imports, calls), nodes))
+
+
+def semantic_hits(nodes: DataFrame, question: str, per_term: int = 10) -> DataFrame | None:
+    """path, line_number, score of the definitions that a question's terms name."""
+    out = None
+    for term in question_terms(question):
+        best = graph.semantic_search(nodes, term, per_term).select("id", "relevance")
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return None
+    places = out.groupBy("id").agg(F.max("relevance").alias("score")).join(nodes.select("id", "path", "start_line"), "id").filter("path is not null and start_line is not null")
+    return places.groupBy("path", F.col("start_line").alias("line_number")).agg(F.max("score").alias("score"))
+
+
 def context(files: DataFrame, question: str, config: Config = Config(), semantic_hits: DataFrame | None = None) -> DataFrame:
     """The packed files for a question: path, language, rank, n_matches,
     is_partial, size, content.  files has path, ext and content.
@@ -41,7 +69,7 @@ def context(files: DataFrame, question: str, config: Config = Config(), semantic
     found = by_file.select("path", "n_matches", F.row_number().over(Window.orderBy(F.desc("best"), "path")).alias("pos"))
     found = saved(found)
 
-    held = saved(files.join(F.broadcast(found.select("path")), "path", "left_semi").select("path", "ext", "content"))  # at most max_search_results paths
+    held = saved(files.join(F.broadcast(found.select("path")), "path", "left_semi").select("path", "ext", "content"))  # as many paths as results are kept, and ten a term
     parsed = structure.structure(held)
     spans = parsed.filter(F.col("kind").isin("function", "constructor", "class")).select("path", "start_line", "end_line")
     related = structure.related_files(structure.context_imports(held), files.select("path"), found, config.max_related_files)
@@ -71,5 +99,6 @@ def context(files: DataFrame, question: str, config: Config = Config(), semantic
 
 def ask(files: DataFrame, question: str, config: Config = Config()) -> DataFrame:
     """One row: question, prompt."""
-    packed = context(files, question, config)
+    hits = semantic_hits(code_map(files)[0], question) if config.semantic_analysis else None
+    packed = context(files, question, config, hits)
     return prompt(packed, question, question_keywords(question)).select(F.lit(question).alias("question"), "prompt")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lanternq.config import Config
 from lanternq.functions import scores, text
 from lanternq.operators import graph, pack, search, structure
-from lanternq.plans import cache, engine, prompt
+from lanternq.plans import cache, engine, progress, prompt
 from lanternq.sources import corpus
 from lanternq.streaming import live
 
@@ -159,6 +159,8 @@ def test_trees_and_prompts(spark, tmp_path):
     assert packed["src/util.py"].n_matches == 0
     answer = prompt.answers(engine.ask(good, "How does login work?")).first().answer
     assert "def login(user):" in answer
+    aware = engine.context(good, "Who calls login?", semantic_hits=engine.semantic_hits(engine.code_map(good)[0], "Who may check and login?"))
+    assert {r.path: r.n_matches for r in aware.collect()} == {"src/login.py": 1, "src/util.py": 1}
     assert prompt.answers(engine.ask(good, "what is the")).first().answer == "Nothing was found."
 
 
@@ -196,3 +198,21 @@ def test_history_and_parts(spark):
     assert prompt.history(more).orderBy("turn").collect()[-1].history == "user: hi\nassistant: yes\nuser: q"
     parts = spark.createDataFrame([(1, 0, True, "t"), (1, 1, False, "x"), (1, 2, False, "y")], "qid int, pos int, is_thought boolean, text string")
     assert tuple(prompt.split_parts(parts).first()) == (1, "t", "xy")
+
+
+def test_fuzzy_search(spark):
+    rows = lines_of(spark, "the handler", "a handlr here", "hand")
+    assert [r.line_number for r in search.search_fuzzy(rows, "Handler").orderBy("line_number").collect()] == [1, 2]
+
+
+def test_step_log(spark):
+    now = iter(range(100))
+    log = progress.StepLog(lambda: float(next(now)))
+    log.start("search")
+    log.complete("search", found=3)
+    log.start("parse")
+    log.fail("parse", "broken")
+    assert log.timing() == {"search": 1.0, "parse": 1.0, "total": 2.0} and log.steps["parse"].status == "failed"
+    df, seen = progress.observed(spark.range(5), "rows")
+    df.collect()
+    assert seen.get == {"rows": 5}
