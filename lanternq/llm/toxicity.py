@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ L2 = 0.02
 PENALTY = 1.0
 STEPS = 150
 CALIBRATE = 5
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Families of identity terms; each is swapped within its family.
 IDENTITY_FAMILIES = tuple(
     tuple(x.split())
@@ -108,7 +109,7 @@ class Model:
         return Remembered(lambda raw: sum(get(f, 0.0) for f in features_of(raw)), REMEMBERED)
 
 
-def _swapped(rows: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _swapped(rows: Iterable[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pair, feature, change) of the feature counts between a text and its
     counterfactual; one pair for each text and identity term in it."""
     other = {t: family[(i + 1) % len(family)] for family in IDENTITY_FAMILIES for i, t in enumerate(family)}
@@ -140,20 +141,28 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     return model
 
 
+class _Words:
+    """The distinct words of each text, made when asked for."""
+
+    def __init__(self, texts: list[str | None]):
+        self.texts = texts
+
+    def __iter__(self) -> Iterator[set[str]]:
+        return map(words, self.texts)
+
+
 def _fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
     positive = float(y.sum())
     if not 0 < positive < len(y):
         return Model(-1e-9 if not len(y) else (2.0 if positive else -2.0), {})
-    rows = [words(t) for t in texts]
+    rows = _Words(texts)
     in_rows, in_toxic = Counter(), Counter()
-    counts = []
     for row, label in zip(rows, toxic):
-        own = Counter(f for raw in row for f in features_of(raw))
-        counts.append(own)
-        in_rows.update(own.keys())
+        own = {f for raw in row for f in features_of(raw)}
+        in_rows.update(own)
         if label:
-            in_toxic.update(own.keys())
+            in_toxic.update(own)
     share = positive / len(y)
     terms = {t for family in IDENTITY_FAMILIES for t in family}
 
@@ -164,14 +173,14 @@ def _fit(texts: list[str | None], toxic: list[int]) -> Model:
     frequent = [f for f, n in in_rows.items() if n >= LEAST_ROWS]
     chosen = sorted(frequent, key=lambda f: (f not in terms, -chi(f), f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
-    at, which, value = [], [], []
-    for i, own in enumerate(counts):
-        for f, n in own.items():
-            if f in index:
-                at.append(i)
-                which.append(index[f])
-                value.append(n)
-    at, which, value = np.array(at, np.int64), np.array(which, np.int64), np.array(value, float)
+    # Counted anew for the chosen features: counts of all would not fit a worker's share of memory.
+    at, which, value = array("q"), array("q"), array("d")
+    for i, row in enumerate(rows):
+        for f, n in Counter(f for raw in row for f in features_of(raw) if f in index).items():
+            at.append(i)
+            which.append(index[f])
+            value.append(n)
+    at, which, value = np.array(at), np.array(which), np.array(value)
     pair, swapped, change = _swapped(rows, index)
     pairs = int(pair.max()) + 1 if len(pair) else 0
 
