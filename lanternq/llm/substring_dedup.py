@@ -16,9 +16,9 @@ automaton.
 
 The automata of all shards grow with the corpus, so they are not broadcast
 whole: each is built in the task that its shard's passages are sent to.  A
-shard of more than ``SHARD_PASSAGES`` different passages is dealt by single
-windows instead (their 128-bit digests), each with its first document, which
-gives the same answer.
+shard of more than ``SHARD_PASSAGES`` different passages is anchored anew with
+longer anchors, which splits it and sets aside what only one document has; in
+the end an anchor is a whole window.
 
 Defined results: a null or blank text has no words; texts of fewer than
 ``WINDOW`` words lose nothing; rows with the same doc_id do not remove each
@@ -36,7 +36,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, written
@@ -149,10 +149,6 @@ def seen_in_shard(passages: list[tuple[int, list[bytes]]], window: int = WINDOW)
     return out
 
 
-def _digest(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
-
-
 # -- stages ---------------------------------------------------------------
 
 
@@ -209,12 +205,9 @@ def _passages(held: DataFrame, window: int) -> DataFrame:
                 for r in runs:
                     passage = b" ".join(words[r["first"] : r["first"] + r["count"] + window - 1])
                     out.append((row, document, r["key"], xxhash.xxh3_128_digest(passage), r["first"], r["count"], passage))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "document", "key", "digest", "first", "count", "passage"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PASSAGE_TYPES)], PASSAGE_NAMES)
 
-    return held.select("row", "document", "text", "runs").mapInArrow(
-        run, "row long, document long, key long, digest binary, first int, count int, passage binary"
-    )
+    return held.select("row", "document", "text", "runs").mapInArrow(run, PASSAGE_SCHEMA)
 
 
 def _seen(distinct: DataFrame, window: int) -> DataFrame:
@@ -242,20 +235,26 @@ def _seen(distinct: DataFrame, window: int) -> DataFrame:
     return dealt.select("key", "digest", "owner", "passage").mapInArrow(run, "key long, digest binary, owner long, seen array<int>")
 
 
-def _single_windows(passages: DataFrame, window: int) -> DataFrame:
-    """row, document, digest, at for each window of the passages."""
+def _anchored_anew(passages: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The passages cut by longer anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, document, first, count, passage in zip(*(batch.column(c).to_pylist() for c in ("row", "document", "first", "count", "passage"))):
+            for row, document, start, passage in zip(*(batch.column(c).to_pylist() for c in ("row", "document", "first", "passage"))):
                 words = passage.split()
-                out += [(row, document, _digest(words[i : i + window]), first + i) for i in range(count)]
+                for key, first, count in zip(*(x.tolist() for x in anchored_runs(words, window, anchor))):
+                    part = b" ".join(words[first : first + count + window - 1])
+                    out.append((row, document, key, xxhash.xxh3_128_digest(part), start + first, count, part))
             if out:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["row", "document", "digest", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PASSAGE_TYPES)], PASSAGE_NAMES)
+
+    return passages.select("row", "document", "first", "passage").mapInArrow(run, PASSAGE_SCHEMA)
 
-    return passages.select("row", "document", "first", "count", "passage").mapInArrow(run, "row long, document long, digest binary, at int")
+
+PASSAGE_SCHEMA = "row long, document long, key long, digest binary, first int, count int, passage binary"
+PASSAGE_NAMES = [x.split()[0] for x in PASSAGE_SCHEMA.split(", ")]
+PASSAGE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
 
 
 def _cut(held: DataFrame, window: int) -> DataFrame:
@@ -297,29 +296,33 @@ def _removals(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Dat
     held = _numbered(docs).join(own, "row").withColumn("document", document)
     held = written(held.select("row", "document", "text", "runs"), "held")
 
-    passages = written(_passages(held, window), "passages")
-    distinct = written(passages.groupBy("key", "digest").agg(F.min("document").alias("owner"), F.first("passage").alias("passage")), "distinct")
-    sizes = distinct.groupBy("key").count().filter(F.col("count") > 1)
-    big = written(sizes.filter(F.col("count") > SHARD_PASSAGES).select("key"), "big")
-    normal = distinct.join(big, "key", "left_anti")
-    seen = written(_seen(normal, window), "seen")
-    pointers = passages.select("row", "document", "key", "digest", "first", "count")
-    found = pointers.join(seen, ["key", "digest"]).select(
-        "row",
-        F.when(F.col("document") > F.col("owner"), F.sequence(F.col("first"), F.col("first") + F.col("count") - 1))
-        .otherwise(F.transform("seen", lambda i: i + F.col("first")))
-        .alias("at"),
-    )
-    found = found.filter(F.size("at") > 0)
-    if not big.isEmpty():
-        windows = written(_single_windows(passages.join(big, "key", "left_semi"), window), "windows")
-        firsts = written(windows.groupBy("digest").agg(F.min("document").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner"), "firsts")
-        more = windows.join(firsts, "digest").filter("document > owner").select("row", F.array("at").alias("at"))
-        found = found.unionByName(more)
+    passages, found = written(_passages(held, window), "passages"), None
+    while True:
+        distinct = written(passages.groupBy("key", "digest").agg(F.min("document").alias("owner"), F.first("passage").alias("passage")), "distinct")
+        sizes = distinct.groupBy("key").count().filter(F.col("count") > SHARD_PASSAGES)
+        big = written(sizes.select("key").filter(F.lit(anchor < window)), "big")
+        seen = written(_seen(distinct.join(big, "key", "left_anti"), window), "seen")
+        part = passages.drop("passage").join(seen, ["key", "digest"]).select("row", _seen_windows().alias("at")).filter(F.size("at") > 0)
+        found = part if found is None else found.unionByName(part)
+        if anchor >= window or big.isEmpty():
+            break
+        # Longer anchors, by three quarters of what they leave free of a window: few rounds.
+        anchor += -(-3 * (window - anchor) // 4)
+        passages = written(_anchored_anew(passages.join(big, "key", "left_semi"), window, anchor), "passages")
+        shared = written(passages.groupBy("key").agg(F.min("document").alias("a"), F.max("document").alias("b")).filter("a <> b").select("key"), "shared")
+        passages = written(passages.join(shared, "key", "left_semi"), "passages")
     seen_rows = found.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("seen"))
     return heads, held.select("row", "text").join(seen_rows, "row")
 
 
+def _seen_windows() -> Column:
+    """All windows of a passage that an earlier document owns, else the
+    owner's windows found in documents before it."""
+    every = F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)
+    own = F.transform("seen", lambda i: i + F.col("first"))
+    return F.when(F.col("document") > F.col("owner"), every).when(F.col("document") == F.col("owner"), own)
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs, and kept,
     the text that stays (null where the text is unchanged)."""
