@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternq.llm import chunked_bpe, decontamination, exact_dedup, simhash, toxicity
+from lanternq.llm import chunked_bpe, decontamination, exact_dedup, near_copies, toxicity
 from lanternq.llm.common import written
 from lanternq.llm.entries import TOKENIZERS, table
 
@@ -23,7 +23,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one_each(docs)
+    return near_copies.keep_one_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,254 @@
+"""Near copies: texts whose sets of five-word shingles are alike to 0.8 or more.
+
+Two such sets share an element among the first ``n - ceil(0.8 n) + 1`` of each
+in any common order (prefix filter), so the join on those elements loses no
+pair.  The order puts shingles that are common in a sample last; the sample
+only decides how many candidates there are.
+
+Rows that share an element form a bucket; of buckets with the same rows one is
+kept.  A parity sketch (each shingle flips one bit) differs in at most as many
+bits as the sets differ in elements, so the rows of a bucket are first parted
+by sketches, and only parts of two or more rows meet with their whole sets.
+There the similarity is exact.  Both steps search outward from one row at a
+time over those not reached yet and give parts or spanning edges, never pairs.
+
+Defined results: words are as in ``simhash``; a text of fewer than five words
+is one shingle; texts without words are alike; null counts as empty.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import partitions, unused, written
+from .simhash import components
+
+SHINGLE = 5
+#: The similarity as a fraction, so that it is compared in whole numbers.
+ALIKE = (4, 5)
+#: A shingle in this many rows of the sample is common; the most common are broadcast.
+SAMPLE, COMMON, COMMON_MAX = 16, 8, 100_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The set of shingle hashes, sorted."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    shingle = min(shingle, len(words))
+    count = len(words) - shingle + 1
+    rolled = np.full(count, shingle, np.uint64)
+    for j in range(shingle):
+        rolled = rolled * _ODD + hashes[j : j + count]
+    rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(rolled ^ (rolled >> np.uint64(29)))
+
+
+def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The elements of a set of which two alike sets share one."""
+    length = len(own) - -(-ALIKE[0] * len(own) // ALIKE[1]) + 1
+    late = np.isin(own, common)
+    return np.concatenate((own[~late], own[late]))[:length]
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the set's elements by their high bits, as bytes; two to the
+    power of what the set's size asks for, so that longer ones fold."""
+    bits = max(256, 1 << len(own).bit_length())
+    count = np.bincount((own >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits)
+    return np.packbits(count.astype(np.uint8) & 1)
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """Sketches of half the bits: neighbouring bits share their higher bits."""
+    bits = np.unpackbits(rows, axis=1)
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
+
+
+def _parts(count: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[list[tuple[int, int]]]:
+    """Spanning edges (from, to) of each connected part of two or more;
+    alike(i, others) says which of the others i is linked to."""
+    left, out = np.arange(count), []
+    while len(left) > 1:
+        todo, left, edges = [int(left[0])], left[1:], []
+        while todo and len(left):
+            i = todo.pop()
+            hit = alike(i, left)
+            if hit.any():
+                new = left[hit].tolist()
+                edges += [(i, j) for j in new]
+                todo += new
+                left = left[~hit]
+        if edges:
+            out.append(edges)
+    return out
+
+
+def sketched_parts(sizes: np.ndarray, sketches: list[bytes]) -> list[list[int]]:
+    """Parts of rows (indexes) that the sketches do not tell apart."""
+    widths = np.array([len(s) for s in sketches])
+    slot, tables = np.zeros(len(sketches), np.int64), {}
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        slot[at] = np.arange(len(at))
+        rows = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint8).reshape(len(at), w)
+        tables[w, w] = rows.view(np.uint64)
+        if w > 32:
+            tables[w, w // 2] = _folded(rows).view(np.uint64)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(others), bool)
+        n, w = sizes[i], int(widths[i])
+        fits = (sizes[others] * ALIKE[1] >= n * ALIKE[0]) & (n * ALIKE[1] >= sizes[others] * ALIKE[0])
+        # Sizes of alike sets differ by a quarter at most, so widths by a factor of two.
+        for v in (w // 2, w, 2 * w):
+            k = np.flatnonzero(fits & (widths[others] == v))
+            if len(k):
+                m = min(v, w)
+                differ = np.bitwise_count(tables[v, m][slot[others[k]]] ^ tables[w, m][slot[i]]).sum(axis=1, dtype=np.int64)
+                # Of a + b elements alike sets share 4/9 of a + b or more.
+                hit[k] = differ * (ALIKE[0] + ALIKE[1]) <= (sizes[others[k]] + n) * (ALIKE[1] - ALIKE[0])
+        return hit
+
+    return [[edges[0][0], *(j for _, j in edges)] for edges in _parts(len(sketches), alike)]
+
+
+def alike_edges(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning edges (indexes) of the sets that are alike to ``ALIKE``."""
+    sizes = np.array([len(s) for s in sets])
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        n, own = sizes[i], sets[i]
+        hit = np.zeros(len(others), bool)
+        fits = (sizes[others] * ALIKE[1] >= n * ALIKE[0]) & (n * ALIKE[1] >= sizes[others] * ALIKE[0])
+        for k in np.flatnonzero(fits).tolist():
+            other = sets[others[k]]
+            at = np.searchsorted(own, other)
+            both = int((own[np.minimum(at, n - 1)] == other).sum())
+            hit[k] = both * ALIKE[1] >= (n + len(other) - both) * ALIKE[0]
+        return hit
+
+    return [e for edges in _parts(len(sets), alike) for e in edges]
+
+
+# -- stages ---------------------------------------------------------------
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["h"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    many = sample.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MAX)
+    return np.sort(np.array([r.h for r in many.collect()], np.int64).view(np.uint64))
+
+
+def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """A head row for each document (h is null) and a row for each prefix element."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = np.asarray(batch.column("row"))
+            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            if not sets:
+                continue
+            size = pa.array([len(s) for s in sets], pa.int32())
+            sketches = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), size, sketches], ["row", "h", "size", "sketch"])
+            parts = [prefix(s, shared.value) for s in sets]
+            rows = np.repeat(row, [len(p) for p in parts])
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), pa.array(np.concatenate(parts).view(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["row", "h", "size", "sketch"]
+            )
+
+    return docs.select("row", "text").mapInArrow(run, "row long, h long, size int, sketch binary")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "row")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    return (list(group) for _, group in groupby(rows, key=lambda r: r[0]))
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """bucket, row of the parts of each bucket; a part is a bucket of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, members = [], []
+        for group in _grouped(batches):
+            for part in sketched_parts(np.array([r[2] for r in group]), [r[3] for r in group]):
+                part = sorted(group[i][1] for i in part)
+                name = xxhash.xxh3_64_intdigest(np.array(part, np.int64).tobytes())
+                buckets += [name - (1 << 63)] * len(part)
+                members += part
+            if len(members) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(members, pa.int64())], ["bucket", "row"])
+                buckets, members = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(members, pa.int64())], ["bucket", "row"])
+
+    return _dealt(rows).select("bucket", "row", "size", "sketch").mapInArrow(run, "bucket long, row long").distinct()
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            edges = alike_edges([np.frombuffer(r[2], np.uint64) for r in group])
+            if edges:
+                a, b = zip(*((group[i][1], group[j][1]) for i, j in edges))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _dealt(rows).select("bucket", "row", "own").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets(held: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), own], ["row", "own"])
+
+    return held.select("row", "text").mapInArrow(run, "row long, own binary")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Edges (a, b) between row numbers that span the same components as all
+    pairs of alike texts.  docs has stored columns row and text."""
+    scan = written(_prefixes(docs, _common(docs)), "prefixes")
+    heads, elements = scan.filter("h is null").select("row", "size", "sketch"), scan.filter("h is not null").select("row", "h")
+    shared = elements.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows")).filter("n > 1")
+    shared = written(shared.groupBy("n", "rows").agg(F.min("h").alias("h")).select("h"), "shared")
+    members = written(elements.join(shared, "h", "left_semi").withColumnRenamed("h", "bucket"), "members")
+    parts = written(_sketched(members.join(heads, "row")), "parts")
+    texts = docs.select("row", "text").join(parts.select("row").distinct(), "row", "left_semi")
+    sets = written(_sets(texts), "sets")
+    return written(_edges(parts.join(sets, "row")), "links")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of alike texts: the first by doc_id
+    (rows without one come last), then by place in the scan."""
+    number = unused(docs, "_row")
+    stored = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = stored.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labels = written(components(links(rows)), "components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = F.min(order).alias("first")
+    tied = rows.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row")
+    gone = tied.join(tied.groupBy("label").agg(first), "label").filter("row <> first.row").select(F.col("row").alias(number))
+    gone = written(gone, "gone")
+    return stored.join(gone, number, "left_anti").select(*(f"`{c}`" for c in docs.columns))
