@@ -13,9 +13,11 @@ Only DataFrame functions are used.  The benchmark's windows are broadcast if
 at most ``BROADCAST_WINDOWS`` of them exist; beyond that both sides are
 shuffled on the window's hash.
 
-Defined results: null and empty texts hold nothing; items of fewer than
-``WINDOW`` tokens, and windows with fewer than ``LITERALS`` plain words, are
-no evidence; equal items are reported one by one; rows that repeat are all
+Windows with fewer than ``LITERALS`` plain words count where their tokens
+themselves are the same.  An item of fewer than ``WINDOW`` tokens is a single
+window, so a very short one is found wherever its tokens stand in a row.
+
+Defined results: null and empty texts hold nothing; equal items are reported one by one; rows that repeat are all
 reported; an empty benchmark finds nothing.  docs is a stored table, whose
 scan numbers rows alike each time.
 """
@@ -107,13 +109,54 @@ def _window_hashes(hashes: Column, window: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window)))
 
 
+def _keyed_windows(hashes: Column, length: int) -> Column:
+    """struct(pos from 0, hash) of each window."""
+    return F.transform(window_hashes(hashes, length), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+
+
+def _as_words(tokens: Column) -> Column:
+    """Hashes of the tokens themselves; no form has such a hash."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.lit("\u0001word"), F.lower(t)))
+
+
+#: How a window is known: by its forms, by its forms with a first token as
+#: inside a sentence, by its tokens themselves.
+BY_FORM, BY_FIRST, BY_WORD = 0, 1, 2
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, item (tokens), bpos (from 0), hash of each telling window."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), text_of().alias("text"))
-    items = written(items.select("item", "item_id", templates(raw_tokens(F.col("text"))).alias("tokens"), forms(raw_tokens(F.col("text"))).alias("hashes")), "items")
-    rows = items.select("item", "item_id", "tokens", F.posexplode(window_hashes(F.col("hashes"), window)).alias("bpos", "hash"))
-    plain = F.filter(F.slice("tokens", F.col("bpos") + 1, window), lambda x: ~x["form"].startswith("\u0001"))
-    return written(rows.filter(F.size(plain) >= LITERALS), "benchmark_windows")
+    """item, item_id, tokens, length (of the item's windows), bpos (from 0),
+    kind and hash of each window; a short item is one window.
+
+    Windows of ``LITERALS`` plain words or more are known by their forms,
+    others by their tokens.  An item starts a sentence, but in a document its
+    first token may stand inside one or after a number, and so have another form.
+    """
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), templates(raw_tokens(text_of())).alias("tokens"))
+    items = written(items.filter(F.size("tokens") > 0).withColumn("length", F.least(F.size("tokens"), F.lit(window))), "items")
+    rows = items.withColumn("bpos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("length"))))
+    part = F.slice("tokens", F.col("bpos") + 1, F.col("length"))
+    first = F.get("tokens", F.lit(0))
+    sign = F.substring(first["raw"], 1, 1)
+    inside = F.when(F.col("bpos") == 0, F.when(sign != F.lower(sign), NAME).when(F.lower(first["raw"]).isin(UNITS), UNIT))
+    rows = rows.select("*", part.alias("part"), inside.alias("inside"))
+    plain = lambda x: F.size(F.filter(x, lambda t: ~t["form"].startswith("\u0001")))
+    rest = F.slice("part", 2, F.greatest(F.col("length") - 1, F.lit(0)))
+    rows = rows.select("*", plain(F.col("part")).alias("plain"), plain(rest).alias("plain_rest"))
+    hashed = lambda x: F.transform(x, lambda t: F.xxhash64(t["form"]))
+    keys = F.array(
+        F.when(F.col("plain") >= LITERALS, F.struct(F.lit(BY_FORM).alias("kind"), F.xxhash64(hashed(F.col("part"))).alias("hash"))),
+        F.when(
+            F.col("inside").isNotNull() & (F.col("plain_rest") >= LITERALS),
+            F.struct(F.lit(BY_FIRST).alias("kind"), F.xxhash64(F.concat(F.array(F.xxhash64("inside")), hashed(rest))).alias("hash")),
+        ),
+        F.when(
+            (F.col("plain") < LITERALS) | (F.col("inside").isNotNull() & (F.col("plain_rest") < LITERALS)),
+            F.struct(F.lit(BY_WORD).alias("kind"), F.xxhash64(_as_words(F.col("part.raw"))).alias("hash")),
+        ),
+    )
+    rows = rows.select("item", "item_id", "tokens", "length", "bpos", F.explode(keys).alias("key")).filter("key is not null")
+    return written(rows.select("item", "item_id", "tokens", "length", "bpos", "key.kind", "key.hash"), "benchmark_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -123,20 +166,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     known = written(wanted.select("hash").distinct(), "known_hashes")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     tokens = numbered.select("row", raw_tokens(F.col("text")).alias("t"))
-    hashes = tokens.select("row", forms(F.col("t")).alias("h"))
-    windows = hashes.select("row", F.posexplode(window_hashes(F.col("h"), window)).alias("pos", "hash"))
+    # Windows by tokens, and short ones, are only made if the benchmark has such.
+    kinds = wanted.select("length", (F.col("kind") == BY_WORD).alias("by_word")).distinct().collect()
+    by_form, by_word = (sorted(k.length for k in kinds if k.by_word == x) for x in (False, True))
+    words = F.filter("t", lambda t: ~_is_end(t))
+    hashes = tokens.select("row", forms(F.col("t")).alias("h"), *([let(words, _as_words).alias("w")] if by_word else []))
+    every = [_keyed_windows(F.col("h"), n) for n in by_form] + [_keyed_windows(F.col("w"), n) for n in by_word]
+    if not every:
+        every = [_keyed_windows(F.col("h"), window)]
+    windows = hashes.select("row", F.explode(F.concat(*every) if len(every) > 1 else every[0]).alias("at")).select("row", "at.pos", "at.hash")
     n_known = known.count()
     hits = windows.join(F.broadcast(known) if n_known <= BROADCAST_WINDOWS else known, "hash", "left_semi")
     hits = written(hits, "hits")
     # Every hit with each item that has the window; an alignment is a pair of
     # document and item at one distance.
-    paired = hits.join(wanted.select("hash", "item", "bpos"), "hash").groupBy("row", "item", (F.col("pos") - F.col("bpos")).alias("shift"))
-    paired = written(paired.agg(F.collect_set("bpos").alias("at")), "alignments")
+    paired = hits.join(wanted.select("hash", "item", "bpos", "kind"), "hash").groupBy("row", "item", (F.col("pos") - F.col("bpos")).alias("shift"))
+    paired = written(paired.agg(F.collect_set(F.struct("bpos", "kind")).alias("at")), "alignments")
     rows = written(paired.select("row").distinct(), "rows")
     texts = numbered.join(rows, "row").select("row", "doc_id", templates(raw_tokens(F.col("text"))).alias("theirs"))
-    items = wanted.select("item", "item_id", "tokens").dropDuplicates(["item"])
+    items = wanted.select("item", "item_id", "tokens", "length").dropDuplicates(["item"])
     both = paired.join(written(texts, "texts"), "row").join(items, "item")
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda b: F.sequence(b, b + window - 1))))
+    # A first token that has another form in the document must be the same there.
+    same = F.lower(F.get("tokens", F.lit(0))["raw"]) == F.lower(F.get("theirs", F.col("shift").cast("int"))["raw"])
+    both = both.withColumn("at", F.filter("at", lambda x: (x["kind"] != BY_FIRST) | same)).filter(F.size("at") > 0)
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["bpos"], x["bpos"] + F.col("length") - 1))))
     slots = F.transform(
         "covered",
         lambda b: F.struct(
