@@ -73,12 +73,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def kept_rows(df: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of a stored table whose numbers in the scan are (left_anti: are
-    not) in ``rows`` (column row)."""
-    number = unused(df, "_row")
-    out = df.withColumn(number, F.monotonically_increasing_id())
-    return out.join(rows.select(F.col("row").alias(number)), number, how).select(*(f"`{c}`" for c in df.columns))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written with a number for each row, and that column's name.
+
+    Numbers from a scan depend on how its files are split, which changes with
+    the executors at hand, so no later plan may derive them again.
+    """
+    number = unused(docs, "_row")
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+
+
+def kept_rows(stored: DataFrame, number: str, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of a table made by ``numbered`` whose numbers are (left_anti:
+    are not) in ``rows`` (column row), without the number."""
+    out = stored.join(rows.select(F.col("row").alias(number)), number, how)
+    return out.select(*(f"`{c}`" for c in stored.columns if c != number))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,8 +18,7 @@ themselves are the same.  An item of fewer than ``WINDOW`` tokens is a single
 window, so a very short one is found wherever its tokens stand in a row.
 
 Defined results: null and empty texts hold nothing; equal items are reported one by one; rows that repeat are all
-reported; an empty benchmark finds nothing.  docs is a stored table, whose
-scan numbers rows alike each time.
+reported; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, text_of, written
+from .common import kept_rows, numbered, text_of, written
 
 WINDOW = 8
 LITERALS = 4
@@ -160,12 +159,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """row (its number in the scan of docs), doc_id, item_id, covered (tokens
-    of the item that were found) and item_tokens for each leaked item."""
+    """row, doc_id, item_id, covered (tokens of the item that were found) and
+    item_tokens for each leaked item."""
+    return _leaks(*numbered(docs.select("doc_id", "text")), benchmark, window, share)
+
+
+def _leaks(stored: DataFrame, number: str, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     wanted = benchmark_windows(benchmark, window)
     known = written(wanted.select("hash").distinct(), "known_hashes")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    tokens = numbered.select("row", raw_tokens(F.col("text")).alias("t"))
+    docs = stored.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    tokens = docs.select("row", raw_tokens(F.col("text")).alias("t"))
     # Windows by tokens, and short ones, are only made if the benchmark has such.
     kinds = wanted.select("length", (F.col("kind") == BY_WORD).alias("by_word")).distinct().collect()
     by_form, by_word = (sorted(k.length for k in kinds if k.by_word == x) for x in (False, True))
@@ -183,7 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     paired = hits.join(wanted.select("hash", "item", "bpos", "kind"), "hash").groupBy("row", "item", (F.col("pos") - F.col("bpos")).alias("shift"))
     paired = written(paired.agg(F.collect_set(F.struct("bpos", "kind")).alias("at")), "alignments")
     rows = written(paired.select("row").distinct(), "rows")
-    texts = numbered.join(rows, "row").select("row", "doc_id", templates(raw_tokens(F.col("text"))).alias("theirs"))
+    texts = docs.join(rows, "row").select("row", "doc_id", templates(raw_tokens(F.col("text"))).alias("theirs"))
     items = wanted.select("item", "item_id", "tokens", "length").dropDuplicates(["item"])
     both = paired.join(written(texts, "texts"), "row").join(items, "item")
     # A first token that has another form in the document must be the same there.
@@ -210,4 +213,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item of the benchmark."""
-    return kept_rows(docs, written(leaks(docs, benchmark).select("row").distinct(), "leaked_rows"), "left_anti")
+    stored, number = numbered(docs)
+    return kept_rows(stored, number, written(_leaks(stored, number, benchmark).select("row").distinct(), "leaked_rows"), "left_anti")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, kept_rows, partitions, text_of, written
+from .common import BLANKS, kept_rows, numbered, partitions, text_of, written
 
 BLOCK_CHARS = 8192
 SALTS = 32
@@ -70,9 +70,10 @@ def _named(rows: DataFrame, content: list[str], rows_count: int) -> DataFrame:
 KEPT = ("doc_id", "text_sha256", "n_blocks")
 
 
-def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per row of docs: row, doc_id, text_sha256, level, name."""
-    norm = docs.select("doc_id", normalised().alias("norm")).withColumn("row", F.monotonically_increasing_id())
+def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, number: str | None = None) -> DataFrame:
+    """One row per row of docs: row (the stored column number, if given), doc_id, text_sha256, level, name."""
+    row = F.col(number) if number else F.monotonically_increasing_id()
+    norm = docs.select("doc_id", normalised().alias("norm"), row.alias("row"))
     blocks = F.when(F.length("norm") <= block_chars, F.array("norm")).otherwise(
         F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block_chars), F.lit(0))
     )
@@ -101,8 +102,8 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     return out
 
 
-def _groups(docs: DataFrame, block_chars: int) -> DataFrame:
-    ident = written(identities(docs, block_chars), "identities")
+def _groups(docs: DataFrame, block_chars: int, number: str | None = None) -> DataFrame:
+    ident = written(identities(docs, block_chars, number), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     groups = ident.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
     # Only texts that repeat need the lookup; both sides of the join are
@@ -124,9 +125,6 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs without the rows whose text an earlier row has already.
-
-    docs is a stored table: its scan must number rows alike each time, as
-    scans of files do.
-    """
-    return kept_rows(docs, _groups(docs, block_chars).filter("first is null or row = first.row").select("row"))
+    """docs without the rows whose text an earlier row has already."""
+    stored, number = numbered(docs)
+    return kept_rows(stored, number, _groups(stored, block_chars, number).filter("first is null or row = first.row").select("row"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, unused, written
+from .common import kept_rows, numbered, partitions, written
 from .simhash import components
 
 SHINGLE = 5
@@ -242,13 +242,11 @@ def links(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of alike texts: the first by doc_id
     (rows without one come last), then by place in the scan."""
-    number = unused(docs, "_row")
-    stored = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    stored, number = numbered(docs)
     rows = stored.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = written(components(links(rows)), "components")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = F.min(order).alias("first")
     tied = rows.select("row", "doc_id").join(labels.withColumnRenamed("node", "row"), "row")
-    gone = tied.join(tied.groupBy("label").agg(first), "label").filter("row <> first.row").select(F.col("row").alias(number))
-    gone = written(gone, "gone")
-    return stored.join(gone, number, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    gone = tied.join(tied.groupBy("label").agg(first), "label").filter("row <> first.row").select("row")
+    return kept_rows(stored, number, written(gone, "gone"), "left_anti")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, partitions, written
+from .common import kept_rows, numbered, partitions, written
 
 RADIUS = 3
 PARTS = 5
@@ -70,8 +70,8 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """row (its number in the scan), doc_id and fp (the fingerprint as a
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, number: str | None = None) -> DataFrame:
+    """row (the stored column number, else a new number), doc_id and fp (the fingerprint as a
     signed long) for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(fps)], ["row", "doc_id", "fp"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    row = F.col(number) if number else F.monotonically_increasing_id()
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "row long, doc_id long, fp long")
 
 
@@ -300,12 +301,12 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, number: str | None = None) -> DataFrame:
     """row, doc_id, fp, label, component_id for each row of docs.
 
     label is the component's least fingerprint, component_id its least doc_id.
     """
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+    fps = written(fingerprints(docs, shingle, number), "fingerprints")
     known = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     labels = components(links(known, radius=radius))
     tied = known.join(labels, known.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
@@ -321,10 +322,8 @@ def hexadecimal(column: str = "fp") -> Column:
 
 def keep_one_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each component: the first by doc_id (rows without
-    one come last), then by place in the scan.
-
-    docs is a stored table, whose scan numbers rows alike each time.
-    """
+    one come last), then by place in the scan."""
+    stored, number = numbered(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = near_duplicates(docs, shingle, radius).groupBy("label").agg(F.min(order).alias("first"))
-    return kept_rows(docs, first.select(F.col("first.row").alias("row")))
+    first = near_duplicates(stored, shingle, radius, number).groupBy("label").agg(F.min(order).alias("first"))
+    return kept_rows(stored, number, first.select(F.col("first.row").alias("row")))

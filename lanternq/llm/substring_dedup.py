@@ -23,8 +23,7 @@ the end an anchor is a whole window.
 Defined results: a null or blank text has no words; texts of fewer than
 ``WINDOW`` words lose nothing; rows with the same doc_id do not remove each
 other's words; rows without doc_id come after all others; an empty table
-gives an empty result.  docs is a stored table, whose scan numbers rows alike
-each time.
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import numbered, partitions, written
 
 WINDOW = 50
 ANCHOR = 10
@@ -153,9 +152,8 @@ def seen_in_shard(passages: list[tuple[int, list[bytes]]], window: int = WINDOW)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
+    stored, number = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    return stored.withColumnRenamed(number, "row")
 
 
 def _scan(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -188,7 +186,7 @@ def _scan(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 nulls = (pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(row), *nulls, *map(pa.array, (own, key, first, count))], NAMES)
 
-    return _numbered(docs).mapInArrow(run, "row long, doc_id long, n_words long, content binary, sha string, own long, key long, first int, count int")
+    return docs.mapInArrow(run, "row long, doc_id long, n_words long, content binary, sha string, own long, key long, first int, count int")
 
 
 NAMES = ["row", "doc_id", "n_words", "content", "sha", "own", "key", "first", "count"]
@@ -281,6 +279,7 @@ def _cut(held: DataFrame, window: int) -> DataFrame:
 
 def _removals(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """Head rows with copy_of_earlier, and the rows that lose some words."""
+    docs = _numbered(docs)
     scan = written(_scan(docs, window, anchor), "scan")
     document = F.coalesce("doc_id", F.lit(NO_ID))
     heads = scan.filter("key is null").select("row", "doc_id", document.alias("document"), "n_words", "content", "sha")
@@ -293,7 +292,7 @@ def _removals(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Dat
     shared = written(runs.groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select("key"), "shared")
     runs = written(runs.join(shared, "key", "left_semi").select("row", "key", "first", "count"), "runs")
     own = runs.join(heads.filter("copied").select("row"), "row", "left_anti").groupBy("row").agg(F.collect_list(F.struct("first", "count", "key")).alias("runs"))
-    held = _numbered(docs).join(own, "row").withColumn("document", document)
+    held = docs.join(own, "row").withColumn("document", document)
     held = written(held.select("row", "document", "text", "runs"), "held")
 
     passages, found = written(_passages(held, window), "passages"), None
