@@ -72,8 +72,6 @@ def _unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
         name, value = name.lower(), a or b or c
         if hidden or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and UNLIKELY.search(value):
-            return True
         if name == "role" and value.lower() in UNLIKELY_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -81,10 +79,21 @@ def _unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+#: Names that say what a layout has or lacks do not name the part itself.
+STATES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S*", re.I)
+
+
+def _named_unlikely(tag: str, attributes: str) -> bool:
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    return any(name.lower() in ("class", "id") and UNLIKELY.search(STATES.sub(" ", a or b or c)) for name, a, b, c, _ in ATTRIBUTE.findall(attributes))
+
+
 def tree(page: str) -> Node:
     root = node = Node("html", None)
     at, articles = 0, 0
     stack = [root]
+    suspects: list[Node] = []
     while at < len(page):
         m = TOKEN.search(page, at)
         if not m:
@@ -141,14 +150,49 @@ def tree(page: str) -> Node:
                     if stack[k].tag in ("ul", "ol", "dl", "table"):
                         break
             node = Node(tag, stack[-1], _unlikely(tag, m[3] or "", articles > 0))
+            if not node.dropped and _named_unlikely(tag, m[3] or ""):
+                suspects.append(node)
             stack[-1].children.append(node)
             if not (m[3] or "").rstrip().endswith("/") or tag in BLOCKS:
                 stack.append(node)
                 articles += tag in ("article", "main")
         node = stack[-1]
+    _drop_suspects(root, suspects)
     return root
 
 
+def _drop_suspects(root: Node, suspects: list[Node]) -> None:
+    """Drops elements of unlikely names, unless they hold an article or main
+    element or at least half of the page's points of paragraphs with few links."""
+    if not suspects:
+        return
+    names = {id(n) for n in suspects}
+    points, whole = dict.fromkeys(names, 0.0), 0.0
+    holds = set()
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.dropped:
+            continue
+        if node.tag in ("article", "main"):
+            above = node.parent
+            while above is not None:
+                holds.add(id(above))
+                above = above.parent
+        todo += [c for c in node.children if isinstance(c, Node)]
+    for node, text, linked in blocks(root):
+        if node.tag == "p" and 2 * linked < len(text):
+            score = 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
+            whole += score
+            above = node
+            while above is not None:
+                if id(above) in names:
+                    points[id(above)] += score
+                above = above.parent
+    for node in suspects:
+        node.dropped = id(node) not in holds and not (whole and points[id(node)] * 2 >= whole)
+
+
 def decoded(parts: list[str]) -> str:
     return SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
@@ -229,16 +273,13 @@ def main_blocks(page: str) -> list[str]:
         if above.tag in ("article", "main"):
             best = above
             break
-    if best.tag in ("article", "main"):
-        kept = {id(best)}
-    else:
-        least = max(10, rated[id(best)] * 0.2)
-        kept = {id(best)}
-        for other in best.parent.children if best.parent else []:
-            if isinstance(other, Node) and not other.dropped and other is not best:
-                text_like = other.tag == "p" and (inside := list(blocks(other))) and (n := sum(len(t) for _, t, _ in inside)) > 80 and sum(x for _, _, x in inside) < 0.25 * n
-                if rated.get(id(other), 0) >= least or text_like:
-                    kept.add(id(other))
+    least = max(10, rated[id(best)] * 0.2)
+    kept = {id(best)}
+    for other in best.parent.children if best.parent else []:
+        if isinstance(other, Node) and not other.dropped and other is not best:
+            text_like = other.tag == "p" and (inside := list(blocks(other))) and (n := sum(len(t) for _, t, _ in inside)) > 80 and sum(x for _, _, x in inside) < 0.25 * n
+            if rated.get(id(other), 0) >= least or text_like:
+                kept.add(id(other))
     out = []
     for node, text, _ in found:
         above: Node | None = node
