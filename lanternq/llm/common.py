@@ -6,8 +6,11 @@ import sys
 import tempfile
 import uuid
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +97,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose values in a column of texts or bytes have about
+    size bytes together, a longer value by itself."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0))
+    start = held = 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def byte_characters() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable
     ones stand for themselves, the others follow from U+0100 on."""
@@ -113,17 +130,27 @@ def packed(ids: list[int]) -> bytes:
 class Remembered(dict):
     """What ``make`` gives for each key met.
 
-    Beyond ``limit`` keys, those not met again since the last such turn are
-    forgotten, which bounds the memory of a worker at twice the limit.
+    Beyond ``megabytes`` of keys and values, those not met again since the last
+    such turn are forgotten, which bounds the memory of a worker at twice that.
     """
 
-    def __init__(self, make: Callable[[str], bytes], limit: int):
-        self.make, self.limit, self.older = make, limit, {}
+    def __init__(self, make: Callable[[str], object], megabytes: int):
+        self.make, self.limit = make, megabytes << 20
+        self.older, self.held = {}, 0
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.limit:
-            self.older = dict(self)
+    def __missing__(self, key: str) -> object:
+        if self.held >= self.limit:
+            self.older, self.held = dict(self), 0
             self.clear()
         value = self.older.get(key)
         self[key] = value = self.make(key) if value is None else value
+        self.held += sys.getsizeof(key) + sys.getsizeof(value) + SLOT_BYTES
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
+
+
+#: What a dictionary takes for an entry besides its key and value.
+SLOT_BYTES = 104

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunked_bpe, decontamination, exact_dedup, html_text, pii, simhash, substring_dedup, token_files, toxicity, warc
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    """A public tokenizer file: of the installed package, or in a folder."""
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +32,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-def op4_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return token_files.token_file_index(table(spark, sf_dir, "documents"), f"{tokenizers}/word_bpe_49k.json")
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return token_files.token_file_index(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json", tokenizers))
 
 
-def op5_chunked_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return chunked_bpe.tokenize(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json")
+def op5_chunked_bpe(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return chunked_bpe.tokenize(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json", tokenizers))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ their texts; an empty table gives no documents.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Remembered, byte_characters, fresh_path, packed, partitions, written
+from .common import Remembered, fresh_path, packed, partitions, written
 from .storage import AtomicFile, reader
 
 END_ID = 2
@@ -47,47 +48,33 @@ FOOTER_MAGIC = 0x8F92EAB1
 FRAME = struct.Struct("<IIIqII")
 FOOTER = struct.Struct("<QQQII")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("null", "u1")])
-#: Words that a worker remembers with their ids.
-REMEMBERED = 400_000
+#: Megabytes of words with their ids that a worker remembers (twice this at most).
+REMEMBERED = 24
+#: A longer word is not remembered.
+LONG_WORD = 64
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and case.
 
-    No token of such a tokenizer spans white space, so a word is encoded
-    once by the library and looked up from then on.
-    Words of plain letters, digits and signs are split here as the tokenizer
-    file says and each piece goes to the library's model; all other words go
-    through the whole of the library.
+    No token of such a tokenizer spans white space, so the library encodes a
+    word once and its ids are looked up from then on.
     """
 
-    #: Characters that normalisation only lower-cases.
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-    #: The tokenizer file's split, for plain characters.
-    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.shown = {b: c for c, b in byte_characters().items()}
         self.known = Remembered(self._word, REMEMBERED)
-        self.pieces = Remembered(self._piece, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
-        if not self.PLAIN.fullmatch(word) or "<|" in word and any(s in word for s in self.special):
-            return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(word.lower())))
-
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
-        return packed([t.id for t in self.model.tokenize(shown)])
+        return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of a text."""
-        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        known = self.known
+        return b"".join([known[w] if len(w) <= LONG_WORD else self._word(w) for w in text.replace("\n", " ").split(" ")])
 
 
 @lru_cache(maxsize=2)

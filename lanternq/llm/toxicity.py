@@ -42,7 +42,8 @@ L2 = 0.02
 PENALTY = 1.0
 STEPS = 150
 CALIBRATE = 5
-REMEMBERED = 300_000
+#: Megabytes of weights by word that a worker remembers (twice this at most).
+REMEMBERED = 24
 #: Families of identity terms; each is swapped within its family.
 IDENTITY_FAMILIES = tuple(
     tuple(x.split())

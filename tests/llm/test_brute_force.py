@@ -64,7 +64,7 @@ def test_op3(spark, sf_dir, pages):
 
 
 def test_op4(spark, sf_dir, docs):
-    tokenizer = Tokenizer.from_file(f"{entries.TOKENIZERS}/word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(entries.tokenizer_file("word_bpe_49k.json"))
     wanted, start = [], 0
     for doc_id, text in docs:
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
@@ -74,7 +74,7 @@ def test_op4(spark, sf_dir, docs):
 
 
 def test_op5(spark, sf_dir, docs):
-    tokenizer = Tokenizer.from_file(f"{entries.TOKENIZERS}/byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(entries.tokenizer_file("byte_bpe_50k.json"))
     wanted = []
     for doc_id, text in docs:
         ids = tokenizer.encode(text, add_special_tokens=False).ids

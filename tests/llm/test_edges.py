@@ -143,7 +143,7 @@ def test_extract_odd_rows(spark):
 
 # -- token files ----------------------------------------------------------
 
-WORD_FILE, BYTE_FILE = f"{entries.TOKENIZERS}/word_bpe_49k.json", f"{entries.TOKENIZERS}/byte_bpe_50k.json"
+WORD_FILE, BYTE_FILE = entries.tokenizer_file("word_bpe_49k.json"), entries.tokenizer_file("byte_bpe_50k.json")
 PIECES = ["a", "B", " ", "  ", "\n", "\t", "é", "1", "22", "'s", "'", "-", "...", "日本", "<|endoftext|>", " ", "🙂", " the", "Ünd", "\r", "ª", "ß", "×", "<|", "²", "\x7f", "\x1c"]
 
 
@@ -209,6 +209,39 @@ def test_chunked_encoder_agrees_with_the_library(monkeypatch, longest):
         assert encoder.decode(ids).decode("utf-8", "replace") == encoder.tokenizer.decode(wanted, skip_special_tokens=False)
 
 
+def test_joins_of_small_chunks_are_repaired(monkeypatch):
+    for name, value in (("MEAN_BITS", 2), ("SHORTEST", 1), ("LONGEST", 30)):
+        monkeypatch.setattr(chunked_bpe, name, value)
+    encoder = chunked_bpe.ChunkedEncoder(BYTE_FILE)
+    for seed in range(300):
+        text = noise(seed, 400) if seed % 3 else "x" * (seed * 7) + noise(seed, 40)
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.joins > encoder.repaired > 0
+
+
+def test_chunks_are_shared_wherever_a_passage_stands():
+    passage = LONG[:20_000]
+    a, b = chunked_bpe.chunks("some start " * 30 + passage), chunked_bpe.chunks("quite another one, " * 51 + passage + " end")
+    assert len(set(a) & set(b)) > 0.8 * len(chunked_bpe.chunks(passage))
+
+
+def test_joins_are_repaired_on_the_tables(spark, sf_dir):
+    encoder = chunked_bpe.ChunkedEncoder(BYTE_FILE)
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
+        encoder.encode(r.text or "")
+    assert encoder.met > encoder.encoded and encoder.joins > encoder.repaired > 0
+
+
+def test_a_worker_remembers_a_bounded_size():
+    encoder = chunked_bpe.ChunkedEncoder(BYTE_FILE)
+    encoder.known.limit = 100_000
+    for i in range(300):
+        encoder.encode(" ".join(f"{i}and{k}" for k in range(300)))
+    assert encoder.known.held < 120_000 and len(encoder.known.older) < 200
+    encoder.known.forget()
+    assert not encoder.known and not encoder.known.older
+
+
 def test_tokenize_odd_rows(odd, none):
     got = by_id(chunked_bpe.tokenize(odd, BYTE_FILE, keep_ids=True).collect())
     assert [r[1] for r in got if r[0] in (3, 4)] == [0, 0] and len(got) == len(ODD)
