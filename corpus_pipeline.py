@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanternq.llm import chunked_bpe, decontamination, exact_dedup, near_copies, toxicity
 from lanternq.llm.common import written
-from lanternq.llm.entries import TOKENIZERS, table
+from lanternq.llm.entries import table, tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return chunked_bpe.tokenize(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return chunked_bpe.tokenize(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [
