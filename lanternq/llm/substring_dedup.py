@@ -16,9 +16,12 @@ automaton.
 
 The automata of all shards grow with the corpus, so they are not broadcast
 whole: each is built in the task that its shard's passages are sent to.  A
-shard of more than ``SHARD_PASSAGES`` different passages is anchored anew with
-longer anchors, which splits it and sets aside what only one document has; in
-the end an anchor is a whole window.
+shard of more than ``SHARD_PASSAGES`` different passages is split: its
+different passages (not the documents that hold them) are anchored anew with
+longer anchors, parts that only one owner has are set aside, and the other
+parts form shards of their own; in the end an anchor is a whole window.  What
+is seen in a part is carried back to its passages, and documents meet their
+passages once, at the end.
 
 Defined results: a null or blank text has no words; texts of fewer than
 ``WINDOW`` words lose nothing; rows with the same doc_id do not remove each
@@ -209,8 +212,8 @@ def _passages(held: DataFrame, window: int) -> DataFrame:
 
 
 def _seen(distinct: DataFrame, window: int) -> DataFrame:
-    """key, digest, owner, seen (windows of the owner's passage found in
-    earlier documents) for each different passage."""
+    """digest, owner, seen (windows of the owner's passage found in earlier
+    documents) for each different passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "digest", "owner", "passage"))))
@@ -218,7 +221,7 @@ def _seen(distinct: DataFrame, window: int) -> DataFrame:
         for _, group in groupby(rows, key=lambda r: r[0]):
             group = list(group)  # at most SHARD_PASSAGES
             seen = seen_in_shard([(owner, passage.split()) for _, _, owner, passage in group], window)
-            pending += [(key, digest, owner, s) for (key, digest, owner, _), s in zip(group, seen)]
+            pending += [(digest, owner, s) for (_, digest, owner, _), s in zip(group, seen)]
             if len(pending) > 5000:
                 yield batch_of(pending)
                 pending = []
@@ -226,28 +229,72 @@ def _seen(distinct: DataFrame, window: int) -> DataFrame:
             yield batch_of(pending)
 
     def batch_of(rows: list) -> pa.RecordBatch:
-        types = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "digest", "owner", "seen"])
+        types = (pa.binary(), pa.int64(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["digest", "owner", "seen"])
 
     dealt = distinct.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key", "owner", "digest")
-    return dealt.select("key", "digest", "owner", "passage").mapInArrow(run, "key long, digest binary, owner long, seen array<int>")
+    return dealt.select("key", "digest", "owner", "passage").mapInArrow(run, "digest binary, owner long, seen array<int>")
 
 
-def _anchored_anew(passages: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The passages cut by longer anchors."""
+def _parts(distinct: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The different passages of large shards cut by longer anchors: parent
+    (digest), owner, at (first window in the parent), count, key, digest, passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row, document, start, passage in zip(*(batch.column(c).to_pylist() for c in ("row", "document", "first", "passage"))):
+            for parent, owner, passage in zip(*(batch.column(c).to_pylist() for c in ("digest", "owner", "passage"))):
                 words = passage.split()
                 for key, first, count in zip(*(x.tolist() for x in anchored_runs(words, window, anchor))):
                     part = b" ".join(words[first : first + count + window - 1])
-                    out.append((row, document, key, xxhash.xxh3_128_digest(part), start + first, count, part))
+                    out.append((parent, owner, first, count, key, xxhash.xxh3_128_digest(part), part))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PASSAGE_TYPES)], PASSAGE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), PART_TYPES)], PART_NAMES)
+
+    return distinct.select("digest", "owner", "passage").mapInArrow(run, PART_SCHEMA)
+
+
+PART_SCHEMA = "parent binary, owner long, at int, count int, key long, digest binary, passage binary"
+PART_NAMES = [x.split()[0] for x in PART_SCHEMA.split(", ")]
+PART_TYPES = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
-    return passages.select("row", "document", "first", "passage").mapInArrow(run, PASSAGE_SCHEMA)
+
+def _resolved(distinct: DataFrame, window: int, anchor: int) -> DataFrame:
+    """digest, owner, seen (windows of the owner's passage found in documents
+    before it) for each different passage (key, digest, owner, passage).
+
+    Small shards are streamed past their automata.  Passages of large ones are
+    cut anew, level by level; only the different parts that several owners
+    have go on, and what is seen in a part is carried back to its parents.
+    """
+    levels: list[tuple[DataFrame, DataFrame]] = []  # passages that were cut, and their parts
+    found: list[DataFrame] = []  # at each level, those of small shards
+    while True:
+        big = written(distinct.groupBy("key").count().filter(F.col("count") > SHARD_PASSAGES).filter(F.lit(anchor < window)).select("key"), "big")
+        found.append(written(_seen(distinct.join(big, "key", "left_anti"), window), "seen"))
+        if big.isEmpty():
+            break
+        # Longer anchors, by three quarters of what they leave free of a window: few rounds.
+        anchor += -(-3 * (window - anchor) // 4)
+        cut = distinct.join(big, "key", "left_semi")
+        parts = written(_parts(cut, window, anchor), "parts")
+        shared = parts.groupBy("key").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).filter("a <> b").select("key")
+        parts = written(parts.join(written(shared, "shared"), "key", "left_semi"), "parts")
+        levels.append((cut.select("digest", "owner"), parts.select("parent", F.col("owner").alias("document"), F.col("at").alias("first"), "count", "digest")))
+        distinct = written(_distinct(parts.withColumnRenamed("owner", "document")), "distinct")
+    seen = found.pop()
+    while levels:
+        cut, parts = levels.pop()
+        windows = parts.join(seen, "digest").select("parent", _seen_windows().alias("at")).filter(F.size("at") > 0)
+        windows = windows.groupBy("parent").agg(F.flatten(F.collect_list("at")).alias("seen"))
+        back = cut.join(windows, cut.digest == windows.parent, "left").select("digest", "owner", F.coalesce("seen", F.array().cast("array<int>")).alias("seen"))
+        seen = written(found.pop().unionByName(back), "resolved")
+    return seen
+
+
+def _distinct(passages: DataFrame) -> DataFrame:
+    """The different passages, each with its first document as owner."""
+    return passages.groupBy("key", "digest").agg(F.min("document").alias("owner"), F.first("passage").alias("passage"))
 
 
 PASSAGE_SCHEMA = "row long, document long, key long, digest binary, first int, count int, passage binary"
@@ -295,21 +342,9 @@ def _removals(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Dat
     held = docs.join(own, "row").withColumn("document", document)
     held = written(held.select("row", "document", "text", "runs"), "held")
 
-    passages, found = written(_passages(held, window), "passages"), None
-    while True:
-        distinct = written(passages.groupBy("key", "digest").agg(F.min("document").alias("owner"), F.first("passage").alias("passage")), "distinct")
-        sizes = distinct.groupBy("key").count().filter(F.col("count") > SHARD_PASSAGES)
-        big = written(sizes.select("key").filter(F.lit(anchor < window)), "big")
-        seen = written(_seen(distinct.join(big, "key", "left_anti"), window), "seen")
-        part = passages.drop("passage").join(seen, ["key", "digest"]).select("row", _seen_windows().alias("at")).filter(F.size("at") > 0)
-        found = part if found is None else found.unionByName(part)
-        if anchor >= window or big.isEmpty():
-            break
-        # Longer anchors, by three quarters of what they leave free of a window: few rounds.
-        anchor += -(-3 * (window - anchor) // 4)
-        passages = written(_anchored_anew(passages.join(big, "key", "left_semi"), window, anchor), "passages")
-        shared = written(passages.groupBy("key").agg(F.min("document").alias("a"), F.max("document").alias("b")).filter("a <> b").select("key"), "shared")
-        passages = written(passages.join(shared, "key", "left_semi"), "passages")
+    passages = written(_passages(held, window), "passages")
+    seen = _resolved(written(_distinct(passages), "distinct"), window, anchor)
+    found = passages.drop("passage").join(seen, "digest").select("row", _seen_windows().alias("at")).filter(F.size("at") > 0)
     seen_rows = found.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("seen"))
     return heads, held.select("row", "text").join(seen_rows, "row")
 

@@ -286,6 +286,31 @@ def test_substring_dedup_of_crowded_texts(spark):
     checked_removals(spark, [*crowded(1, 150), (200, None), (201, ""), (None, "a b c d e f g h a b c d e f g h")], 8, 3)
 
 
+def near_copies(copies):
+    """Variants of a text, each in several documents that end differently."""
+    dice = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for v in range(12):
+        words = list(base)
+        words[dice.randrange(60)] = f"v{v}"
+        out += [(len(out) + k, " ".join([*words, f"end{v}x{k}"])) for k in range(copies)]
+    return out
+
+
+def test_splitting_shards_makes_rows_by_content_not_by_members(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", 4)
+    made = []
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name: (out := written(df, name), name == "parts" and made.append(out.count()))[0])
+    sums = []
+    for copies in (2, 10):
+        made.clear()
+        checked_removals(spark, near_copies(copies), 8, 3)
+        sums.append(sum(made))
+    # A further document adds what its own last words make new, not all of its passages (over 40 windows).
+    assert 0 < sums[1] - sums[0] < 6 * (12 * 10 - 12 * 2)
+
+
 def test_substring_dedup_with_large_shards(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", 3)
     checked_removals(spark, crowded(2, 150), 8, 3)
