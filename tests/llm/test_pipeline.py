@@ -6,7 +6,7 @@ import corpus_pipeline
 from lanternq.llm import entries
 from lanternq.llm.common import written
 
-from .test_brute_force import plain_fingerprint
+from .test_similar import firsts_of, grams
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -32,12 +32,9 @@ def test_stages(spark):
     assert kept == set(first.values())
 
     given, kept = steps["simhash_near_dedup"]
-    prints = {d: plain_fingerprint(t) for d, t in given.items()}
-    groups = []
-    for d in sorted(prints):
-        near = [g for g in groups if any((prints[d] ^ prints[x]).bit_count() <= 3 for x in g)]
-        groups = [g for g in groups if g not in near] + [[d, *(x for g in near for x in g)]]
-    assert kept == {min(g) for g in groups}
+    sets = {d: grams(t) for d, t in given.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4]
+    assert pairs and kept == firsts_of(given, pairs)
 
     given, kept = steps["benchmark_decontamination"]
     plain = lambda t: f" {' '.join(re.findall(r'\w+', t.lower()))} "
@@ -46,4 +43,4 @@ def test_stages(spark):
     assert leaked and not leaked & kept and len(given) - len(kept) <= len(leaked) + 2
 
     given, kept = steps["bpe"]
-    assert kept == set(given) and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert kept == set(given) and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lanternq.llm import decontamination, exact_dedup, near_copies, simhash, substring_dedup
+from lanternq.llm import decontamination, exact_dedup, similar, simhash, substring_dedup
 from lanternq.llm.common import written
 
 from .test_edges import QUESTION
@@ -25,7 +25,7 @@ def docs(spark, monkeypatch):
         spark.conf.set(SPLITS, "128m" if turn[0] % 2 else "64k")
         return result
 
-    for module in (decontamination, exact_dedup, near_copies, simhash, substring_dedup):
+    for module in (decontamination, exact_dedup, similar, simhash, substring_dedup):
         monkeypatch.setattr(module, "written", shifted)
     before = spark.conf.get(SPLITS)
     yield out
@@ -35,7 +35,7 @@ def docs(spark, monkeypatch):
 def test_rows_are_found_again(spark, docs):
     ids = lambda df: sorted(r.doc_id for r in df.collect())
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
-    for keep in (exact_dedup.keep_first, simhash.keep_one_each, near_copies.keep_one_each):
+    for keep in (exact_dedup.keep_first, simhash.keep_one_each):
         assert ids(keep(docs)) == list(range(50))
     leaked = [i for i in range(100) if i % 50 < 5]
     assert ids(decontamination.leaks(docs, bench)) == leaked
