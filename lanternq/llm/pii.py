@@ -9,22 +9,24 @@ whole (digits, groups, separators, checksum, shape), and a dynamic programme
 over (end, kind) finds the best segmentation, bounds and kinds jointly.
 
 It is trained here by conditional likelihood (forward and backward sums over
-segmentations) on regions of a bounded sample of rows, labelled by the base
-patterns, beside copies in which the labelled spans are rewritten in ways
-that the patterns do not match.
+segmentations) on a bounded sample of regions, labelled by the base patterns,
+beside copies in which the labelled spans are rewritten in ways that the
+patterns do not match.
 
 Defined results: a null or empty text has no spans; rows that repeat are
-treated alike; if no sampled row holds personal data, the model adds nothing;
+treated alike; if no sampled text holds personal data, the model adds nothing;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract of the query.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 
-SAMPLE_ROWS = 600
+#: The model is fitted on the regions of at most so many different texts, and
+#: on at most so many different regions.
+SAMPLE_TEXTS, SAMPLE_REGIONS = 600, 1500
 LONGEST = 7
 OTHER = len(KINDS)
 EPOCHS = 6
@@ -57,20 +61,29 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _emails(text: str) -> Iterator[tuple[int, int, int]]:
+    """A name runs up to its at-sign, so each at-sign decides once."""
+    at, free = text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in EMAIL_NAME:
+            start -= 1
+        host = EMAIL_HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield 0, start, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+
+
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and int(digits) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
-    out = []
-    if "@" in text:
-        # A match lies within a run of the pattern's characters.
-        at = text.find("@")
-        while at >= 0:
-            start = at
-            while start and EMAIL_RUN.match(text[start - 1]):
-                start -= 1
-            run = EMAIL_RUN.match(text, start)
-            out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, start, run.end())]
-            at = text.find("@", run.end())
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 99) and max(map(len, m[0].split("."))) < 99]
+    out = list(_emails(text))
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((2, m.start(), m.end()))
@@ -87,7 +100,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 WORD = re.compile(r"[^\s]+")
 #: Words that may belong to an entity: with digits or an at-sign, written-out signs.
-SEED = re.compile(r"[^\s]*[0-9@][^\s]*|[(\[{]?(?:at|dot)[)\]}]", re.I)
+SEED = re.compile(r"[^\s]*[0-9@][^\s]*|[(\[{]?(?:at|dot)[)\]}]|(?<!\S)at\s+[\w-]+(?:\s+dot\s+[\w-]+)+", re.I)
 GAP = 5
 
 
@@ -105,20 +118,31 @@ def _units(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-REGION_WORDS = 40
+#: A region is handled in stretches of so many seed words, which overlap by
+#: more than an entity's length.
+REGION_WORDS, OVERLAP = 40, LONGEST + 1
 
 
-def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Units (start, end) of each region: seed words that lie close together
-    and a few words on either side."""
+def regions(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """Units (start, end) of each stretch of each region (seed words that lie
+    close together and a few words on either side), and the places between
+    which an entity of the stretch must start."""
     held: list[tuple[int, int]] = []
     for m in SEED.finditer(text):
-        if held and (m.start() - held[-1][1] > 24 or len(held) >= REGION_WORDS):
-            yield _around(text, held)
+        if held and m.start() - held[-1][1] > 24:
+            yield from _stretches(text, held)
             held = []
         held.append(m.span())
     if held:
-        yield _around(text, held)
+        yield from _stretches(text, held)
+
+
+def _stretches(text: str, seeds: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    low = 0
+    for i in range(0, len(seeds), REGION_WORDS):
+        high = seeds[i + REGION_WORDS][0] if i + REGION_WORDS < len(seeds) else len(text)
+        yield _around(text, seeds[max(0, i - OVERLAP) : i + REGION_WORDS + OVERLAP]), low, high
+        low = high
 
 
 def _around(text: str, seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -293,6 +317,9 @@ def _rewritten(kind: int, span: str, dice: random.Random) -> str:
     if kind == 0:
         at, dot = dice.choice(((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", ".")))
         name, _, host = span.partition("@")
+        # Other names and hosts than the given ones: without digits, of two labels.
+        name = dice.choice((name, "".join(c for c in name if c.isalpha()) or name))
+        host = dice.choice((host, ".".join(host.split(".")[-2:])))
         return name + at + host.replace(".", dot)
     if kind == 1:
         return span.replace(".", dice.choice(("[.]", "(.)", "[dot]")))
@@ -304,41 +331,66 @@ def _rewritten(kind: int, span: str, dice: random.Random) -> str:
     return dice.choice((f"({rest[:-7]}) {rest[-7:-4]}-{rest[-4:]}", f"{rest[:-7]}-{rest[-7:-4]}-{rest[-4:]}", f"{rest[:-7]}.{rest[-7:-4]}.{rest[-4:]}"))
 
 
-def fit(texts: list[str]) -> SemiMarkov:
-    model, examples, dice = SemiMarkov(), [], random.Random(7)
+def _spoiled(kind: int, span: str) -> str | None:
+    """A span of the same look that is none: a card that fails its checksum, an address part above 255."""
+    if kind == 2:
+        return span[:-1] + str((int(span[-1]) + 1) % 10)
+    if kind == 1:
+        return f"{300 + len(span)}{span[span.index('.'):]}"
+    return None
+
 
-    def labelled(text: str, spans: list[tuple[int, int, int]]) -> None:
-        for units in regions(text):
+Example = tuple[str, list[tuple[int, int]], list[tuple[int, int, int]]]
+
+
+def examples(text: str) -> Iterator[Example]:
+    """Labelled regions (text, units, segments) of a text, and of the text with
+    its spans rewritten."""
+
+    def labelled(text: str, spans: list[tuple[int, int, int]]) -> Iterator[Example]:
+        for units, _, _ in regions(text):
             if not units:
                 continue
             a, b = units[0][0], units[-1][1]
             truth = _truth(units, [s for s in spans if s[1] < b and s[2] > a])
             if truth:
-                examples.append((text[a:b], [(x - a, y - a) for x, y in units], truth))
-
-    for text in texts:
-        spans, last = [], -1
-        for s in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
-            if s[1] >= last:  # of overlapping ones the first
-                spans.append(s)
-                last = s[2]
-        labelled(text, spans)
-        if not spans:
-            continue
-        parts, moved, at, length = [], [], 0, 0
-        for kind, a, b in spans:
-            new = _rewritten(kind, text[a:b], dice)
-            parts += [text[at:a], new]
-            length += a - at
-            moved.append((kind, length, length + len(new)))
-            length += len(new)
-            at = b
-        labelled("".join(parts) + text[at:], moved)
-    if not any(kind != OTHER for _, _, truth in examples for _, _, kind in truth):
+                yield text[a:b], [(x - a, y - a) for x, y in units], truth
+
+    spans, last = [], -1
+    for s in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
+        if s[1] >= last:  # of overlapping ones the first
+            spans.append(s)
+            last = s[2]
+    yield from labelled(text, spans)
+    if not spans:
+        return
+    dice = random.Random(hashlib.sha256(text.encode()).digest())
+    yield from labelled(*with_spans(text, spans, lambda kind, span: _rewritten(kind, span, dice)))
+    if any(_spoiled(kind, text[a:b]) for kind, a, b in spans):
+        spoiled, moved = with_spans(text, spans, lambda kind, span: _spoiled(kind, span) or span)
+        yield from labelled(spoiled, [m for m in moved if _spoiled(m[0], spoiled[m[1] : m[2]]) is None])
+
+
+def with_spans(text: str, spans: list[tuple[int, int, int]], new: Callable[[int, str], str]) -> tuple[str, list[tuple[int, int, int]]]:
+    """text with each of the ordered spans replaced, and where they are then."""
+    parts, moved, at, length = [], [], 0, 0
+    for kind, a, b in spans:
+        other = new(kind, text[a:b])
+        parts += [text[at:a], other]
+        length += a - at
+        moved.append((kind, length, length + len(other)))
+        length += len(other)
+        at = b
+    return "".join(parts) + text[at:], moved
+
+
+def fit(known: list[Example]) -> SemiMarkov:
+    if not any(kind != OTHER for _, _, truth in known for _, _, kind in truth):
         return SemiMarkov({(k, "bias"): -9.0 for k in range(OTHER)})
+    model, dice, known = SemiMarkov(), random.Random(7), list(known)
     for epoch in range(EPOCHS):
-        dice.shuffle(examples)
-        for text, units, truth in examples:
+        dice.shuffle(known)
+        for text, units, truth in known:
             model.learn(text, units, truth, 0.3 / (1 + epoch))
     return model
 
@@ -347,20 +399,30 @@ def added_spans(model: SemiMarkov, text: str, base: list[tuple[int, int, int]])
     """Entities of the model that overlap no base span."""
     out = []
     taken = sorted((a, b) for _, a, b in base)
-    for units in regions(text):
-        inner = [u for u in units if not any(a < u[1] and u[0] < b for a, b in taken)] if taken else units
-        if not inner or not any(SEED.search(text, a, b) for a, b in inner):
+    long = [t for t in taken if t[1] - t[0] > 400]
+    for units, low, high in regions(text):
+        inner = units
+        if taken:
+            near = taken[bisect_left(taken, (units[0][0] - 400, 0)) : bisect_left(taken, (units[-1][1], 0))] if units else []
+            inner = [u for u in units if not any(a < u[1] and u[0] < b for a, b in (*near, *long))]
+        if not inner:
             continue
         # Stretches of units between base spans are segmented apart.
-        stretch: list[tuple[int, int]] = []
+        free, stretch = set(inner), []
         for u in [*units, None]:
-            if u is not None and u in inner:
+            if u is not None and u in free:
                 stretch.append(u)
                 continue
-            if stretch:
-                out += model.best(text, stretch)
+            if stretch and SEED.search(text, stretch[0][0], stretch[-1][1]):
+                out += [s for s in model.best(text, stretch) if low <= s[1] < high]
             stretch = []
-    return sorted(set(out), key=lambda s: (s[0], s[1]))
+    # Neighbouring stretches may disagree about an entity between them: the first counts.
+    kept, end = [], -1
+    for s in sorted(set(out), key=lambda s: (s[1], -s[2])):
+        if s[1] >= end:
+            kept.append(s)
+            end = s[2]
+    return sorted(kept)
 
 
 @lru_cache(maxsize=2)
@@ -368,11 +430,33 @@ def _model_of(items: tuple) -> SemiMarkov:
     return SemiMarkov(dict(items))
 
 
-def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> SemiMarkov:
-    """Fitted on the rows with digits or at-signs whose texts have the least hashes."""
-    some = docs.select("text").filter(F.col("text").rlike("[0-9@]"))
-    sample = some.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(rows).select("text")
-    return fit(sorted(r.text for r in sample.collect()))
+EXAMPLE_SCHEMA = "text string, units array<array<int>>, truth array<array<int>>"
+PAIRS = pa.list_(pa.list_(pa.int32()))
+
+
+def trained(docs: DataFrame, texts: int = SAMPLE_TEXTS, most: int = SAMPLE_REGIONS) -> SemiMarkov:
+    """Fitted in one task, on regions of the texts with digits or at-signs that
+    have the least hashes (copies count once).  Regions are short, so their
+    number bounds that task; only the weights come to the driver."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in set(batch.column("text").to_pylist()):
+                found = list(examples(text))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), PAIRS, PAIRS))], ["text", "units", "truth"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sorted((t, [tuple(u) for u in units], [tuple(x) for x in truth]) for b in batches for t, units, truth in zip(*(b.column(c).to_pylist() for c in ("text", "units", "truth"))))
+        weights = fit(known).weights
+        yield pa.RecordBatch.from_arrays([pa.array([repr(k) for k in weights]), pa.array(weights.values(), pa.float64())], ["name", "weight"])
+
+    some = docs.select(F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    chosen = some.select("h").distinct().orderBy("h").limit(texts)
+    sample = some.join(F.broadcast(chosen), "h", "left_semi").select("text").mapInArrow(cut, EXAMPLE_SCHEMA).distinct()
+    sample = sample.withColumn("h", F.xxhash64("text", "truth")).orderBy("h", "text").limit(most).select("text", "units", "truth")
+    got = sample.repartition(1).mapInArrow(learn, "name string, weight double").collect()
+    return SemiMarkov({ast.literal_eval(r.name): r.weight for r in got})
 
 
 def personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:

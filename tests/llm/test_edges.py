@@ -430,7 +430,7 @@ def sample(count=60):
 
 
 def test_the_model_adds_other_forms():
-    model = pii.fit(sample())
+    model = pii.fit([e for t in sample() for e in pii.examples(t)])
     found = lambda t: {(pii.KINDS[k], t[a:b]) for k, a, b in pii.added_spans(model, t, pii.base_spans(t))}
     assert ("phone", "(212) 555-7713") in found("please call (212) 555-7713 now")
     assert ("ip", "10[.]20[.]30[.]40") in found("host 10[.]20[.]30[.]40 is up")
@@ -440,6 +440,43 @@ def test_the_model_adds_other_forms():
     assert pii.redacted(text, pii.base_spans(text)) == "mail <email> or <phone>"
 
 
+def test_addresses_with_leading_zeros_and_long_runs():
+    assert pii.base_spans("0" * 120 + "1.2.3.4") == [(1, 0, 127)] and pii.base_spans("0" * 99 + "256.2.3.4") == []
+    assert pii.base_spans("x" * 1_000_000 + "@ " + "a@" * 300_000) == []
+    assert pii.base_spans("a@b@c.de@f.gh") == [(0, 2, 8)]
+
+
+def test_long_regions_lose_no_entity():
+    model = pii.fit([e for t in sample() for e in pii.examples(t)])
+    for before in range(30, 50):
+        text = " ".join([*(f"{i}x" for i in range(before)), "call (212) 555-7713 now or 10[.]20[.]30[.]40 then", *(f"y{i}" for i in range(60))])
+        spans = {text[a:b] for _, a, b in pii.added_spans(model, text, pii.base_spans(text))}
+        assert {"(212) 555-7713", "10[.]20[.]30[.]40"} <= spans
+
+
+def test_planted_forms_are_found_and_little_else(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, dice = pii.trained(docs), random.Random(99)
+    planted = found = other = 0
+    for text in {r.text or "" for r in docs.select("text").collect()}:
+        spans, last = [], -1
+        for s in sorted(pii.base_spans(text), key=lambda s: (s[1], -s[2])):
+            if s[1] >= last:
+                spans.append(s)
+                last = s[2]
+        new, moved = pii.with_spans(text, spans, lambda kind, span: pii._rewritten(kind, span, dice))
+        base = pii.base_spans(new)
+        got = {*base, *pii.added_spans(model, new, base)}
+        planted, found, other = planted + len(moved), found + len(got & set(moved)), other + len(got - set(moved))
+    assert planted and found >= 0.9 * planted and other <= 0.1 * planted
+
+
+def test_written_out_addresses(spark):
+    model = pii.trained(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    text = "please write to jane at example dot com or not at all"
+    assert [text[a:b] for _, a, b in pii.added_spans(model, text, [])] == ["jane at example dot com"]
+
+
 def test_pii_of_odd_rows(odd, none):
     got = pii.personal_data(odd).collect()
     assert len(got) == len(ODD) and {r.spans for r in got if r.doc_id in (3, 4)} == {""}
