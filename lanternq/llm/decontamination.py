@@ -1,13 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token templates: numbers, names (capitalised words inside a
-sentence) and units (after a number) turn into typed placeholders, other
-words are lower-cased.  Windows of ``WINDOW`` template tokens of the benchmark
-are hash-joined with those of the documents, so a question with other numbers
-or names still meets its original.  For each alignment that shares a window,
-the slots must be consistent: one value of the item stands for one value in
-the document throughout.  An item is found in a document if the windows of
-its consistent alignments cover ``SHARE`` of its tokens.
+Texts become token templates: numbers, names (capitalised words) and units
+(after a number) turn into typed placeholders, other words are lower-cased.
+Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with
+those of the documents, so a question with other numbers or names still meets
+its original.  For each alignment that shares a window, the slots must be
+consistent: one value of the item stands for one value in the document
+throughout, and different names for different names; a capitalised first word
+of a sentence is such a slot only if the item has it elsewhere as a name, and
+else meets itself or another sentence's first word.  An
+item is found in a document if the windows of alignments that agree with each
+other cover ``SHARE`` of its tokens.
 
 Only DataFrame functions are used.  The benchmark's windows are broadcast if
 at most ``BROADCAST_WINDOWS`` of them exist; beyond that both sides are
@@ -34,8 +37,9 @@ WINDOW = 8
 LITERALS = 4
 SHARE = 0.8
 BROADCAST_WINDOWS = 1_000_000
-#: Numbers; words; signs that serve as units; ends of sentences.
-TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)*|[%€$£°]|[.!?\n]+"
+#: Numbers; words; signs that serve as units.  Ends of sentences, which only items look at.
+TOKEN = r"[0-9]+(?:[.,:/][0-9]+)*|[\p{L}\p{M}]+(?:['’][\p{L}]+)*|[%€$£°]"
+END = r"[.!?\n]+"
 NUMBER, NAME, UNIT = "\u0001number", "\u0001name", "\u0001unit"
 UNITS = (
     "% € $ £ ° mm cm m km mg g kg t ml cl l s sec min h hz khz mhz ghz kb mb gb tb v w kw kwh mph kmh percent dollar dollars euro euros pound pounds cent cents "
@@ -46,7 +50,6 @@ UNITS = (
 
 
 def raw_tokens(text: Column) -> Column:
-    """Tokens with the ends of sentences still among them."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
@@ -59,44 +62,49 @@ def _is_end(t: Column) -> Column:
     return F.substring(t, 1, 1).isin(".", "!", "?", "\n")
 
 
-def templates(tokens: Column) -> Column:
-    """struct(raw, form) of each token that is no end of a sentence."""
-    return let(tokens, _templates)
+def _placeholder(t: Column, before: Column) -> Column:
+    """The placeholder of a token after another one, null for a plain word."""
+    first = F.substring(t, 1, 1)
+    return (
+        F.when((first >= "0") & (first <= "9"), NUMBER)
+        .when(first != F.lower(first), NAME)
+        .when(F.coalesce(F.substring(before, 1, 1).between("0", "9"), F.lit(False)) & F.lower(t).isin(UNITS), UNIT)
+    )
 
 
-def _templates(tokens: Column) -> Column:
-    def form(t: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(tokens, i - 1))
-        first = F.substring(t, 1, 1)
-        return (
-            F.when((first >= "0") & (first <= "9"), NUMBER)
-            .when((first != F.lower(first)) & ~F.coalesce(_is_end(before), F.lit(True)), NAME)
-            .when(F.coalesce(F.substring(before, 1, 1).between("0", "9"), F.lit(False)) & F.lower(t).isin(UNITS), UNIT)
-            .otherwise(F.lower(t))
-        )
+def _before(tokens: Column, i: Column) -> Column:
+    return F.when(i > 0, F.get(tokens, i - 1))
 
-    every = F.transform(tokens, lambda t, i: F.struct(t.alias("raw"), form(t, i).alias("form")))
-    return F.filter(every, lambda x: ~_is_end(x["raw"]))
 
+def item_tokens(text: Column) -> Column:
+    """struct(raw, form, start) of each token of an item; start marks the
+    first of a sentence."""
 
-def forms(tokens: Column) -> Column:
-    """The forms of ``templates`` alone, as hashes."""
-    return let(tokens, _forms)
+    def made(every: Column) -> Column:
+        marked = F.transform(every, lambda t, i: F.struct(t.alias("raw"), F.coalesce(_is_end(_before(every, i)), F.lit(True)).alias("start")))
+        return let(F.filter(marked, lambda x: ~_is_end(x["raw"])), formed)
+
+    def formed(kept: Column) -> Column:
+        form = lambda x, i: F.coalesce(_placeholder(x["raw"], _before(kept, i)["raw"]), F.lower(x["raw"]))
+        return F.transform(kept, lambda x, i: F.struct(x["raw"].alias("raw"), form(x, i).alias("form"), x["start"].alias("start")))
 
+    return let(F.regexp_extract_all(text, F.lit(f"{TOKEN}|{END}"), F.lit(0)), made)
 
-def _forms(tokens: Column) -> Column:
-    def form(t: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(tokens, i - 1))
+
+def forms(tokens: Column) -> Column:
+    """Hashes of the forms of raw tokens."""
+    names = {p: F.xxhash64(F.lit(p)) for p in (NUMBER, NAME, UNIT)}
+
+    def form(t: Column, before: Column) -> Column:
         first = F.substring(t, 1, 1)
         return (
-            F.when((first >= "0") & (first <= "9"), F.xxhash64(F.lit(NUMBER)))
-            .when(_is_end(t), F.lit(None))
-            .when((first != F.lower(first)) & ~F.coalesce(_is_end(before), F.lit(True)), F.xxhash64(F.lit(NAME)))
-            .when(F.coalesce(F.substring(before, 1, 1).between("0", "9"), F.lit(False)) & F.lower(t).isin(UNITS), F.xxhash64(F.lit(UNIT)))
+            F.when((first >= "0") & (first <= "9"), names[NUMBER])
+            .when(first != F.lower(first), names[NAME])
+            .when(F.coalesce(F.substring(before, 1, 1).between("0", "9"), F.lit(False)) & F.lower(t).isin(UNITS), names[UNIT])
             .otherwise(F.xxhash64(F.lower(t)))
         )
 
-    return F.filter(F.transform(tokens, form), lambda h: h.isNotNull())
+    return let(tokens, lambda every: F.transform(every, lambda t, i: form(t, _before(every, i))))
 
 
 def window_hashes(hashes: Column, window: int) -> Column:
@@ -123,39 +131,50 @@ def _as_words(tokens: Column) -> Column:
 BY_FORM, BY_FIRST, BY_WORD = 0, 1, 2
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item, item_id, tokens, length (of the item's windows), bpos (from 0),
-    kind and hash of each window; a short item is one window.
+def _is_plain(form: Column) -> Column:
+    return ~form.startswith("\u0001")
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Items (template, item, item_id, tokens, length of a window) and windows
+    (template, bpos from 0, length, kind, hash); a short item is one window.
 
-    Windows of ``LITERALS`` plain words or more are known by their forms,
-    others by their tokens.  An item starts a sentence, but in a document its
-    first token may stand inside one or after a number, and so have another form.
+    Items with the same windows share a template.  Windows of ``LITERALS``
+    plain words or more are known by their forms, others by their tokens.  In a
+    document an item's first token may have another form: another case, or that
+    of a unit after a number.
     """
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), templates(raw_tokens(text_of())).alias("tokens"))
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), item_tokens(text_of()).alias("tokens"))
     items = written(items.filter(F.size("tokens") > 0).withColumn("length", F.least(F.size("tokens"), F.lit(window))), "items")
     rows = items.withColumn("bpos", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("length"))))
     part = F.slice("tokens", F.col("bpos") + 1, F.col("length"))
-    first = F.get("tokens", F.lit(0))
-    sign = F.substring(first["raw"], 1, 1)
-    inside = F.when(F.col("bpos") == 0, F.when(sign != F.lower(sign), NAME).when(F.lower(first["raw"]).isin(UNITS), UNIT))
-    rows = rows.select("*", part.alias("part"), inside.alias("inside"))
-    plain = lambda x: F.size(F.filter(x, lambda t: ~t["form"].startswith("\u0001")))
+    raw = F.get("tokens", F.lit(0))["raw"]
+    sign = F.substring(raw, 1, 1)
+    others = F.array(
+        F.when(sign != F.lower(sign), F.lower(raw)).when(sign != F.upper(sign), F.lit(NAME)),
+        F.when(F.lower(raw).isin(UNITS), F.lit(UNIT)),
+    )
+    rows = rows.select("*", part.alias("part"), F.when(F.col("bpos") == 0, F.filter(others, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")).alias("others"))
+    hashed = lambda x: F.transform(x, lambda t: F.xxhash64(t["form"]))
+    plain = lambda x: F.size(F.filter(x, lambda t: _is_plain(t["form"])))
     rest = F.slice("part", 2, F.greatest(F.col("length") - 1, F.lit(0)))
     rows = rows.select("*", plain(F.col("part")).alias("plain"), plain(rest).alias("plain_rest"))
-    hashed = lambda x: F.transform(x, lambda t: F.xxhash64(t["form"]))
-    keys = F.array(
-        F.when(F.col("plain") >= LITERALS, F.struct(F.lit(BY_FORM).alias("kind"), F.xxhash64(hashed(F.col("part"))).alias("hash"))),
-        F.when(
-            F.col("inside").isNotNull() & (F.col("plain_rest") >= LITERALS),
-            F.struct(F.lit(BY_FIRST).alias("kind"), F.xxhash64(F.concat(F.array(F.xxhash64("inside")), hashed(rest))).alias("hash")),
-        ),
-        F.when(
-            (F.col("plain") < LITERALS) | (F.col("inside").isNotNull() & (F.col("plain_rest") < LITERALS)),
-            F.struct(F.lit(BY_WORD).alias("kind"), F.xxhash64(_as_words(F.col("part.raw"))).alias("hash")),
+    entry = lambda kind, h: F.struct(F.lit(kind).alias("kind"), h.alias("hash"))
+    keys = F.concat(
+        F.array(
+            F.when(F.col("plain") >= LITERALS, entry(BY_FORM, F.xxhash64(hashed(F.col("part"))))),
+            F.when(
+                (F.col("plain") < LITERALS) | (F.size("others") > 0) & (F.col("plain_rest") < LITERALS),
+                entry(BY_WORD, F.xxhash64(_as_words(F.col("part.raw")))),
+            ),
         ),
+        F.transform("others", lambda o: F.when(F.col("plain_rest") >= LITERALS, entry(BY_FIRST, F.xxhash64(F.concat(F.array(F.xxhash64(o)), hashed(rest)))))),
     )
-    rows = rows.select("item", "item_id", "tokens", "length", "bpos", F.explode(keys).alias("key")).filter("key is not null")
-    return written(rows.select("item", "item_id", "tokens", "length", "bpos", "key.kind", "key.hash"), "benchmark_windows")
+    rows = rows.select("item", "length", "bpos", F.explode(keys).alias("key")).filter("key is not null").select("item", "length", "bpos", "key.kind", "key.hash")
+    whole = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("length", "bpos", "kind", "hash"))).alias("windows"))
+    templates = written(whole.groupBy("windows").agg(F.min("item").alias("template"), F.collect_list("item").alias("items")), "templates")
+    items = items.join(templates.select("template", F.explode("items").alias("item")), "item")
+    return written(items, "items"), written(templates.select("template", F.explode("windows").alias("w")).select("template", "w.*"), "benchmark_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -165,15 +184,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 
 def _leaks(stored: DataFrame, number: str, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    wanted = benchmark_windows(benchmark, window)
+    items, wanted = benchmark_windows(benchmark, window)
     known = written(wanted.select("hash").distinct(), "known_hashes")
     docs = stored.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     tokens = docs.select("row", raw_tokens(F.col("text")).alias("t"))
     # Windows by tokens, and short ones, are only made if the benchmark has such.
     kinds = wanted.select("length", (F.col("kind") == BY_WORD).alias("by_word")).distinct().collect()
     by_form, by_word = (sorted(k.length for k in kinds if k.by_word == x) for x in (False, True))
-    words = F.filter("t", lambda t: ~_is_end(t))
-    hashes = tokens.select("row", forms(F.col("t")).alias("h"), *([let(words, _as_words).alias("w")] if by_word else []))
+    hashes = tokens.select("row", forms(F.col("t")).alias("h"), *([_as_words(F.col("t")).alias("w")] if by_word else []))
     every = [_keyed_windows(F.col("h"), n) for n in by_form] + [_keyed_windows(F.col("w"), n) for n in by_word]
     if not every:
         every = [_keyed_windows(F.col("h"), window)]
@@ -181,34 +199,56 @@ def _leaks(stored: DataFrame, number: str, benchmark: DataFrame, window: int = W
     n_known = known.count()
     hits = windows.join(F.broadcast(known) if n_known <= BROADCAST_WINDOWS else known, "hash", "left_semi")
     hits = written(hits, "hits")
-    # Every hit with each item that has the window; an alignment is a pair of
-    # document and item at one distance.
-    paired = hits.join(wanted.select("hash", "item", "bpos", "kind"), "hash").groupBy("row", "item", (F.col("pos") - F.col("bpos")).alias("shift"))
+    # Every hit with each template that has the window; an alignment is a pair of
+    # document and template at one distance.
+    paired = hits.join(wanted.select("hash", "template", "bpos", "kind"), "hash").groupBy("row", "template", (F.col("pos") - F.col("bpos")).alias("shift"))
     paired = written(paired.agg(F.collect_set(F.struct("bpos", "kind")).alias("at")), "alignments")
     rows = written(paired.select("row").distinct(), "rows")
-    texts = docs.join(rows, "row").select("row", "doc_id", templates(raw_tokens(F.col("text"))).alias("theirs"))
-    items = wanted.select("item", "item_id", "tokens", "length").dropDuplicates(["item"])
-    both = paired.join(written(texts, "texts"), "row").join(items, "item")
+    texts = written(docs.join(rows, "row").select("row", "doc_id", item_tokens(F.col("text")).alias("theirs")), "texts")
+    both = paired.join(texts, "row").join(items, "template")
     # A first token that has another form in the document must be the same there.
     same = F.lower(F.get("tokens", F.lit(0))["raw"]) == F.lower(F.get("theirs", F.col("shift").cast("int"))["raw"])
-    both = both.withColumn("at", F.filter("at", lambda x: (x["kind"] != BY_FIRST) | same)).filter(F.size("at") > 0)
+    both = both.withColumn("at", F.filter("at", lambda x: (x["kind"] != BY_FIRST) | same))
+    names = F.filter("tokens", lambda t: (t["form"] == NAME) & ~t["start"])
+    both = both.withColumn("names", F.transform(names, lambda t: F.lower(t["raw"])))
+
+    def mistaken(b: Column) -> Column:
+        """A sentence's first word that meets another word inside a sentence."""
+        ours, other = F.get("tokens", b), F.get("theirs", b + F.col("shift").cast("int"))
+        return ours["start"] & (ours["form"] == NAME) & ~other["start"] & (F.lower(ours["raw"]) != F.lower(other["raw"])) & ~F.array_contains("names", F.lower(ours["raw"]))
+
+    both = both.withColumn("mistaken", F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda b: F.coalesce(mistaken(b), F.lit(False))))
+    within = lambda x: F.exists("mistaken", lambda b: (b >= x["bpos"]) & (b < x["bpos"] + F.col("length")))
+    both = both.withColumn("at", F.filter("at", lambda x: ~within(x))).filter(F.size("at") > 0)
+
+    def slot(b: Column) -> Column:
+        ours = F.get("tokens", b)
+        # The capital of a sentence's first word shows a name only if the item has it elsewhere.
+        counts = ~_is_plain(ours["form"]) & (~ours["start"] | (ours["form"] != NAME) | F.array_contains("names", F.lower(ours["raw"])))
+        return F.when(counts, F.struct(ours["form"].alias("form"), F.lower(ours["raw"]).alias("ours"), F.lower(F.get("theirs", b + F.col("shift").cast("int"))["raw"]).alias("theirs")))
+
     covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["bpos"], x["bpos"] + F.col("length") - 1))))
-    slots = F.transform(
-        "covered",
-        lambda b: F.struct(
-            F.get("tokens", b)["form"].alias("form"), F.lower(F.get("tokens", b)["raw"]).alias("ours"), F.lower(F.get("theirs", b + F.col("shift"))["raw"]).alias("theirs")
-        ),
-    )
-    both = both.withColumn("covered", covered).withColumn("slots", F.array_distinct(F.filter(slots, lambda s: s["form"].startswith("\u0001"))))
-    values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["form"], s["ours"])))
-    fitting = both.filter(F.size("slots") == F.size(values))
-    found = fitting.groupBy("row", "item").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("item_id").alias("item_id"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"),
-        F.first(F.size("tokens")).alias("item_tokens"),
-    )
-    return found.filter(F.col("covered") >= share * F.col("item_tokens")).drop("item")
+    both = both.withColumn("covered", covered)
+    both = both.withColumn("slots", F.array_distinct(F.filter(F.transform("covered", slot), lambda s: s.isNotNull()))).filter(_consistent(F.col("slots")))
+    # Alignments join, those that cover most first, as long as their slots agree.
+    ranked = F.array_sort(F.collect_list(F.struct((-F.size("covered")).alias("rank"), "shift", "covered", "slots")))
+    whole = both.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first(F.size("tokens")).alias("item_tokens"), ranked.alias("all"))
+    none = F.struct(F.array().cast("array<int>").alias("covered"), F.array().cast("array<struct<form:string,ours:string,theirs:string>>").alias("slots"))
+
+    def joined(state: Column, x: Column) -> Column:
+        slots = F.array_union(state["slots"], x["slots"])
+        return F.when(_consistent(slots), F.struct(F.array_union(state["covered"], x["covered"]).alias("covered"), slots.alias("slots"))).otherwise(state)
+
+    found = whole.select("row", "doc_id", "item_id", F.size(F.aggregate("all", none, joined)["covered"]).alias("covered"), "item_tokens")
+    return found.filter(F.col("covered") >= share * F.col("item_tokens"))
+
+
+def _consistent(slots: Column) -> Column:
+    """Each value of the item stands for one of the document, and of names also
+    the reverse (two numbers may become equal)."""
+    ours = F.array_distinct(F.transform(slots, lambda s: F.struct(s["form"], s["ours"])))
+    names = F.filter(slots, lambda s: s["form"] == NAME)
+    return (F.size(ours) == F.size(slots)) & (F.size(F.array_distinct(F.transform(names, lambda s: s["theirs"]))) == F.size(names))
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
