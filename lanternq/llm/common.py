@@ -53,14 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that no pending plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(hadoop_path, True)
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            hadoop_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def text_of(column: str = "text") -> Column:

@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, numbered, text_of, written
+from .common import drop_scratch, kept_rows, numbered, text_of, written
 
 WINDOW = 8
 LITERALS = 4
@@ -203,6 +203,7 @@ def _leaks(stored: DataFrame, number: str, benchmark: DataFrame, window: int = W
     # document and template at one distance.
     paired = hits.join(wanted.select("hash", "template", "bpos", "kind"), "hash").groupBy("row", "template", (F.col("pos") - F.col("bpos")).alias("shift"))
     paired = written(paired.agg(F.collect_set(F.struct("bpos", "kind")).alias("at")), "alignments")
+    drop_scratch(hits, known)
     rows = written(paired.select("row").distinct(), "rows")
     texts = written(docs.join(rows, "row").select("row", "doc_id", item_tokens(F.col("text")).alias("theirs")), "texts")
     both = paired.join(texts, "row").join(items, "template")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, kept_rows, numbered, partitions, text_of, written
+from .common import BLANKS, drop_scratch, kept_rows, numbered, partitions, text_of, written
 
 BLOCK_CHARS = 8192
 SALTS = 32
@@ -82,6 +82,7 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, number: str | No
     ).withColumn("code", F.struct("row", "pos"))
     count = docs.count()
     named = written(_named(base, ["block"], count), "level0")
+    levels = [named]
     level, ready = 0, [named.filter("n_blocks = 1").select("row", "doc_id", "text_sha256", F.lit(0).alias("level"), "name")]
     rest = named.filter("n_blocks > 1")
     while (left := rest.count()) > 0:
@@ -94,16 +95,19 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS, number: str | No
             .withColumn("n_blocks", F.expr("(n_blocks + 1) div 2").cast("int"))
         )
         named = written(_named(pairs, ["a", "b"], left), f"level{level}")
+        levels.append(named)
         ready.append(named.filter("n_blocks = 1").select("row", "doc_id", "text_sha256", F.lit(level).alias("level"), "name"))
         rest = named.filter("n_blocks > 1")
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
+    out = written(out, "identities")
+    drop_scratch(*levels)
     return out
 
 
 def _groups(docs: DataFrame, block_chars: int, number: str | None = None) -> DataFrame:
-    ident = written(identities(docs, block_chars, number), "identities")
+    ident = identities(docs, block_chars, number)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     groups = ident.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
     # Only texts that repeat need the lookup; both sides of the join are

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, numbered, partitions, written
+from .common import drop_scratch, kept_rows, numbered, partitions, written
 
 RADIUS = 3
 PARTS = 5
@@ -328,9 +328,11 @@ def components(edges: DataFrame) -> DataFrame:
         # ... and the label of the label.
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         new = written(hooked.join(jump, "label").select("node", "old", F.least("label", "jump").alias("label")), "labels")
+        drop_scratch(labels, hooked)
         if new.filter("label <> old").isEmpty():
+            drop_scratch(both)
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, number: str | None = None) -> DataFrame:

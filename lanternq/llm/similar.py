@@ -1,16 +1,13 @@
 """Links of the SimHash operator between texts of a stated similarity.
 
 Two texts are linked if their sets of shingles share ``alike`` of all their
-elements or more.  Two such sets of n elements share one among the first
-``n - ceil(alike n) + 1`` of each in any common order, so buckets on those
-elements hold every pair.  The order puts shingles that are common in a sample
-last; the sample only decides how large the buckets are.
-
-Rows that share an element form a bucket; of buckets with the same rows one is
-kept.  In a bucket, wide fingerprints are compared bit-sliced
-(``simhash.linked_sets``), and the sets of what is within their radius decide
-exactly.  Both steps search outward from one row at a time over those not
-reached yet and give parts or spanning edges, never pairs.
+elements or more.  ``BANDS`` keys of ``BAND_ROWS`` least hashes each give the
+candidate buckets: two sets alike to 0.8 have no key in common in 1 of 10^9
+cases.  Of buckets with the same rows one is kept.  In a bucket, wide
+fingerprints are compared bit-sliced (``simhash.linked_sets``), and the sets of
+what is within their radius decide exactly.  Both steps search outward from one
+row at a time over those not reached yet and give parts or spanning edges,
+never pairs.
 
 Defined results: words are as in ``simhash``; a text of fewer words than a
 shingle has is one shingle; texts without words are alike; null counts as empty.
@@ -27,11 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
-from .simhash import ALIKE, WIDE_RADIUS, WIDE_SHINGLE, linked_sets, wide_fingerprint
+from .common import drop_scratch, partitions, written
+from .simhash import ALIKE, WIDE_RADIUS, WIDE_SHINGLE, WIDE_WORDS, linked_sets, wide_fingerprint
 
-#: A shingle in this many rows of the sample is common; the most common are broadcast.
-SAMPLE, COMMON, COMMON_MAX = 16, 8, 100_000
+BANDS, BAND_ROWS = 20, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,11 +46,20 @@ def shingles(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(rolled ^ (rolled >> np.uint64(29)))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, alike: tuple[int, int] = ALIKE) -> np.ndarray:
-    """The elements of a set of which two alike sets share one."""
-    length = len(own) - -(-alike[0] * len(own) // alike[1]) + 1
-    late = np.isin(own, common)
-    return np.concatenate((own[~late], own[late]))[:length]
+_TIMES = np.random.default_rng(11).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+_PLUS = np.random.default_rng(12).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band: least values of the set under as many hashes."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(own), 4096):
+        least = np.minimum(least, (own[low : low + 4096, None] * _TIMES + _PLUS).min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        keys = (keys ^ least[k::BAND_ROWS]) * _ODD
+        keys ^= keys >> np.uint64(31)
+    return keys
 
 
 def _parts(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[list[tuple[int, int]]]:
@@ -97,37 +102,20 @@ def alike_edges(sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> list[
 # -- stages ---------------------------------------------------------------
 
 
-def _common(docs: DataFrame, shingle: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["h"])
-
-    sample = docs.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
-    many = sample.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(COMMON_MAX)
-    return np.sort(np.array([r.h for r in many.collect()], np.int64).view(np.uint64))
-
-
-def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, alike: tuple[int, int]) -> DataFrame:
-    """A head row for each document (h is null) and a row for each prefix element."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
+    """row, its wide fingerprint and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = np.asarray(batch.column("row"))
-            sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
-            if not sets:
-                continue
-            wide = pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), wide], ["row", "h", "fp"])
-            parts = [prefix(s, shared.value, alike) for s in sets]
-            rows = np.repeat(row, [len(p) for p in parts])
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.array(np.concatenate(parts).view(np.int64)), pa.nulls(n, pa.binary())], ["row", "h", "fp"]
-            )
+            fps, keys = [], []
+            for text in batch.column("text"):
+                own = shingles(text.as_py(), shingle)
+                fps.append(wide_fingerprint(own).tobytes())
+                keys.append(band_keys(own).view(np.int64))
+            columns = [batch.column("row"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "fp", "keys"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, h long, fp binary")
+    return docs.select("row", "text").mapInArrow(run, "row long, fp binary, keys array<long>")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -142,19 +130,30 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def _near(rows: DataFrame) -> DataFrame:
     """bucket, row of the parts of each bucket; a part is a bucket of its own."""
 
+    def parts_of(bucket: np.ndarray, row: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        bounds = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        names, members = [], []
+        for low, high in zip(bounds, bounds[1:]):
+            for part in linked_sets(fps[low:high], WIDE_RADIUS):
+                part = np.sort(row[low:high][part])
+                names.append(np.full(len(part), xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63)))
+                members.append(part)
+        together = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
+        return pa.RecordBatch.from_arrays([together(names), together(members)], ["bucket", "row"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, members = [], []
-        for group in _grouped(batches):
-            fps = np.frombuffer(b"".join(r[2] for r in group), np.uint64).reshape(len(group), -1)
-            for part in linked_sets(fps, WIDE_RADIUS):
-                part = sorted(group[i][1] for i in part)
-                name = xxhash.xxh3_64_intdigest(np.array(part, np.int64).tobytes())
-                buckets += [name - (1 << 63)] * len(part)
-                members += part
-            if len(members) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(members, pa.int64())], ["bucket", "row"])
-                buckets, members = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(members, pa.int64())], ["bucket", "row"])
+        held: tuple[np.ndarray, ...] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE_WORDS), np.uint64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
+            held = tuple(np.concatenate(x) for x in zip(held, (np.asarray(batch.column("bucket")), np.asarray(batch.column("row")), fps)))
+            # The last bucket may go on in the next batch.
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            if end:
+                yield parts_of(*(x[:end] for x in held))
+                held = tuple(x[end:] for x in held)
+        yield parts_of(*held)
 
     return _dealt(rows).select("bucket", "row", "fp").mapInArrow(run, "bucket long, row long").distinct()
 
@@ -182,12 +181,15 @@ def _sets(held: DataFrame, shingle: int) -> DataFrame:
 def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """Edges (a, b) between row numbers that span the same components as all
     pairs of alike texts.  docs has stored columns row and text."""
-    scan = written(_prefixes(docs, _common(docs, shingle), shingle, alike), "prefixes")
-    heads, elements = scan.filter("h is null").select("row", "fp"), scan.filter("h is not null").select("row", "h")
-    shared = elements.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("rows")).filter("n > 1")
-    shared = written(shared.groupBy("n", "rows").agg(F.min("h").alias("h")).select("h"), "shared")
-    members = written(elements.join(shared, "h", "left_semi").withColumnRenamed("h", "bucket"), "members")
-    parts = written(_near(members.join(heads, "row")), "parts")
+    keyed = written(_keyed(docs, shingle), "keyed")
+    keys = keyed.select("row", F.explode("keys").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (0, 1))).filter("n > 1")
+    shared = written(shared.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
+    members = written(keys.join(shared, "bucket", "left_semi"), "members")
+    parts = written(_near(members.join(keyed.select("row", "fp"), "row")), "parts")
+    drop_scratch(keyed, shared, members)
     texts = docs.select("row", "text").join(parts.select("row").distinct(), "row", "left_semi")
     sets = written(_sets(texts, shingle), "sets")
-    return written(_edges(parts.join(sets, "row"), alike), "links")
+    out = written(_edges(parts.join(sets, "row"), alike), "links")
+    drop_scratch(parts, sets)
+    return out

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, partitions, written
+from .common import drop_scratch, numbered, partitions, written
 
 WINDOW = 50
 ANCHOR = 10
@@ -343,7 +343,9 @@ def _removals(docs: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Dat
     held = written(held.select("row", "document", "text", "runs"), "held")
 
     passages = written(_passages(held, window), "passages")
-    seen = _resolved(written(_distinct(passages), "distinct"), window, anchor)
+    distinct = written(_distinct(passages), "distinct")
+    seen = _resolved(distinct, window, anchor)
+    drop_scratch(scan, copies, shared, runs, distinct)
     found = passages.drop("passage").join(seen, "digest").select("row", _seen_windows().alias("at")).filter(F.size("at") > 0)
     seen_rows = found.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("seen"))
     return heads, held.select("row", "text").join(seen_rows, "row")
