@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp svg math template".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp svg template".split())
 DROPPED = RAW | frozenset("head nav footer aside form button select option menu dialog object audio video canvas map fieldset label input".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html li main "
@@ -45,20 +45,34 @@ UNLIKELY = re.compile(
     r"|notices?|pager|pagination|popup|promo\w*|related|remark|replies|respond|share|sharing|shoutbox|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+#: Inside an article a class name must be made of these and neutral words only.
+FOREIGN = re.compile(
+    r"(?:^|(?<=\s))(?:(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|gdpr|menu|modal|nav|navbar|navigation|newsletter|pager|pagination|popup|promo\w*|share|sharing"
+    r"|shoutbox|sidebar|social|sponsor\w*|subscribe|toolbar|widget|area|bar|block|bottom|box|buttons?|container|content|form|holder|icons?|inner|items?|left|links?|list|notice|panel|related"
+    r"|right|section|slot|top|unit|wrap|wrapper|\d+)(?:[_-]|(?=\s)|$))+(?=\s|$)",
+    re.I,
+)
+NEUTRAL = re.compile(r"(?:(?:area|bar|block|bottom|box|buttons?|container|content|form|holder|icons?|inner|items?|left|links?|list|notice|panel|related|right|section|slot|top|unit|wrap|wrapper|\d+)(?:[_-]|$))+", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY_ROLES = frozenset("navigation banner complementary contentinfo search menu menubar alert alertdialog dialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])", re.S)
 SPACE = re.compile(r"\s+")
 COMMAS = re.compile(r"[,،﹐﹑⹁⸲，、]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "length", "linked", "soft")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "box", "order", "score", "length", "linked", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, order: int = 0):
+        self.tag, self.parent, self.dropped, self.order = tag, parent, dropped, order
         self.children: list[Node | str] = []
-        self.score, self.length, self.linked, self.soft = 0.0, 0, 0, False
+        #: The nearest element of an unlikely name, itself or above.
+        self.suspect: Node | None = parent.suspect if parent else None
+        #: The nearest container above.
+        self.box: Node | None = parent and (parent if parent.tag in CONTAINERS else parent.box)
+        self.score, self.length, self.linked = 0.0, 0, 0
+        self.kept: bool | None = None
 
 
 def _unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -83,18 +97,72 @@ def _unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
 STATES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S*", re.I)
 
 
-def _named_unlikely(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
+def _named_unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
+    if not attributes or tag in ("html", "body", "article", "main") or inside_article and tag in HEADINGS:
         return False
-    return any(name.lower() in ("class", "id") and UNLIKELY.search(STATES.sub(" ", a or b or c)) for name, a, b, c, _ in ATTRIBUTE.findall(attributes))
+    for name, a, b, c, _ in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            value = STATES.sub(" ", a or b or c)
+            if inside_article:
+                if any(not NEUTRAL.fullmatch(m[0]) for m in FOREIGN.finditer(value)):
+                    return True
+            elif UNLIKELY.search(value):
+                return True
+    return False
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag and of blocks in it."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.articles = 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.articles += node.tag in ("article", "main")
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+            self.articles -= node.tag in ("article", "main")
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one does not close the block around it."""
+        at = self.last(tag)
+        if at and not (tag in INLINE and self.blocks and self.blocks[-1] > at):
+            self.cut(at)
+
+    def start(self, tag: str) -> None:
+        """Closes what a start tag closes."""
+        p = self.last("p")
+        if tag in BLOCKS and p and self.blocks[-1] == p:
+            self.cut(p)
+        for other in CLOSES.get(tag, ()):
+            at = self.last(other)
+            if at and at > max(map(self.last, ("ul", "ol", "dl", "table"))):
+                self.cut(at)
 
 
 def tree(page: str) -> Node:
-    root = node = Node("html", None)
-    at, articles = 0, 0
-    stack = [root]
+    root = Node("html", None)
+    at, count = 0, 0
+    opened = _Open(root)
     suspects: list[Node] = []
     while at < len(page):
+        node = opened.stack[-1]
         m = TOKEN.search(page, at)
         if not m:
             node.children.append(page[at:])
@@ -104,91 +172,68 @@ def tree(page: str) -> Node:
         at = m.end()
         if m[0] == "<":
             node.children.append("<")
-            continue
-        if m[1]:
+        elif m[1]:
             tag = m[1].lower()
             if tag == "br":
                 node.children.append(" ")
-            elif tag in VOID:
-                pass
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        articles -= sum(n.tag in ("article", "main") for n in stack[k:])
-                        del stack[k:]
-                        break
-                    # An inline end tag does not close the block around it.
-                    if tag in INLINE and stack[k].tag in BLOCKS:
-                        break
+            elif tag not in VOID:
+                opened.end(tag)
         elif m[2]:
-            tag = m[2].lower()
+            tag, attributes = m[2].lower(), m[3] or ""
             if tag in ("br", "hr", "img", "wbr"):
                 node.children.append("" if tag == "wbr" else " ")
                 if tag == "hr":
                     node.children.append(Node("hr", node))
                 continue
-            if tag in VOID:
+            if tag in VOID or tag in ("html", "body"):
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
-            if tag in ("html", "body"):
-                continue
-            if tag in BLOCKS and any(n.tag == "p" for n in stack[-4:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCKS:
-                        break
-            for other in CLOSES.get(tag, ()):
-                for k in range(len(stack) - 1, max(0, len(stack) - 6), -1):
-                    if stack[k].tag == other:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in ("ul", "ol", "dl", "table"):
-                        break
-            node = Node(tag, stack[-1], _unlikely(tag, m[3] or "", articles > 0))
-            if not node.dropped and _named_unlikely(tag, m[3] or ""):
+            opened.start(tag)
+            parent = opened.stack[-1]
+            count += 1
+            node = Node(tag, parent, _unlikely(tag, attributes, opened.articles > 0), count)
+            if not node.dropped and _named_unlikely(tag, attributes, opened.articles > 0):
+                node.suspect = node
                 suspects.append(node)
-            stack[-1].children.append(node)
-            if not (m[3] or "").rstrip().endswith("/") or tag in BLOCKS:
-                stack.append(node)
-                articles += tag in ("article", "main")
-        node = stack[-1]
+            parent.children.append(node)
+            if not attributes.rstrip().endswith("/") or tag in BLOCKS:
+                opened.push(node)
     _drop_suspects(root, suspects)
     return root
 
 
+def points_of(text: str) -> float:
+    return 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
+
+
 def _drop_suspects(root: Node, suspects: list[Node]) -> None:
     """Drops elements of unlikely names, unless they hold an article or main
     element or at least half of the page's points of paragraphs with few links."""
     if not suspects:
         return
-    names = {id(n) for n in suspects}
-    points, whole = dict.fromkeys(names, 0.0), 0.0
-    holds = set()
+    points, whole, holds = {id(n): 0.0 for n in suspects}, 0.0, set()
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.dropped:
-            continue
-        if node.tag in ("article", "main"):
-            above = node.parent
-            while above is not None:
-                holds.add(id(above))
-                above = above.parent
-        todo += [c for c in node.children if isinstance(c, Node)]
+        if not node.dropped:
+            if node.tag in ("article", "main") and node.suspect:
+                holds.add(id(node.suspect))
+            todo += [c for c in node.children if isinstance(c, Node)]
     for node, text, linked in blocks(root):
         if node.tag == "p" and 2 * linked < len(text):
-            score = 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
+            score = points_of(text)
             whole += score
-            above = node
-            while above is not None:
-                if id(above) in names:
-                    points[id(above)] += score
-                above = above.parent
+            if node.suspect:
+                points[id(node.suspect)] += score
+    for node in reversed(suspects):  # those inside others come first
+        above = node.parent.suspect if node.parent else None
+        if above:
+            points[id(above)] += points[id(node)]
+            if id(node) in holds:
+                holds.add(id(above))
     for node in suspects:
         node.dropped = id(node) not in holds and not (whole and points[id(node)] * 2 >= whole)
 
@@ -238,12 +283,11 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
 
 
 def ancestors(node: Node) -> Iterator[Node]:
-    """The containers above a block, nearest first."""
-    node = node if node.tag in CONTAINERS and node.tag != "li" else node.parent
-    while node is not None:
-        if node.tag in CONTAINERS:
-            yield node
-        node = node.parent
+    """The containers of a block, nearest first."""
+    box = node if node.tag in CONTAINERS and node.tag != "li" else node.box
+    while box is not None:
+        yield box
+        box = box.box
 
 
 def main_blocks(page: str) -> list[str]:
@@ -252,20 +296,28 @@ def main_blocks(page: str) -> list[str]:
     if not found:
         return []
     containers: list[Node] = []
+    seen: set[int] = set()
     for node, text, linked in found:
-        above = list(ancestors(node))
-        points = 1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)
-        if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dt"):
+        points = points_of(text)
+        if node.tag in HEADINGS or node.tag in ("li", "td", "th", "dt"):
             points = min(points, 1) * 0.2
         elif len(text) < 25:
             points *= 0.5
-        for depth, container in enumerate(above):
-            if not container.length and not container.score:
-                containers.append(container)
-            container.length += len(text)
-            container.linked += linked
+        for depth, container in enumerate(ancestors(node)):
+            if not depth:
+                container.length += len(text)
+                container.linked += linked
             if depth < 3:
                 container.score += points / (depth + 1)
+            elif id(container) in seen:
+                break  # and so are all above it
+            if id(container) not in seen:
+                seen.add(id(container))
+                containers.append(container)
+    for container in sorted(containers, key=lambda c: -c.order):  # those inside others come first
+        if container.box is not None:
+            container.box.length += container.length
+            container.box.linked += container.linked
     rated = {id(c): (c.score + 5 * (c.tag in ("article", "main"))) * (1 - c.linked / max(1, c.length)) for c in containers}
     best = max(containers, key=lambda c: rated[id(c)])
     # An article or main element around the best container holds all of it.
@@ -282,10 +334,14 @@ def main_blocks(page: str) -> list[str]:
                 kept.add(id(other))
     out = []
     for node, text, _ in found:
-        above: Node | None = node
-        while above is not None and id(above) not in kept:
+        path, above = [], node
+        while above is not None and above.kept is None and id(above) not in kept:
+            path.append(above)
             above = above.parent
-        if above is not None:
+        stays = above is not None and (above.kept or id(above) in kept)
+        for x in path:
+            x.kept = stays
+        if stays:
             out.append(text)
     return out
 

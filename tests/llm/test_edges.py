@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -135,6 +136,26 @@ def test_main_text_of_deep_pages():
     assert html_text.main_text("<div>" * 5000 + "<p>deep text, in many boxes</p>" + "</div>" * 5000) == "deep text, in many boxes"
 
 
+@pytest.mark.parametrize(
+    "part", ["<div>word text", "<b>", "</i>", "<i><div>", "<h1>a", "<a \"", "<li>x<ul>", "<p class='share'>a, b", "<article>a", "<table><td>x", "&amp;", "<a aaaa", "<span class=menu><p>x"]
+)
+def test_main_text_of_hostile_pages_takes_linear_time(part):
+    start = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)))
+    html_text.main_text("<b>" * 200_000 + "</i>" * 100_000 + "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000)
+    assert time.process_time() - start < 20
+
+
+def test_parts_of_articles_stay():
+    page = """<body><article><h2 class="section-header">One</h2><p>Text, of the first, with a sum <math>a+b</math> in it, and more words to read here.</p>
+    <p class="share-price">The price, of a share, rose to new heights, and it fell again.</p><div class="ad-slot">Buy, now, this, thing</div></article>
+    <article><h2 id="related">Two</h2><p class="byline-note">Text, of the second, which also has, some commas, and words that are to stay here.</p></article></body>"""
+    assert html_text.main_text(page).split("\n\n") == [
+        "One", "Text, of the first, with a sum a+b in it, and more words to read here.", "The price, of a share, rose to new heights, and it fell again.",
+        "Two", "Text, of the second, which also has, some commas, and words that are to stay here.",
+    ]
+
+
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>one</p>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert by_id(html_text.extract(pages).collect()) == [(1, None, "", 0), (1, None, "", 0), (None, "u", "one", 3)]
