@@ -126,9 +126,13 @@ def _as_words(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(F.lit("\u0001word"), F.lower(t)))
 
 
-#: How a window is known: by its forms, by its forms with a first token as
-#: inside a sentence, by its tokens themselves.
-BY_FORM, BY_FIRST, BY_WORD = 0, 1, 2
+#: How a window is known: by its forms; by its forms with another first one,
+#: where the first token is the same; by its forms, where all tokens are the
+#: same; by its tokens themselves.
+BY_FORM, BY_FIRST, BY_EQUAL, BY_WORD = 0, 1, 2, 3
+#: Windows with so many plain words are looked for by their forms, and if they
+#: have fewer than ``LITERALS`` compared token by token; below it by tokens alone.
+SELECTIVE = 2
 
 
 def _is_plain(form: Column) -> Column:
@@ -139,9 +143,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     """Items (template, item, item_id, tokens, length of a window) and windows
     (template, bpos from 0, length, kind, hash); a short item is one window.
 
-    Items with the same windows share a template.  Windows of ``LITERALS``
-    plain words or more are known by their forms, others by their tokens.  In a
-    document an item's first token may have another form: another case, or that
+    Items with the same windows share a template.  In a document an item's first token may have another form: another case, or that
     of a unit after a number.
     """
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), item_tokens(text_of()).alias("tokens"))
@@ -160,15 +162,18 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataF
     rest = F.slice("part", 2, F.greatest(F.col("length") - 1, F.lit(0)))
     rows = rows.select("*", plain(F.col("part")).alias("plain"), plain(rest).alias("plain_rest"))
     entry = lambda kind, h: F.struct(F.lit(kind).alias("kind"), h.alias("hash"))
+    formed = F.xxhash64(hashed(F.col("part")))
+    other = lambda o: F.xxhash64(F.concat(F.array(F.xxhash64(o)), hashed(rest)))
+    least = F.when(F.size("others") > 0, F.least("plain", "plain_rest")).otherwise(F.col("plain"))
     keys = F.concat(
         F.array(
-            F.when(F.col("plain") >= LITERALS, entry(BY_FORM, F.xxhash64(hashed(F.col("part"))))),
-            F.when(
-                (F.col("plain") < LITERALS) | (F.size("others") > 0) & (F.col("plain_rest") < LITERALS),
-                entry(BY_WORD, F.xxhash64(_as_words(F.col("part.raw")))),
-            ),
+            F.when(F.col("plain") >= LITERALS, entry(BY_FORM, formed)).when(F.col("plain") >= SELECTIVE, entry(BY_EQUAL, formed)),
+            F.when(least < SELECTIVE, entry(BY_WORD, F.xxhash64(_as_words(F.col("part.raw"))))),
+        ),
+        F.transform(
+            "others",
+            lambda o: F.when(F.col("plain_rest") >= LITERALS, entry(BY_FIRST, other(o))).when(F.col("plain_rest") >= SELECTIVE, entry(BY_EQUAL, other(o))),
         ),
-        F.transform("others", lambda o: F.when(F.col("plain_rest") >= LITERALS, entry(BY_FIRST, F.xxhash64(F.concat(F.array(F.xxhash64(o)), hashed(rest)))))),
     )
     rows = rows.select("item", "length", "bpos", F.explode(keys).alias("key")).filter("key is not null").select("item", "length", "bpos", "key.kind", "key.hash")
     whole = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("length", "bpos", "kind", "hash"))).alias("windows"))
@@ -207,26 +212,28 @@ def _leaks(stored: DataFrame, number: str, benchmark: DataFrame, window: int = W
     rows = written(paired.select("row").distinct(), "rows")
     texts = written(docs.join(rows, "row").select("row", "doc_id", item_tokens(F.col("text")).alias("theirs")), "texts")
     both = paired.join(texts, "row").join(items, "template")
-    # A first token that has another form in the document must be the same there.
-    same = F.lower(F.get("tokens", F.lit(0))["raw"]) == F.lower(F.get("theirs", F.col("shift").cast("int"))["raw"])
-    both = both.withColumn("at", F.filter("at", lambda x: (x["kind"] != BY_FIRST) | same))
+    theirs = lambda b: F.get("theirs", b + F.col("shift").cast("int"))
+    every = F.sequence(F.lit(0), F.size("tokens") - 1)
+    both = both.withColumn("other", F.filter(every, lambda b: ~F.lower(F.get("tokens", b)["raw"]).eqNullSafe(F.lower(theirs(b)["raw"]))))
+    within = lambda wrong, x: F.exists(wrong, lambda b: (b >= x["bpos"]) & (b < x["bpos"] + F.col("length")))
+    wrong = lambda x: (x["kind"] == BY_FIRST) & F.array_contains("other", 0) | (x["kind"] == BY_EQUAL) & within("other", x)
+    both = both.withColumn("at", F.filter("at", lambda x: ~wrong(x)))
     names = F.filter("tokens", lambda t: (t["form"] == NAME) & ~t["start"])
     both = both.withColumn("names", F.transform(names, lambda t: F.lower(t["raw"])))
 
     def mistaken(b: Column) -> Column:
         """A sentence's first word that meets another word inside a sentence."""
-        ours, other = F.get("tokens", b), F.get("theirs", b + F.col("shift").cast("int"))
-        return ours["start"] & (ours["form"] == NAME) & ~other["start"] & (F.lower(ours["raw"]) != F.lower(other["raw"])) & ~F.array_contains("names", F.lower(ours["raw"]))
+        ours = F.get("tokens", b)
+        return ours["start"] & (ours["form"] == NAME) & ~theirs(b)["start"] & ~F.array_contains("names", F.lower(ours["raw"]))
 
-    both = both.withColumn("mistaken", F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda b: F.coalesce(mistaken(b), F.lit(False))))
-    within = lambda x: F.exists("mistaken", lambda b: (b >= x["bpos"]) & (b < x["bpos"] + F.col("length")))
-    both = both.withColumn("at", F.filter("at", lambda x: ~within(x))).filter(F.size("at") > 0)
+    both = both.withColumn("mistaken", F.filter("other", lambda b: F.coalesce(mistaken(b), F.lit(False))))
+    both = both.withColumn("at", F.filter("at", lambda x: ~within("mistaken", x))).filter(F.size("at") > 0)
 
     def slot(b: Column) -> Column:
         ours = F.get("tokens", b)
         # The capital of a sentence's first word shows a name only if the item has it elsewhere.
         counts = ~_is_plain(ours["form"]) & (~ours["start"] | (ours["form"] != NAME) | F.array_contains("names", F.lower(ours["raw"])))
-        return F.when(counts, F.struct(ours["form"].alias("form"), F.lower(ours["raw"]).alias("ours"), F.lower(F.get("theirs", b + F.col("shift").cast("int"))["raw"]).alias("theirs")))
+        return F.when(counts, F.struct(ours["form"].alias("form"), F.lower(ours["raw"]).alias("ours"), F.lower(theirs(b)["raw"]).alias("theirs")))
 
     covered = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["bpos"], x["bpos"] + F.col("length") - 1))))
     both = both.withColumn("covered", covered)
