@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import fixed, scores, text
-from ..operators import pack, search, structure
+from ..operators import pack, rank, search, structure
 from ..plans import cache, engine, prompt
 from ..sources import corpus
 from .shared import (
@@ -228,7 +228,7 @@ COUNTS = "counts AS (SELECT path, count(*) AS n, count(DISTINCT line_number) AS
 
 
 def _with_counts(spark, sf_dir):
-    counts = _matches(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("line_number").alias("n_lines"))
+    counts = rank.match_counts(_matches(spark, sf_dir))
     return files(spark, sf_dir).join(counts, "path", "left").fillna(0, ["n"]).fillna(1, ["n_lines"])
 
 
@@ -244,9 +244,7 @@ def file_relevance(spark, sf_dir):
     SELECT c.path, round(({snippet_relevance_sql("content")}) * CASE WHEN mean_distance IS NOT NULL THEN 1 + 0.3 / (1 + mean_distance * 0.1) ELSE 1.0 END, 6) AS score
     FROM corpus c LEFT JOIN mean USING (path)""")
 def snippet_relevance(spark, sf_dir):
-    order = Window.partitionBy("path").orderBy("line_number")
-    gaps = _matches(spark, sf_dir).withColumn("gap", F.abs(F.col("line_number") - F.lag("line_number").over(order)))
-    mean = gaps.groupBy("path").agg(F.avg("gap").alias("mean_distance"))
+    mean = rank.mean_distances(_matches(spark, sf_dir))
     rows = files(spark, sf_dir).join(mean, "path", "left")
     return rows.select("path", F.round(scores.snippet_relevance(F.col("content"), FEATURES, mean_distance=F.col("mean_distance")), 6).alias("score"))
 
@@ -256,12 +254,8 @@ RANKED = f"""
 ranked AS (SELECT path, line_number, ({file_relevance_sql("path")}) * ((1 + ln(2.0) * 0.3) * 1.2) * ({snippet_relevance_sql("line")}) AS score FROM hit)"""
 
 
-def _ranked(spark, sf_dir):
-    hit = lines(spark, sf_dir).filter(F.col("line").rlike(f"(?i){PATTERN}"))
-    one = F.lit(1)
-    return hit.select(
-        "path", "line_number", (scores.file_relevance(F.col("path"), FEATURES, one, one) * scores.snippet_relevance(F.col("line"), FEATURES)).alias("score")
-    )
+def _hits(spark, sf_dir):
+    return lines(spark, sf_dir).filter(F.col("line").rlike(f"(?i){PATTERN}"))
 
 
 HIT = f"hit AS (SELECT path, line_number, line FROM lines WHERE regexp_matches(line, '(?i){PATTERN}'))"
@@ -270,18 +264,15 @@ HIT = f"hit AS (SELECT path, line_number, line FROM lines WHERE regexp_matches(l
 @query(f"""WITH {LINES}, {HIT}, {RANKED} SELECT path, line_number, round(score, 6) AS score FROM ranked
     ORDER BY round(score, 6) DESC, path, line_number LIMIT 200""")
 def rank_results(spark, sf_dir):
-    rounded = _ranked(spark, sf_dir).withColumn("score", F.round("score", 6))
-    return rounded.orderBy(F.desc("score"), "path", "line_number").limit(200)
+    return rank.rank_results(_hits(spark, sf_dir), FEATURES, 200)
 
 
 @query(f"""WITH {LINES}, {MATCHES}, {COUNTS}, {HIT}, {RANKED}, s AS (SELECT path, sum(score) * 0.3 + max(score) * 0.7 AS merged FROM ranked GROUP BY path)
     SELECT path, round(({file_relevance_sql("path", "coalesce(n, 0)", "coalesce(n_lines, 1)")}) * coalesce(merged, 1.0), 4) AS importance
     FROM corpus LEFT JOIN counts USING (path) LEFT JOIN s USING (path)""")
 def file_importance(spark, sf_dir):
-    merged = _ranked(spark, sf_dir).groupBy("path").agg((F.sum("score") * 0.3 + F.max("score") * 0.7).alias("merged"))
-    rows = _with_counts(spark, sf_dir).join(merged, "path", "left")
-    score = scores.file_relevance(F.col("path"), FEATURES, F.col("n"), F.col("n_lines")) * F.coalesce("merged", F.lit(1.0))
-    return rows.select("path", F.round(score, 4).alias("importance"))
+    found = rank.file_importance(files(spark, sf_dir), _hits(spark, sf_dir), FEATURES)
+    return found.withColumn("importance", F.round("importance", 4))
 
 
 # -- projects, strategies, prompts, chats, caches --------------------------
@@ -322,13 +313,17 @@ def project_type(spark, sf_dir):
     FROM top GROUP BY 1""")
 def strategy_summary(spark, sf_dir):
     kind = F.when(F.col("keyword_rank") < 2, "first").when(F.col("keyword_rank") < 4, "second")
-    return top_matches(spark, sf_dir).groupBy(F.coalesce(kind, F.lit("unknown")).alias("strategy")).agg(F.count("*").alias("results"))
+    return rank.strategy_summary(top_matches(spark, sf_dir), kind)
 
 
 @query(PACK + " SELECT count(*) AS file_count, bool_or(is_partial) AS has_partial_files, sum(size)::BIGINT AS total_size FROM pack WHERE chosen")
 def context_metadata(spark, sf_dir):
-    rows = _packed(spark, sf_dir)
-    return rows.agg(F.count("*").alias("file_count"), F.bool_or("is_partial").alias("has_partial_files"), F.sum("size").alias("total_size"))
+    return rank.context_metadata(_packed(spark, sf_dir))
+
+
+@query(PACK + " SELECT CAST(k AS INTEGER) AS rank, path, n_matches AS matches, CASE WHEN is_partial THEN 'Yes' ELSE 'No' END AS partial, size FROM pack JOIN items USING (path) WHERE chosen")
+def debug_table(spark, sf_dir):
+    return rank.debug_table(_packed(spark, sf_dir))
 
 
 _RULE = "repeat('=', 80)"
@@ -368,9 +363,7 @@ def cache_stats(spark, sf_dir):
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     rows = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(order))
     rows = rows.withColumn("hit", F.coalesce((seconds("ts") - seconds("before") < 3600).cast("int"), F.lit(0)))
-    return rows.groupBy("event_type").agg(
-        F.count("*").alias("lookups"), F.sum("hit").alias("hits"), F.round(F.sum("hit") * 100.0 / F.count("*"), 6).alias("hit_rate"), F.countDistinct("user_id").alias("entries")
-    )
+    return rank.cache_lookups(rows, "event_type", "hit", "user_id")
 
 
 @query("""WITH last AS (SELECT user_id, max(ts) AS stored_at FROM events GROUP BY user_id), now AS (SELECT max(ts) AS now FROM events)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import graph, search, structure
+from ..shared import fresh_path
 from ..sources import corpus
 from .shared import CODE, CODE_GRAPH, DEFINITIONS, IMPORTS, TARGETS, lines_of, quoted, strip_sql, table
 
@@ -91,10 +90,8 @@ def context_imports(spark, sf_dir):
     firsts AS (SELECT target, min((pos, place)) AS first FROM tried WHERE target IN (SELECT path FROM code) AND target NOT IN (SELECT path FROM given) GROUP BY target)
     SELECT target AS path, CAST(row_number() OVER (ORDER BY first, target) AS INTEGER) AS rank FROM firsts ORDER BY first, target LIMIT 10""")
 def related_files(spark, sf_dir):
-    from pyspark.sql import Window
-
     files = _code(spark, sf_dir)
-    given = files.filter(F.col("path").startswith("src/s_") | F.col("path").startswith("web/")).select("path", F.row_number().over(Window.orderBy("path")).alias("pos"))
+    given = files.filter(F.col("path").startswith("src/s_") | F.col("path").startswith("web/")).select("path", F.col("path").alias("pos"))
     return structure.related_files(structure.context_imports(files), files, given, 10)
 
 
@@ -234,9 +231,14 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(edges, nodes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {GEO}, ids AS (SELECT source AS id FROM geo UNION SELECT target FROM geo),
+    walk AS (SELECT id AS s, id AS t, 0 AS d FROM ids UNION ALL SELECT s, target, d + 1 FROM walk JOIN geo ON source = t WHERE d < 4),
+    dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY s, t), sigma AS (SELECT w.s, w.t, w.d, count(*) AS n FROM walk w JOIN dist USING (s, t, d) GROUP BY ALL),
+    part AS (SELECT a.t AS id, sum(a.n * b.n / whole.n) AS share FROM sigma a JOIN sigma b ON b.s = a.t JOIN sigma whole ON whole.s = a.s AND whole.t = b.t AND whole.d = a.d + b.d
+        WHERE a.d > 0 AND b.d > 0 GROUP BY a.t)
+    SELECT id, round(coalesce(share, 0) / ((SELECT count(*) FROM ids) - 1) / ((SELECT count(*) FROM ids) - 2), 9) AS centrality FROM ids LEFT JOIN part USING (id)""")
 def betweenness(spark, sf_dir):
-    edges = _geo(spark, sf_dir).filter(~F.col("source").startswith("customer:"))
+    edges = _geo(spark, sf_dir)
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     return graph.betweenness(edges, nodes).withColumn("centrality", F.round("centrality", 9))
 
@@ -265,21 +267,17 @@ def impact_analysis(spark, sf_dir):
 
 @query(f"""{CODE_GRAPH}, pairs AS (SELECT DISTINCT source, target FROM g_edges UNION SELECT DISTINCT target, source FROM g_edges UNION SELECT id, 'file:none.py' FROM g_nodes WHERE type = 'class'
         UNION SELECT c.id, f.id FROM g_nodes c JOIN g_nodes f ON f.path = c.path WHERE c.type = 'class' AND f.type = 'function'),
-    fwd AS (SELECT DISTINCT source, target, type FROM g_edges)
+    firsts AS (SELECT source, target, arg_min(type, list_position(['contains', 'imports', 'calls'], type)) AS type FROM g_edges GROUP BY source, target)
     SELECT p.source, p.target, CASE WHEN p.source NOT IN (SELECT id FROM g_nodes) OR p.target NOT IN (SELECT id FROM g_nodes) THEN 'unknown'
-        WHEN f.calls OR f.contains OR f.imports THEN 'forward' WHEN b.source IS NOT NULL THEN 'reverse' ELSE 'indirect' END AS relationship
-    FROM pairs p LEFT JOIN (SELECT source, target, bool_or(type = 'calls') AS calls, bool_or(type = 'contains') AS contains, bool_or(type = 'imports') AS imports FROM fwd GROUP BY ALL) f
-        ON f.source = p.source AND f.target = p.target LEFT JOIN (SELECT DISTINCT source, target FROM fwd) b ON b.source = p.target AND b.target = p.source""")
+        WHEN f.type IS NOT NULL THEN f.type WHEN b.type IS NOT NULL THEN 'reverse_' || b.type ELSE 'indirect' END AS relationship
+    FROM pairs p LEFT JOIN firsts f ON f.source = p.source AND f.target = p.target LEFT JOIN firsts b ON b.source = p.target AND b.target = p.source""")
 def relationship_type(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     pair = edges.select("source", "target")
     cls = nodes.filter("type = 'class'").select(F.col("id").alias("source"), "path")
     mates = cls.join(nodes.filter("type = 'function'").select(F.col("id").alias("target"), "path"), "path").select("source", "target")
     pairs = pair.union(edges.select("target", "source")).union(cls.select("source", F.lit("file:none.py"))).union(mates)
-    kinds = graph.relationship_types(pairs, edges, nodes)
-    # Parallel edges have no order in SQL, so only the direction is compared.
-    label = F.when(F.col("relationship").isin("unknown", "indirect"), F.col("relationship")).when(F.col("relationship").startswith("reverse_"), "reverse").otherwise("forward")
-    return kinds.withColumn("relationship", label)
+    return graph.relationship_types(pairs, edges, nodes)
 
 
 @query(f"""{CODE_GRAPH}, bw AS (SELECT source AS a, target AS b FROM g_edges UNION SELECT target, source FROM g_edges),
@@ -304,17 +302,40 @@ def semantic_search(spark, sf_dir):
     return rows.withColumn("relevance", F.round("relevance", 6))
 
 
-@query()
+def _term_sql(term: str) -> str:
+    """Nodes, files and impact of one term."""
+    count = f"(length(code) - length(replace(lower(code), '{term}', ''))) // {len(term)}"
+    return f"""
+    scored_{term} AS (SELECT id, path, greatest(CASE WHEN contains(lower(name), '{term}') THEN CASE WHEN lower(name) = '{term}' THEN 1.0 WHEN starts_with(lower(name), '{term}') THEN 0.9 ELSE 0.7 END END,
+            CASE WHEN contains(lower(code), '{term}') THEN least(least({count} * 0.1, 0.6) + CASE WHEN contains(lower(code), 'def {term}') OR contains(lower(code), 'class {term}') THEN 0.3 ELSE 0 END, 1.0) END) AS relevance
+        FROM coded WHERE contains(lower(name), '{term}') OR contains(lower(code), '{term}')),
+    best_{term} AS (SELECT *, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM scored_{term} QUALIFY rank <= 10),
+    fn_{term} AS (SELECT id FROM g_nodes WHERE name = '{term}' AND type = 'function'),
+    r1_{term} AS (SELECT DISTINCT b AS id FROM bw JOIN fn_{term} f ON a = f.id), r2_{term} AS (SELECT DISTINCT b AS id FROM bw JOIN r1_{term} r ON a = r.id),
+    r3_{term} AS (SELECT DISTINCT b AS id FROM bw JOIN r2_{term} r ON a = r.id),
+    near_{term} AS (SELECT id FROM (FROM r1_{term} UNION FROM r2_{term} UNION FROM r3_{term}) WHERE id NOT IN (FROM fn_{term})),
+    all_{term} AS (SELECT 'node' AS kind, id FROM best_{term} UNION ALL SELECT DISTINCT 'file', path FROM best_{term} WHERE rank <= 5 AND path IS NOT NULL
+        UNION ALL SELECT DISTINCT 'impact:direct_caller', source FROM g_edges JOIN fn_{term} f ON target = f.id WHERE type = 'calls' UNION ALL SELECT 'impact:indirect', id FROM near_{term}
+        UNION ALL SELECT DISTINCT 'impact:file', path FROM g_nodes WHERE path IS NOT NULL AND (id IN (FROM near_{term}) OR id IN (FROM fn_{term})))"""
+
+
+_CONTEXT_TERMS = ["f_1", "g_nation_0", "price"]
+
+
+@query(f"""{CODE_GRAPH}, {lines_of("code")}, bodies AS (SELECT n.id, string_agg(line, chr(10) ORDER BY line_number) AS code FROM g_nodes n JOIN lines l
+        ON l.path = n.path AND line_number BETWEEN n.start_line AND n.end_line GROUP BY ALL),
+    coded AS (SELECT n.id, n.name, n.path, b.code FROM g_nodes n LEFT JOIN bodies b USING (id)),
+    bw AS (SELECT source AS a, target AS b FROM g_edges UNION SELECT target, source FROM g_edges), {", ".join(map(_term_sql, _CONTEXT_TERMS))}
+    {" UNION ALL ".join(f"SELECT '{t}' AS term, kind, id FROM all_{t}" + ("" if t != "price" else " WHERE NOT starts_with(kind, 'impact')") for t in _CONTEXT_TERMS)}""")
 def question_context(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return graph.question_context(nodes, edges, ["f_1", "g_nation_0", "price"])
+    return graph.question_context(nodes, edges, "What would change with f_1, g_nation_0 and price?", _CONTEXT_TERMS)
 
 
 @query(f"{CODE_GRAPH} SELECT 'node' AS kind, id, type FROM g_nodes UNION ALL SELECT 'edge', source || ' ' || target, type FROM g_edges")
 def graph_json_roundtrip(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "graph")
     graph.write_graph(nodes, edges, folder)
     nodes, edges = graph.read_graph(spark, folder)
     return nodes.select(F.lit("node").alias("kind"), "id", "type").unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws(" ", "source", "target").alias("id"), "type"))

@@ -33,6 +33,14 @@ GRAPH_IGNORES = (
     "__pycache__ .git node_modules dist build .pytest_cache .mypy_cache target .venv venv site-packages .env env .tox eggs *.egg-info .DS_Store Thumbs.db "
     ".idea .vscode .coverage"
 ).split()
+# Names of file types that searches accept beside endings.
+FILE_TYPES = {
+    "python": "py", "js": "js", "ts": "ts", "java": "java", "go": "go", "rust": "rs", "cpp": "cpp", "c": "c", "csharp": "cs", "ruby": "rb", "php": "php",
+    "swift": "swift", "kotlin": "kt",
+}
+# What dependency graphs are made from, and what is never analysed.
+GRAPH_ENDINGS = (".py", ".java", ".js", ".ts")
+BINARY_ENDINGS = (".pyc", ".pyo", ".so", ".dylib", ".dll", ".exe", ".bin")
 # Languages by file ending: for display, and for deciding which are in use.
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust",
@@ -65,6 +73,11 @@ METADATA_MANIFESTS = {
     "package.json": ("node", "javascript"), "setup.py": ("python", "python"), "pyproject.toml": ("python", "python"), "pom.xml": ("maven", "java"),
     "go.mod": ("go", "go"), "Cargo.toml": ("rust", "rust"),
 }
+MANIFEST_LANGUAGES = {
+    "package.json": "JavaScript", "setup.py": "Python", "pyproject.toml": "Python", "Cargo.toml": "Rust", "go.mod": "Go", "pom.xml": "Java",
+    "build.gradle": "Java", "composer.json": "PHP", "Gemfile": "Ruby",
+}
+ENDING_TYPES = ((("py",), "Python"), (("js", "ts"), "JavaScript"), (("java",), "Java"), (("go",), "Go"))
 TEST_FOLDERS = ("test", "tests", "spec", "__tests__")
 NODE_TYPES = "file function class variable import call parameter return_type".split()
 EDGE_TYPES = "contains calls imports inherits references defines uses implements depends_on".split()

@@ -2,28 +2,22 @@
 end_line, code) and edges(edge_id, source, target, type, name).
 
 Traversals are loops of joins over the frontier; every round is written to
-the checkpoint folder, so plans stay short and a lost executor costs one
+the shared folder, so plans stay short and a lost executor costs one
 round.
 """
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.scores import code_relevance, name_relevance
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanternq-"))
-    return df.checkpoint(eager=True)
-
+from ..functions.text import language_of
+from ..shared import written as saved
+from ..sources.corpus import extension
 
 # -- building -------------------------------------------------------------
 
@@ -50,19 +44,39 @@ def nodes(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: D
         F.col("target").alias("id"), F.lit("import").alias("type"), "name", none.cast("string").alias("path"), none.cast("int").alias("start_line"),
         none.cast("int").alias("end_line"), none.cast("string").alias("code"),
     )
-    every = file_nodes.unionByName(of(functions, "func", "function")).unionByName(of(classes, "class", "class")).unionByName(outside)
-    return every.dropDuplicates(["id"])
+    return upserted([file_nodes, of(functions, "func", "function"), of(classes, "class", "class"), outside])
+
+
+def upserted(arrivals: list[DataFrame], key: str = "id") -> DataFrame:
+    """One row for each id: of the last table that has it, there the one that lies last in its file."""
+    every = None
+    for k, rows in enumerate(arrivals):
+        rows = rows.withColumn("_at", F.lit(k))
+        every = rows if every is None else every.unionByName(rows)
+    columns = [c for c in every.columns if c not in ("_at", key)]
+    order = F.struct("_at", *(F.coalesce(c, F.lit(-1)) for c in ("start_line", "end_line")), *(F.coalesce(c, F.lit("")) for c in ("name", "path", "code")))
+    return every.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("last")).select(key, *(f"last.{c}" for c in columns))
+
+
+#: In the order in which a file's edges are made; the first of parallel edges counts.
+EDGE_ORDER = ("contains", "imports", "calls")
 
 
 def edges(functions: DataFrame, classes: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
-    """contains, imports and calls edges; calls start at the calling file."""
+    """contains, imports and calls edges; calls start at the calling file.
+    edge_id grows in the order of ``EDGE_ORDER``."""
     contains = lambda rows, kind: rows.select(
         file_id(F.col("path")).alias("source"), _definition_id(kind).alias("target"), F.lit("contains").alias("type"), "name"
     )
     imported = imports.select(file_id(F.col("path")).alias("source"), "target", F.lit("imports").alias("type"), "name")
     called = calls.select(file_id(F.col("path")).alias("source"), _definition_id("func", "target_path").alias("target"), F.lit("calls").alias("type"), "name")
     every = contains(functions, "func").unionByName(contains(classes, "class")).unionByName(imported).unionByName(called)
-    return every.withColumn("edge_id", F.xxhash64("source", "target", "type", "name"))
+    return every.withColumn("edge_id", edge_number("source", "target", "type", "name"))
+
+
+def edge_number(source: str, target: str, type: str, name: str) -> Column:
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, EDGE_ORDER)), F.col(type)), F.lit(0)).cast("long")
+    return F.shiftleft(rank, 60).bitwiseOR(F.shiftrightunsigned(F.xxhash64(source, target, type, name), 4))
 
 
 def function_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
@@ -145,21 +159,35 @@ def call_chains(edges: DataFrame, starts: DataFrame, most: int = 5) -> DataFrame
     return (out if out is not None else front).select("start", "chain")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
-    """source, target, path (the least of the shortest) of each pair that is connected."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """source, target, path (the least of the shortest) of each pair that is
+    connected, however far.  A source goes on only while it has open pairs."""
     step = saved(edges.select("source", "target").distinct().withColumnsRenamed({"source": "a", "target": "b"}))
-    open_pairs = saved(pairs.select("source", "target").distinct())
-    front = open_pairs.select(F.col("source").alias("root"), F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    reached, done = front.select("root", "node"), None
-    for _ in range(most + 1):
-        hit = front.join(open_pairs, (front.root == open_pairs.source) & (front.node == open_pairs.target)).select("source", "target", "path")
-        done = hit if done is None else done.unionByName(hit)
-        new = front.join(step, front.node == step.a).groupBy("root", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
-        front = saved(new.join(reached, ["root", "node"], "left_anti"))
+    waiting = saved(pairs.select("source", "target").distinct())
+    front = waiting.select(F.col("source").alias("root"), F.col("source").alias("node"), F.array("source").alias("path")).distinct()
+    reached, done = [saved(front.select("root", "node"))], []
+    while True:
+        hit = front.join(waiting, (front.root == waiting.source) & (front.node == waiting.target)).select("source", "target", "path")
+        done.append(saved(hit))
+        waiting = saved(waiting.join(done[-1], ["source", "target"], "left_anti"))
+        new = front.join(waiting.select(F.col("source").alias("root")).distinct(), "root", "left_semi").join(step, F.col("node") == step.a)
+        new = new.groupBy("root", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+        for known in reached:
+            new = new.join(known, ["root", "node"], "left_anti")
+        front = saved(new)
         if front.isEmpty():
             break
-        reached = reached.unionByName(front.select("root", "node"))
-    return done
+        reached.append(front.select("root", "node"))
+        if len(reached) > 8:  # long walks: few tables to look into
+            reached = [saved(_union(reached))]
+    return _union(done)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,12 +205,33 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, centrality: directed betweenness, normalised, by counting shortest
-    paths from every node in rounds of joins and adding up dependencies
-    backwards (Brandes)."""
+#: Sources whose paths are counted at once.
+BETWEENNESS_SOURCES = 100_000
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = BETWEENNESS_SOURCES) -> DataFrame:
+    """id, centrality: directed betweenness, normalised, over all nodes as
+    sources, a batch of them at a time; each batch is summed before the next."""
     step = saved(edges.select("source", "target").filter("source <> target").distinct())
-    levels = [saved(nodes.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
+    n = nodes.count()
+    batches = max(1, math.ceil(n / sources))
+    sums = []
+    for k in range(batches):
+        part = nodes.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == k)
+        found = _dependencies_of(step, part.select("id"))
+        if found is not None:
+            sums.append(saved(found.groupBy(F.col("v").alias("id")).agg(F.sum("share").alias("share"))))
+    if not sums:
+        return nodes.select("id", F.lit(0.0).alias("centrality"))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    total = _union(sums).groupBy("id").agg((F.sum("share") * scale).alias("centrality"))
+    return nodes.select("id").join(total, "id", "left").fillna(0.0, ["centrality"])
+
+
+def _dependencies_of(step: DataFrame, starts: DataFrame) -> DataFrame | None:
+    """s, v, share of each reached node, by counting shortest paths from the
+    starts in rounds of joins and adding up dependencies backwards (Brandes)."""
+    levels = [saved(starts.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))]
     reached = levels[0].select("s", "v")
     while True:
         front = levels[-1]
@@ -205,12 +254,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         up = levels[depth - 1].withColumnsRenamed({"v": "u", "paths": "paths_u"})
         edge = here.join(step, here.v == step.target).join(up, (here.s == up.s) & (step.source == up.u))
         below = edge.groupBy(here.s, F.col("u").alias("v")).agg(F.sum(F.col("paths_u") / F.col("paths") * (1 + F.col("share"))).alias("share"))
-    n = nodes.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if total is None:
-        return nodes.select("id", F.lit(0.0).alias("centrality"))
-    sums = total.groupBy(F.col("v").alias("id")).agg((F.sum("share") * scale).alias("centrality"))
-    return nodes.select("id").join(sums, "id", "left").fillna(0.0, ["centrality"])
+    return total
 
 
 # -- statistics and composed questions ------------------------------------
@@ -236,6 +280,20 @@ def statistics(nodes: DataFrame, edges: DataFrame, components: DataFrame | None
     return out.unionByName(sizes.select(F.lit("average_degree").alias("metric"), degree.alias("value")))
 
 
+def map_statistics(nodes: DataFrame, edges: DataFrame, files: DataFrame, seconds: float | None = None) -> DataFrame:
+    """metric, value: nodes, edges, files by language, and the seconds that the map took, if known."""
+    count = lambda rows, name: rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+    by_language = files.groupBy(language_of(extension(F.col("path"))).alias("language")).agg(F.count("*").alias("value"))
+    out = count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(by_language.select(F.concat(F.lit("language:"), "language").alias("metric"), "value"))
+    if seconds is not None:
+        out = out.unionByName(nodes.sparkSession.createDataFrame([("seconds", int(seconds))], "metric string, value long"))
+    return out
+
+
+def excerpt(code: Column, chars: int = 100) -> Column:
+    return F.substring(code, 1, chars)
+
+
 def relationship_types(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """source, target, relationship: the first edge's type, that of the reverse
     edge with a prefix, indirect, or unknown where an end is no node."""
@@ -250,12 +308,38 @@ def relationship_types(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) ->
 
 def semantic_search(nodes: DataFrame, query: str, most: int = 50) -> DataFrame:
     """id, name, relevance, match_type of the nodes whose name or code holds the query, each once with its best score."""
-    q = query.lower()
-    by_name = nodes.filter(F.lower("name").contains(q)).select("id", "name", name_relevance(F.col("name"), query).alias("relevance"), F.lit("name").alias("match_type"))
-    by_code = nodes.filter(F.lower("code").contains(q)).select("id", "name", code_relevance(F.col("code"), query).alias("relevance"), F.lit("code").alias("match_type"))
-    best = Window.partitionBy("id").orderBy(F.desc("relevance"), F.desc("match_type"))
-    every = by_name.unionByName(by_code).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
-    return every.orderBy(F.desc("relevance"), "id").limit(most)
+    return term_search(nodes, [query], most).drop("term", "rank").orderBy(F.desc("relevance"), "id")
+
+
+def term_search(nodes: DataFrame, terms: list[str], most: int = 50) -> DataFrame:
+    """term, rank, id, name, relevance, match_type: the best nodes of each term.
+
+    The terms of a question are few: they are literals of one scan over the nodes.
+    """
+
+    def best(term: str) -> Column:
+        q = term.lower()
+        by_name = F.when(F.lower("name").contains(q), name_relevance(F.col("name"), term))
+        by_code = F.when(F.lower("code").contains(q), code_relevance(F.col("code"), term))
+        kind = F.when(by_name.isNotNull() & (by_code.isNull() | (by_name >= by_code)), "name").otherwise("code")
+        return F.when(by_name.isNotNull() | by_code.isNotNull(), F.struct(F.lit(term).alias("term"), F.greatest(by_name, by_code).alias("relevance"), kind.alias("match_type")))
+
+    found = nodes.select("id", "name", F.explode(F.array_compact(F.array(*map(best, terms)))).alias("m")).select("m.term", "id", "name", "m.relevance", "m.match_type")
+    order = Window.partitionBy("term").orderBy(F.desc("relevance"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def with_context(found: DataFrame, edges: DataFrame, kind: str = "all") -> DataFrame:
+    """found (id, ...) with related_nodes, the sorted context nodes of each id."""
+    around = context_nodes(edges, found.select("id").distinct(), kind).groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("related_nodes"))
+    return found.join(around, "id", "left").withColumn("related_nodes", F.coalesce("related_nodes", F.array().cast("array<string>")))
+
+
+def function_terms(nodes: DataFrame, terms: list[str]) -> DataFrame:
+    """pos, term of the terms that name a function."""
+    ranked = nodes.sparkSession.createDataFrame([(i, t) for i, t in enumerate(terms)], "pos int, term string")
+    named = nodes.filter("type = 'function'").filter(F.col("name").isin(*terms)).select(F.col("name").alias("term")).distinct()
+    return ranked.join(named, "term", "left_semi").select("pos", "term")
 
 
 def related_concepts(nodes: DataFrame, edges: DataFrame, concept: str, most_distance: int = 2, most: int = 20) -> DataFrame:
@@ -303,18 +387,34 @@ def data_flows(nodes: DataFrame, edges: DataFrame, terms: list[str]) -> DataFram
     return shortest_paths(edges, pairs)
 
 
-def question_context(nodes: DataFrame, edges: DataFrame, terms: list[str], per_term: int = 10, files: int = 5) -> DataFrame:
-    """term, kind, id: the best nodes of each term and the files they lie in."""
-    out = None
-    for term in terms:
-        best = semantic_search(nodes, term, per_term).select(F.lit(term).alias("term"), F.lit("node").alias("kind"), "id", "relevance")
-        held = best.join(nodes.select("id", "path"), "id").filter("path is not null").groupBy("path").agg(F.max("relevance").alias("relevance"))
-        top = held.orderBy(F.desc("relevance"), "path").limit(files).select(F.lit(term).alias("term"), F.lit("file").alias("kind"), F.col("path").alias("id"), "relevance")
-        both = best.unionByName(top)
-        out = both if out is None else out.unionByName(both)
+def question_context(nodes: DataFrame, edges: DataFrame, question: str, terms: list[str], per_term: int = 10, files: int = 5) -> DataFrame:
+    """term, kind, id: the best nodes of each term (node), the files of its
+    first few (file), call chains of up to three steps from the functions it
+    names (chain), shortest paths between functions of different terms (flow),
+    and, if the question asks for a change, what the change touches (impact)."""
+    if not terms:
+        return nodes.select(F.lit("").alias("term"), F.lit("").alias("kind"), "id").limit(0)
+    best = saved(term_search(nodes, terms, per_term))
+    out = best.select("term", F.lit("node").alias("kind"), "id")
+    held = best.filter(F.col("rank") <= files).join(nodes.select("id", "path"), "id").filter("path is not null")
+    out = out.unionByName(held.select("term", F.lit("file").alias("kind"), F.col("path").alias("id")).distinct())
+    named = saved(nodes.filter((F.col("type") == "function") & F.col("name").isin(*terms)).select("id", F.col("name").alias("term")))
+    text = F.array_join("chain", " -> ")
+    chains = call_chains(edges, named.select("id"), 3).join(named.withColumnRenamed("id", "start"), "start")
+    out = out.unionByName(chains.select("term", F.lit("chain").alias("kind"), text.alias("id")))
+    flows = data_flows(nodes, edges, terms).join(named, F.col("source") == named.id)
+    out = out.unionByName(flows.select("term", F.lit("flow").alias("kind"), F.array_join("path", " -> ").alias("id")))
+    if is_change(question):
+        for r in function_terms(nodes, terms).collect():  # at most the question's terms
+            touched = impact(nodes, edges, r.term)
+            out = out.unionByName(touched.select(F.lit(r.term).alias("term"), F.concat(F.lit("impact:"), "kind").alias("kind"), "id"))
     return out
 
 
+def is_change(question: str) -> bool:
+    return any(w in question.lower() for w in fixed.CHANGE_WORDS)
+
+
 # -- JSON -----------------------------------------------------------------
 
 NODE_SCHEMA = "id string, type string, name string, path string, start_line int, end_line int, code string"

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.scores import path_score
 from ..functions.text import stripped, symbol_patterns
 from ..sources.corpus import extension, glob_regex, is_ignored
@@ -42,6 +43,15 @@ def first_n_per_file(matches: DataFrame, most: int, *by: str) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
+#: The one backend; there is no external program to choose.
+PRIMARY_SEARCH_TOOL = "spark"
+
+
+def ending_of_type(name: str) -> str:
+    """The file ending of a type, given by name or as the ending itself."""
+    return "." + fixed.FILE_TYPES.get(name.lower(), name).lstrip(".")
+
+
 def search_text(
     lines: DataFrame,
     pattern: str,
@@ -58,7 +68,7 @@ def search_text(
     """
     p = effective(pattern, case_sensitive, whole_word, regex)
     if file_types:
-        lines = lines.filter(extension(F.col("path")).isin([f".{t.lstrip('.')}" for t in file_types]))
+        lines = lines.filter(extension(F.col("path")).isin(*map(ending_of_type, file_types)))
     hits = lines.filter(F.col("line").rlike(p))
     if max_results:
         hits = first_n_per_file(hits, max_results)
@@ -68,10 +78,20 @@ def search_text(
         first_column(F.col("line"), p).alias("column"),
         F.regexp_count("line", F.lit(p)).cast("int").alias("match_count"),
         path_score(F.concat(F.lit("/"), "path")).alias("score"),
-        F.lit("spark").alias("search_tool"),
+        F.lit(PRIMARY_SEARCH_TOOL).alias("search_tool"),
     )
 
 
+def search_as_grep(lines: DataFrame, pattern: str, file_types: list[str] | None = None, max_results: int | None = 100, **options) -> DataFrame:
+    """path, line_number, line: what a search gives without columns, counts and scores."""
+    return search_text(lines, pattern, file_types, max_results, **options).select("path", "line_number", "line")
+
+
+def search_as_ag(lines: DataFrame, pattern: str, file_types: list[str] | None = None, max_results: int | None = 100, **options) -> DataFrame:
+    """path, line_number, line, column and score, which are constant."""
+    return search_as_grep(lines, pattern, file_types, max_results, **options).select("*", F.lit(0).alias("column"), F.lit(1.0).alias("score"))
+
+
 def search_patterns(lines: DataFrame, patterns: list[str], max_results: int = 100) -> DataFrame:
     """One scan for several patterns; a row for each (pattern, line)."""
     if not patterns:
@@ -119,10 +139,13 @@ def initial_search(lines: DataFrame, keywords: list[str], most_per_file: int = 5
 
 
 def merge_results(keyword_hits: DataFrame, semantic_hits: DataFrame) -> DataFrame:
-    """Both lists by path and line, where the keyword hit counts; missing scores count as zero."""
+    """Both lists by path and line, where the keyword hit counts, best scores
+    first, then most hits; missing scores count as zero."""
     both = keyword_hits.withColumn("origin", F.lit(0)).unionByName(semantic_hits.withColumn("origin", F.lit(1)), allowMissingColumns=True)
     first = Window.partitionBy("path", "line_number").orderBy("origin")
-    return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    out = both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    hits = F.desc_nulls_last("hits") if "hits" in out.columns else F.asc("origin")
+    return out.orderBy(F.desc("score"), hits, "origin", "path", "line_number")
 
 
 def file_context(lines: DataFrame, targets: DataFrame, around: int = 5) -> DataFrame:
@@ -145,10 +168,13 @@ def find_files(files: DataFrame, pattern: str, syntax: str = "regex", extensions
 
 def decode_grep(rows: DataFrame, column: str = "raw") -> DataFrame:
     """path, line_number, line of ``path:line:text`` rows; others go."""
-    from ..functions.fixed import GREP_LINE
+    part = lambda k: F.regexp_extract(column, fixed.GREP_LINE, k)
+    return rows.filter(F.col(column).rlike(fixed.GREP_LINE)).select(part(1).alias("path"), part(2).cast("int").alias("line_number"), stripped(part(3)).alias("line"))
+
 
-    part = lambda k: F.regexp_extract(column, GREP_LINE, k)
-    return rows.filter(F.col(column).rlike(GREP_LINE)).select(part(1).alias("path"), part(2).cast("int").alias("line_number"), stripped(part(3)).alias("line"))
+def decode_ag(rows: DataFrame, column: str = "raw") -> DataFrame:
+    """As ``decode_grep``, with a constant column and score."""
+    return decode_grep(rows, column).select("*", F.lit(0).alias("column"), F.lit(1.0).alias("score"))
 
 
 RG_SCHEMA = (

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import found
+from ..functions.text import docstring_text, found
+from ..shared import written as saved
 
 SCHEMA = "path string, kind string, name string, start_line int, end_line int, start_column int, code string, parse_error boolean"
 
@@ -77,6 +78,7 @@ def java_rows(content: str) -> Iterator[tuple]:
             yield ("javadoc", "", line_of(m.start()), line_of(m.end()), m.start() - content.rfind("\n", 0, m.start()) - 1, m[0], False)
     opened: list[tuple | None] = []
     last, types = 0, []
+    broken = text.count("{") != text.count("}")
     for m in re.finditer("[{};]", text):
         head, start = text[last : m.start()], last
         last = m.end()
@@ -98,21 +100,26 @@ def java_rows(content: str) -> Iterator[tuple]:
                 if entry[0] == "class" and types:
                     types.pop()
                 a, b = line_of(entry[2]), line_of(m.start())
-                yield (*entry[:2], a, b, entry[2] - content.rfind("\n", 0, entry[2]) - 1, "\n".join(rows[a - 1 : b]), bool(opened and False))
+                yield (*entry[:2], a, b, entry[2] - content.rfind("\n", 0, entry[2]) - 1, "\n".join(rows[a - 1 : b]), broken)
 
 
-def structure(files: DataFrame) -> DataFrame:
-    """All rows of the Python and Java files of a corpus (path, ext, content)."""
+#: What reads the files of each language that can be parsed.
+PARSERS = {"python": (".py", python_rows), "java": (".java", java_rows)}
+
+
+def structure(files: DataFrame, languages: tuple[str, ...] = fixed.PARSED_LANGUAGES) -> DataFrame:
+    """All rows of the files of a corpus (path, ext, content) in languages that can be parsed."""
+    readers = {ext: read for name, (ext, read) in PARSERS.items() if name in languages}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for path, ext, content in zip(batch["path"], batch["ext"], batch["content"]):
                 if content is not None:
-                    out += [(path, *row) for row in (python_rows if ext == ".py" else java_rows)(content)]
+                    out += [(path, *row) for row in readers[ext](content)]
             yield pd.DataFrame(out, columns=["path", "kind", "name", "start_line", "end_line", "start_column", "code", "parse_error"])
 
-    rows = files.filter(F.col("ext").isin(".py", ".java")).select("path", "ext", "content")
+    rows = files.filter(F.col("ext").isin(*readers)).select("path", "ext", "content")
     return rows.mapInPandas(run, SCHEMA)
 
 
@@ -125,7 +132,9 @@ def classes(structured: DataFrame) -> DataFrame:
 
 
 def docstrings(structured: DataFrame) -> DataFrame:
+    """Doc strings without quotes at their ends, and doc comments as they stand."""
     kind = F.regexp_replace("kind", "_docstring$", "")
+    structured = structured.withColumn("code", F.when(F.col("kind") == "javadoc", F.col("code")).otherwise(docstring_text(F.col("code"))))
     return structured.filter(F.col("kind").endswith("docstring") | (F.col("kind") == "javadoc")).select(
         "path", kind.alias("type"), F.col("code").alias("content"), "start_line", "end_line"
     )
@@ -137,36 +146,111 @@ def node_at(structured: DataFrame, path: str, line: int) -> DataFrame:
     return inside.orderBy(F.col("end_line") - F.col("start_line"), "start_line", "name").limit(1)
 
 
-def tree_rows(content: str) -> Iterator[tuple[int, int | None, int, str, int]]:
-    """(node, parent, depth, type, line) of a Python file in pre-order."""
-    todo: list[tuple[ast.AST, int | None, int]] = [(ast.parse(content), None, 0)]
-    count = 0
-    while todo:
-        node, parent, depth = todo.pop()
-        yield count, parent, depth, type(node).__name__, getattr(node, "lineno", 0)
-        todo += [(child, count, depth + 1) for child in reversed(list(ast.iter_child_nodes(node)))]
-        count += 1
+#: Node types of Java files, by what the scanner finds.
+JAVA_TYPES = {"class": "class_declaration", "function": "method_declaration", "constructor": "constructor_declaration", "javadoc": "block_comment"}
+
+
+def syntax_rows(content: str, ext: str) -> Iterator[tuple]:
+    """(type, name, text, start line, end line, start column, end column, depth,
+    number of the parent) of each syntax node with a place, in pre-order.
+    Of Java files only definitions and doc comments are nodes."""
+    if ext == ".py":
+        try:
+            tree = ast.parse(content)
+        except (SyntaxError, ValueError, RecursionError):
+            return
+        todo: list[tuple[ast.AST, int, int]] = [(child, 1, -1) for child in reversed(tree.body)]
+        count = 0
+        while todo:
+            node, depth, parent = todo.pop()
+            own = parent
+            if hasattr(node, "lineno"):
+                yield type(node).__name__, getattr(node, "name", None), ast.get_source_segment(content, node) or "", node.lineno, node.end_lineno, node.col_offset, node.end_col_offset, depth, parent
+                own, count = count, count + 1
+            todo += [(child, depth + 1, own) for child in reversed(list(ast.iter_child_nodes(node)))]
+        return
+    rows = [r for r in java_rows(content) if r[0] in JAVA_TYPES]
+    around: list[tuple[int, int]] = []  # number and last line of the definitions around
+    for count, (kind, name, a, b, column, code, _) in enumerate(sorted(rows, key=lambda r: (r[2], -r[3], r[4]))):
+        while around and around[-1][1] < b:
+            around.pop()
+        last = code.rsplit("\n", 1)[-1]
+        text = code[column:] if kind != "javadoc" else code
+        yield JAVA_TYPES[kind], name or None, text, a, b, column, len(last) + (column if kind == "javadoc" and a == b else 0), len(around) + 1, around[-1][0] if around else -1
+        if kind != "javadoc":
+            around.append((count, b))
+
+
+SYNTAX_SCHEMA = (
+    "path string, node int, type string, name string, text string, start_line int, end_line int, start_column int, end_column int, depth int, parent int"
+)
 
 
-def matching_nodes(files: DataFrame, node_type: str, capture: str = "node") -> DataFrame:
-    """Python syntax nodes of a type: path, capture, text, type, start_line, end_line, start_column, end_column."""
+def syntax_tree(files: DataFrame) -> DataFrame:
+    """The syntax nodes of Python and Java files in pre-order: path, node (a
+    number from zero), type, name, text, place, depth, parent (-1 at the top)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    tree = ast.parse(content or "")
-                except (SyntaxError, ValueError):
-                    continue
-                for node in ast.walk(tree):
-                    if type(node).__name__ == node_type and hasattr(node, "lineno"):
-                        text = ast.get_source_segment(content, node) or ""
-                        out.append((path, capture, text, node_type, node.lineno, node.end_lineno, node.col_offset, node.end_col_offset))
-            yield pd.DataFrame(out, columns=["path", "capture", "text", "type", "start_line", "end_line", "start_column", "end_column"])
-
-    schema = "path string, capture string, text string, type string, start_line int, end_line int, start_column int, end_column int"
-    return files.filter("ext = '.py'").select("path", "content").mapInPandas(run, schema)
+            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"]):
+                out += [(path, k, *row) for k, row in enumerate(syntax_rows(content or "", ext))]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SYNTAX_SCHEMA.split(", ")])
+
+    return files.filter(F.col("ext").isin(".py", ".java")).select("path", "ext", "content").mapInPandas(run, SYNTAX_SCHEMA)
+
+
+def matching_nodes(files: DataFrame, node_types: list[str] | str, capture: str = "node") -> DataFrame:
+    """The syntax nodes of some types: path, capture, text, type, start_line, end_line, start_column, end_column."""
+    wanted = [node_types] if isinstance(node_types, str) else node_types
+    return syntax_tree(files).filter(F.col("type").isin(*wanted)).select("path", F.lit(capture).alias("capture"), "text", "type", "start_line", "end_line", "start_column", "end_column")
+
+
+def owners(tree: DataFrame, owner_types: tuple[str, ...] = ("FunctionDef", "AsyncFunctionDef", "ClassDef", *JAVA_TYPES.values())) -> DataFrame:
+    """path, node, owner: the definition that each syntax node lies in directly
+    or through nodes that are no definitions; rounds follow the parents."""
+    is_owner = F.col("type").isin(*owner_types)
+    known = tree.select("path", F.col("node").alias("parent"), is_owner.alias("ends"), F.col("parent").alias("above"))
+    open_rows, done = tree.select("path", "node", "parent"), None
+    while True:
+        step = open_rows.join(known, ["path", "parent"])
+        found = saved(step.select("path", "node", F.when(F.col("ends"), F.col("parent")).alias("owner"), "above"))
+        here = found.filter("owner is not null").select("path", "node", "owner")
+        done = here if done is None else done.unionByName(here)
+        open_rows = found.filter("owner is null and above >= 0").select("path", "node", F.col("above").alias("parent"))
+        if open_rows.isEmpty():
+            return done
+
+
+def tags(structured: DataFrame) -> DataFrame:
+    """symbol, path, pattern (its first line), type of each definition."""
+    kinds = structured.filter(F.col("kind").isin("function", "constructor", "class"))
+    return kinds.select(F.col("name").alias("symbol"), "path", F.substring_index("code", "\n", 1).alias("pattern"), F.col("kind").alias("type"))
+
+
+def tags_with_prefix(structured: DataFrame, prefix: str) -> DataFrame:
+    return tags(structured).filter(F.col("symbol").startswith(prefix))
+
+
+# -- what a file's matches lie among ---------------------------------------
+
+
+def expanded(matches: DataFrame, structured: DataFrame) -> DataFrame:
+    """path, n_matches, functions, classes: for each file with matches, its
+    distinct functions and classes (name, first line, last line)."""
+    spans = lambda kinds, name: structured.filter(F.col("kind").isin(*kinds)).groupBy("path").agg(
+        F.array_sort(F.collect_set(F.struct("name", "start_line", "end_line"))).alias(name)
+    )
+    out = matches.groupBy("path").agg(F.count("*").alias("n_matches"))
+    out = out.join(spans(("function", "constructor"), "functions"), "path", "left").join(spans(("class",), "classes"), "path", "left")
+    none = F.array().cast("array<struct<name:string,start_line:int,end_line:int>>")
+    return out.withColumn("functions", F.coalesce("functions", none)).withColumn("classes", F.coalesce("classes", none))
+
+
+def expansion_totals(rows: DataFrame) -> DataFrame:
+    """functions_found, classes_found, files_analyzed of ``expanded`` rows."""
+    total = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
+    return rows.agg(total("functions").alias("functions_found"), total("classes").alias("classes_found"), F.count("*").alias("files_analyzed"))
 
 
 # -- imports and calls by pattern -----------------------------------------

@@ -27,11 +27,19 @@ def is_ignored(path: Column, ignores: list[str] = fixed.SEARCH_IGNORES, substrin
     return path.rlike("(^|/)(" + "|".join(map(glob_regex, ignores)) + ")(/|$)")
 
 
-def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = None, ignores: list[str] = fixed.SEARCH_IGNORES) -> DataFrame:
+def ignore_union(*lists: list[str]) -> list[str]:
+    """Ignore lists together, each entry once."""
+    return list(dict.fromkeys(i for some in lists for i in some))
+
+
+def read_tree(
+    spark: SparkSession, root: str, extensions: list[str] | None = None, ignores: list[str] = fixed.SEARCH_IGNORES, strict: bool = True
+) -> DataFrame:
     """Files below root: path (from root on, with a leading slash), file_name,
     ext, language, size_bytes, mtime, content, error.
 
-    Bytes that are no UTF-8 give a row with an error and no content.
+    Bytes that are no UTF-8 give a row with an error and no content, or, if not
+    strict, are left out of the content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/")))
@@ -40,7 +48,9 @@ def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
     out = out.filter(~is_ignored(F.col("path"), ignores)).withColumn("ext", extension(F.col("path")))
     if extensions:
         out = out.filter(F.col("ext").isin(extensions))
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    rest = F.lit(None) if strict else one_newline(tolerant(text))
     return out.select(
         "path",
         F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"),
@@ -48,8 +58,8 @@ def read_tree(spark: SparkSession, root: str, extensions: list[str] | None = Non
         language_of(F.col("ext")).alias("language"),
         "size_bytes",
         "mtime",
-        F.when(valid, one_newline(F.col("content").cast("string"))).alias("content"),
-        F.when(~valid, F.lit("not UTF-8")).alias("error"),
+        F.when(valid, one_newline(text)).otherwise(rest).alias("content"),
+        F.when(~valid & F.lit(strict), F.lit("not UTF-8")).alias("error"),
     )
 
 
@@ -57,6 +67,11 @@ def one_newline(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def tolerant(text: Column) -> Column:
+    """The text without bytes that are no UTF-8 (replacement signs of its own go with them)."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def capped(content: Column, size_bytes: Column, most_bytes: int = 1 << 20, most_chars: int = 512 << 10) -> Column:
     """The content that graph analysis looks at: none of large files, else its first part."""
     return F.when(size_bytes <= most_bytes, F.substring(content, 1, most_chars))
@@ -70,7 +85,25 @@ def lines(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("
 
 
 def is_analysable(size_bytes: Column, ext: Column, most_mb: int = 1) -> Column:
-    return (size_bytes <= most_mb << 20) & ~F.lower(ext).isin(".pyc", ".pyo", ".so", ".dylib", ".dll", ".exe", ".bin")
+    return (size_bytes <= most_mb << 20) & ~F.lower(ext).isin(*fixed.BINARY_ENDINGS)
+
+
+def graph_files(files: DataFrame, most_mb: int = 1) -> DataFrame:
+    """What dependency graphs look at: files of the parsed languages outside
+    ignored folders (anywhere in the path) that are not too large, and of those the first part."""
+    size = F.octet_length("content")
+    kept = files.filter(F.col("ext").isin(*fixed.GRAPH_ENDINGS) & ~is_ignored(F.col("path"), fixed.GRAPH_IGNORES, substring=True) & is_analysable(size, F.col("ext"), most_mb))
+    return kept.withColumn("content", capped(F.col("content"), size, most_mb << 20))
+
+
+def pre_scan(files: DataFrame) -> DataFrame:
+    """path, size_bytes of the files that a graph is made from, small ones first."""
+    return graph_files(files).select("path", F.octet_length("content").alias("size_bytes")).orderBy("size_bytes", "path")
+
+
+def first_files(files: DataFrame, most: int) -> DataFrame:
+    """The first files by path: samples for language and project detection."""
+    return files.orderBy("path").limit(most)
 
 
 # -- corpora that stand on the given tables -------------------------------
@@ -91,7 +124,7 @@ def document_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python files for suppliers and nations, Java and JavaScript files for parts: path, ext, content."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.lower(F.regexp_replace("n_name", "[^A-Za-z0-9]", "_")).alias("n"))
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return (
         supplier.select(F.format_string(SUPPLIER_PATH, "s_suppkey").alias("path"), F.lit(".py").alias("ext"), _fill(SUPPLIER_FILE, k="s_suppkey", n="n").alias("content"))
