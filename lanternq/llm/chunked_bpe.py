@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Remembered, byte_characters, packed, slices
+from .common import Remembered, byte_characters, packed, resting, slices
 
 WINDOW = 32
 #: One of so many places is a chunk end, as a power of two.
@@ -208,7 +208,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> Da
             encoder.known.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(resting(run), schema)
 
 
 def _tokenized(encoder: ChunkedEncoder, rows: pa.RecordBatch, keep_ids: bool) -> pa.RecordBatch:

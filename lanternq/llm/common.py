@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
-import tempfile
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -14,54 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_scratch, fresh_path, shared_dir, written  # noqa: F401
+
 #: ASCII white space as the query contracts define it.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    It is the one named by ``spark.checkpoint.dir``; only a session without
-    that setting (tests on one machine) gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="lanternq-")
-    return _OWN_DIR[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage, so a lost executor costs a re-read rather than a
-    recomputation, and it fixes the rows for every later use.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop_scratch(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that no later plan reads."""
-    for df in tables:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            hadoop_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -110,6 +67,22 @@ def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         yield batch.slice(start)
 
 
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; at the end of a task it gives freed memory back to
+    the system, as the worker lives on while later stages need the room."""
+
+    def rested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return rested
+
+
 def byte_characters() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable
     ones stand for themselves, the others follow from U+0100 on."""

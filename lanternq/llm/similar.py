@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, partitions, written
+from .common import drop_scratch, partitions, resting, written
 from .simhash import ALIKE, WIDE_RADIUS, WIDE_SHINGLE, WIDE_WORDS, linked_sets, wide_fingerprint
 
 BANDS, BAND_ROWS = 20, 2
@@ -115,7 +115,7 @@ def _keyed(docs: DataFrame, shingle: int) -> DataFrame:
             columns = [batch.column("row"), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "fp", "keys"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, fp binary, keys array<long>")
+    return docs.select("row", "text").mapInArrow(resting(run), "row long, fp binary, keys array<long>")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _near(rows: DataFrame) -> DataFrame:
                 held = tuple(x[end:] for x in held)
         yield parts_of(*held)
 
-    return _dealt(rows).select("bucket", "row", "fp").mapInArrow(run, "bucket long, row long").distinct()
+    return _dealt(rows).select("bucket", "row", "fp").mapInArrow(resting(run), "bucket long, row long").distinct()
 
 
 def _edges(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
@@ -166,7 +166,7 @@ def _edges(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
                 a, b = zip(*((group[i][1], group[j][1]) for i, j in edges))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _dealt(rows).select("bucket", "row", "own").mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows).select("bucket", "row", "own").mapInArrow(resting(run), "a long, b long").distinct()
 
 
 def _sets(held: DataFrame, shingle: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _sets(held: DataFrame, shingle: int) -> DataFrame:
             own = pa.array([shingles(t.as_py(), shingle).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("row"), own], ["row", "own"])
 
-    return held.select("row", "text").mapInArrow(run, "row long, own binary")
+    return held.select("row", "text").mapInArrow(resting(run), "row long, own binary")
 
 
 def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:

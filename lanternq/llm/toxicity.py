@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,18 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered
+from .common import Remembered, resting
 
 TRAIN_ROWS = 12_000
 LEAST_ROWS = 3
 MAX_FEATURES = 4096
+HASH_BITS = 22
 PREFIX = 6
 L2 = 0.02
 PENALTY = 1.0
 STEPS = 150
 CALIBRATE = 5
 #: Megabytes of weights by word that a worker remembers (twice this at most).
-REMEMBERED = 24
+REMEMBERED = 12
 #: Families of identity terms; each is swapped within its family.
 IDENTITY_FAMILIES = tuple(
     tuple(x.split())
@@ -142,6 +144,10 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     return model
 
 
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & (1 << HASH_BITS) - 1
+
+
 class _Words:
     """The distinct words of each text, made when asked for."""
 
@@ -158,9 +164,16 @@ def _fit(texts: list[str | None], toxic: list[int]) -> Model:
     if not 0 < positive < len(y):
         return Model(-1e-9 if not len(y) else (2.0 if positive else -2.0), {})
     rows = _Words(texts)
+    # Words of few rows are most of all; a table of counts by hash sets them aside first.
+    seen = np.zeros(1 << HASH_BITS, np.uint16)
+    for row in rows:
+        own = {f for raw in row for f in features_of(raw)}
+        at = np.unique(np.fromiter((_slot(f) for f in own), np.int64, len(own)))
+        seen[at] += seen[at] < LEAST_ROWS
+    kept = seen >= LEAST_ROWS
     in_rows, in_toxic = Counter(), Counter()
     for row, label in zip(rows, toxic):
-        own = {f for raw in row for f in features_of(raw)}
+        own = {f for raw in row for f in features_of(raw) if kept[_slot(f)]}
         in_rows.update(own)
         if label:
             in_toxic.update(own)
@@ -219,7 +232,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model
         yield pa.RecordBatch.from_pydict({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
     sample = training_rows(docs, labels, rows).repartition(1)
-    got = {r.feature: r.weight for r in sample.mapInArrow(run, "feature string, weight double").collect()}
+    got = {r.feature: r.weight for r in sample.mapInArrow(resting(run), "feature string, weight double").collect()}
     return Model(got.pop("", -1e-9), got)
 
 
@@ -230,14 +243,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = shared.value
-        weight_of = Model(bias, weights).scorer().__getitem__
-        for batch in batches:
-            z = np.array([bias + sum(map(weight_of, words(t.as_py()))) for t in batch.column("text")])
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield batch.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= 0.5).astype(np.int32)))
+        scorer = Model(bias, weights).scorer()
+        weight_of = scorer.__getitem__
+        try:
+            for batch in batches:
+                z = np.array([bias + sum(map(weight_of, words(t.as_py()))) for t in batch.column("text")])
+                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                yield batch.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= 0.5).astype(np.int32)))
+        finally:
+            scorer.forget()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(resting(run), f"{schema}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
