@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import fixed, text
 from ..operators import graph, rank, search, structure
+from ..plans import batch
 from ..sources import corpus
 from .graph_queries import _code, _graph, _parsed, _resolved
-from .shared import CODE_GRAPH, CORPUS, DEFINITIONS, IMPORTS, LINES, PATTERN, TARGETS, files, lines, lines_of, quoted, strip_sql, words
+from .shared import (
+    CODE_GRAPH, CORPUS, DEFINITIONS, IMPORTS, LINES, PATTERN, TARGETS, files, lines, lines_of, path_score_sql, quoted, strip_sql, words,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -238,6 +242,41 @@ def code_excerpts(spark, sf_dir):
     return rows.select("id", graph.excerpt(F.col("code")).alias("excerpt"))
 
 
+# -- many questions --------------------------------------------------------
+
+_ASKED = "asked AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user')"
+_IDS = f"list_filter(regexp_extract_all(question, '{fixed.IDENTIFIER}'), lambda w: length(w) > 2 AND NOT list_contains([{words(fixed.KEYWORD_STOPS)}], lower(w)))"
+_EVERY = f"list_concat({_IDS}, regexp_extract_all(question, {quoted(fixed.QUOTED)}, 1))"
+_KEYED = f"""lists AS (SELECT qid, list_filter({_EVERY}, lambda x, i: list_position({_EVERY}, x) = i) AS ws FROM asked),
+kw AS (SELECT qid, unnest(ws) AS keyword, unnest(range(len(ws))) AS rank FROM lists),
+w AS (SELECT DISTINCT lower(keyword) AS word FROM kw), wl AS (SELECT word, path, line_number FROM lines JOIN w ON contains(lower(line), word)),
+every AS (SELECT qid, rank, path, line_number FROM wl JOIN kw ON lower(keyword) = word),
+hit AS (SELECT qid, path, line_number, count(*) AS hits FROM every GROUP BY ALL),
+capped AS (SELECT * FROM every WHERE rank < 5 QUALIFY row_number() OVER (PARTITION BY qid, rank, path ORDER BY line_number) <= 50),
+firsts AS (SELECT qid, path, line_number, min(rank) AS keyword_rank FROM capped GROUP BY ALL),
+best AS (SELECT f.*, hits, {path_score_sql("path")} AS score FROM firsts f JOIN hit USING (qid, path, line_number)
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, keyword_rank, score DESC, path, line_number) <= 100)"""
+
+
+def _asked(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user'")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+
+
+@query(f"WITH {LINES}, {_ASKED}, {_KEYED} SELECT qid, path, line_number, hits, keyword_rank::INTEGER AS keyword_rank, round(score, 6) AS score FROM best")
+def batch_search(spark, sf_dir):
+    return batch.batch_search(files(spark, sf_dir), _asked(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {LINES}, {_ASKED}, {_KEYED}, by_file AS (SELECT qid, path, count(*) AS n_matches, max((score, hits, -keyword_rank, -line_number)) AS b FROM best GROUP BY ALL),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY b DESC, path) AS pos FROM by_file)
+    SELECT qid, path, n_matches, CAST(row_number() OVER (PARTITION BY qid ORDER BY n_matches DESC, pos, path) AS INTEGER) AS rank FROM placed""")
+def batch_context(spark, sf_dir):
+    """The budget holds all matched files; nothing in the corpus is imported."""
+    packed = batch.batch_context(files(spark, sf_dir), _asked(spark, sf_dir), Config(max_context_size=1 << 30))
+    return packed.select("qid", "path", "n_matches", "rank")
+
+
 # -- projects, displays ---------------------------------------------------
 
 _PROJECTS = f"""{CORPUS}, proj AS (SELECT split_part(path, '/', 2) AS project, CASE doc_id % 9 WHEN 0 THEN 'setup.py' WHEN 1 THEN 'pom.xml' WHEN 2 THEN 'go.mod' ELSE path END AS path, doc_id FROM corpus),

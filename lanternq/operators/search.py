@@ -92,11 +92,11 @@ def search_as_ag(lines: DataFrame, pattern: str, file_types: list[str] | None =
     return search_as_grep(lines, pattern, file_types, max_results, **options).select("*", F.lit(0).alias("column"), F.lit(1.0).alias("score"))
 
 
-def search_patterns(lines: DataFrame, patterns: list[str], max_results: int = 100) -> DataFrame:
+def search_patterns(lines: DataFrame, patterns: list[str], max_results: int = 100, case_sensitive: bool = False) -> DataFrame:
     """One scan for several patterns; a row for each (pattern, line)."""
     if not patterns:
         return lines.withColumn("rank", F.lit(0)).withColumn("pattern", F.lit(None).cast("string")).filter(F.lit(False))
-    hit = F.array(*(F.when(F.col("line").rlike(effective(p)), F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern"))) for k, p in enumerate(patterns)))
+    hit = F.array(*(F.when(F.col("line").rlike(effective(p, case_sensitive)), F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern"))) for k, p in enumerate(patterns)))
     rows = lines.select("*", F.explode(F.array_compact(hit)).alias("hit")).select(*lines.columns, "hit.rank", "hit.pattern")
     return first_n_per_file(rows, max_results, "pattern")
 
@@ -112,7 +112,9 @@ def search_symbols(lines: DataFrame, name: str, kind: str | None = None, most: i
     return search_patterns(lines, symbol_patterns(name, kind), most)
 
 
-def initial_search(lines: DataFrame, keywords: list[str], most_per_file: int = 50, most: int = 100, searched: int = 5) -> DataFrame:
+def initial_search(
+    lines: DataFrame, keywords: list[str], most_per_file: int = 50, most: int = 100, searched: int = 5, case_sensitive: bool = False
+) -> DataFrame:
     """The best lines for a question's keywords.
 
     The first few keywords are searched as patterns; a line belongs to the
@@ -120,7 +122,7 @@ def initial_search(lines: DataFrame, keywords: list[str], most_per_file: int = 5
     lines by hits are then ordered by path score.
     """
     hits = sum((F.lower("line").contains(k.lower()).cast("int") for k in keywords), F.lit(0))
-    found = search_patterns(lines, keywords[:searched], most_per_file)
+    found = search_patterns(lines, keywords[:searched], most_per_file, case_sensitive)
     first = Window.partitionBy("path", "line_number").orderBy("rank")
     found = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     found = found.withColumn("hits", hits).withColumn("score", path_score(F.concat(F.lit("/"), "path")))
@@ -129,7 +131,7 @@ def initial_search(lines: DataFrame, keywords: list[str], most_per_file: int = 5
     column = F.lit(None).cast("int")
     count = F.lit(None).cast("int")
     for k, word in enumerate(keywords[:searched]):
-        p = effective(word)
+        p = effective(word, case_sensitive)
         column = F.when(F.col("rank") == k, first_column(F.col("line"), p)).otherwise(column)
         count = F.when(F.col("rank") == k, F.regexp_count("line", F.lit(p)).cast("int")).otherwise(count)
     return top.select(

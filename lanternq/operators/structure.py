@@ -12,11 +12,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import docstring_text, found
+from ..functions.text import docstring_text, found, is_java_library, is_project_module
 from ..shared import written as saved
 
 SCHEMA = "path string, kind string, name string, start_line int, end_line int, start_column int, code string, parse_error boolean"
@@ -127,6 +127,11 @@ def functions(structured: DataFrame) -> DataFrame:
     return structured.filter(F.col("kind").isin("function", "constructor")).select("path", "name", F.col("kind").alias("type"), "start_line", "end_line", "code")
 
 
+def functions_with_errors(structured: DataFrame) -> DataFrame:
+    """path, name, start_line, parse_error: what was found in files that could not be read whole, too."""
+    return structured.filter(F.col("kind").isin("function", "constructor")).select("path", "name", "start_line", "parse_error").distinct()
+
+
 def classes(structured: DataFrame) -> DataFrame:
     return structured.filter("kind = 'class'").select("path", "name", "start_line", "end_line", "code")
 
@@ -150,24 +155,41 @@ def node_at(structured: DataFrame, path: str, line: int) -> DataFrame:
 JAVA_TYPES = {"class": "class_declaration", "function": "method_declaration", "constructor": "constructor_declaration", "javadoc": "block_comment"}
 
 
+def _pre_order(content: str) -> Iterator[tuple[int, int | None, int, ast.AST]]:
+    """(number, number of the parent, depth, node) of a Python file's whole tree."""
+    todo: list[tuple[ast.AST, int | None, int]] = [(ast.parse(content), None, 0)]
+    count = 0
+    while todo:
+        node, parent, depth = todo.pop()
+        yield count, parent, depth, node
+        todo += [(child, count, depth + 1) for child in reversed(list(ast.iter_child_nodes(node)))]
+        count += 1
+
+
+def tree_rows(content: str) -> Iterator[tuple[int, int | None, int, str, int]]:
+    """(node, parent, depth, type, line) of a Python file in pre-order, nodes without a place among them."""
+    for count, parent, depth, node in _pre_order(content):
+        yield count, parent, depth, type(node).__name__, getattr(node, "lineno", 0)
+
+
 def syntax_rows(content: str, ext: str) -> Iterator[tuple]:
     """(type, name, text, start line, end line, start column, end column, depth,
     number of the parent) of each syntax node with a place, in pre-order.
     Of Java files only definitions and doc comments are nodes."""
     if ext == ".py":
         try:
-            tree = ast.parse(content)
+            walk = list(_pre_order(content))
         except (SyntaxError, ValueError, RecursionError):
             return
-        todo: list[tuple[ast.AST, int, int]] = [(child, 1, -1) for child in reversed(tree.body)]
+        number: dict[int, int] = {0: -1}  # by place in the walk: of the node itself or of the nearest one above with a place
         count = 0
-        while todo:
-            node, depth, parent = todo.pop()
-            own = parent
+        for k, parent, depth, node in walk[1:]:
+            above = number[parent]
             if hasattr(node, "lineno"):
-                yield type(node).__name__, getattr(node, "name", None), ast.get_source_segment(content, node) or "", node.lineno, node.end_lineno, node.col_offset, node.end_col_offset, depth, parent
-                own, count = count, count + 1
-            todo += [(child, depth + 1, own) for child in reversed(list(ast.iter_child_nodes(node)))]
+                text = ast.get_source_segment(content, node) or ""
+                yield type(node).__name__, getattr(node, "name", None), text, node.lineno, node.end_lineno, node.col_offset, node.end_col_offset, depth, above
+                above, count = count, count + 1
+            number[k] = above
         return
     rows = [r for r in java_rows(content) if r[0] in JAVA_TYPES]
     around: list[tuple[int, int]] = []  # number and last line of the definitions around
@@ -357,19 +379,17 @@ def resolved_calls(calls: DataFrame, defs: DataFrame) -> DataFrame:
     return same.withColumn("cross_file", F.lit(False)).unionByName(other.select("path", "name", "target_path", "start_line").withColumn("cross_file", F.lit(True)))
 
 
-def related_files(imports: DataFrame, files: DataFrame, context: DataFrame, most: int = 10) -> DataFrame:
-    """Files that the imports (path, ext, at, name) of context files lead to
-    and that are not in the context yet: path, rank."""
-    from ..functions.text import is_java_library, is_project_module
-
-    wanted = imports.join(context.select("path", F.col("pos").alias("importer")), "path")
+def related_files(imports: DataFrame, files: DataFrame, context: DataFrame, most: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """Files that the imports (path, ext, at, name) of context files (path, pos)
+    lead to and that are not in the context yet: path, rank, for each value of by."""
+    wanted = imports.join(context.select(*by, "path", F.col("pos").alias("importer")), "path")
     name = F.col("name")
     wanted = wanted.filter(((F.col("ext") != ".py") | name.startswith(".") | is_project_module(name)) & ((F.col("ext") != ".java") | ~is_java_library(name)))
-    tried = wanted.select("importer", "at", F.posexplode(candidates(F.col("path"), F.col("ext"), name)).alias("pos", "target"))
+    tried = wanted.select(*by, "importer", "at", F.posexplode(candidates(F.col("path"), F.col("ext"), name)).alias("pos", "target"))
     there = tried.join(files.select(F.col("path").alias("target")), "target", "left_semi")
-    new = there.join(context.select(F.col("path").alias("target")), "target", "left_anti")
-    first = new.groupBy(F.col("target").alias("path")).agg(F.min(F.struct("importer", "at", "pos")).alias("first"))
-    top = first.orderBy("first", "path").limit(most)
-    from pyspark.sql import Window
-
-    return top.select("path", F.row_number().over(Window.orderBy("first", "path")).alias("rank"))
+    new = there.join(context.select(*by, F.col("path").alias("target")), [*by, "target"], "left_anti")
+    first = new.groupBy(*by, F.col("target").alias("path")).agg(F.min(F.struct("importer", "at", "pos")).alias("first"))
+    if not by:
+        first = first.orderBy("first", "path").limit(most)
+    order = Window.partitionBy(*by).orderBy("first", "path")  # without by, over the few rows of the limit
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(*by, "path", "rank")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
@@ -45,6 +47,28 @@ class StepLog:
     def fail(self, name: str, reason: str) -> None:
         self._end(name, "failed", {"reason": reason})
 
+    @contextmanager
+    def step(self, name: str, **details) -> Iterator[Step]:
+        """Starts a step, and completes it, or lets it fail with what was raised."""
+        step = self.start(name, **details)
+        try:
+            yield step
+        except BaseException as e:
+            self.fail(name, str(e))
+            raise
+        self.complete(name)
+
+    def reset(self) -> None:
+        self.steps.clear()
+
+    def summary(self) -> str:
+        """A line for each step: state, name, seconds, details."""
+        marks = {"pending": " ", "running": "~", "completed": "+", "failed": "!"}
+        rows = [f"{marks[s.status]} {s.name:<12} {s.seconds:8.2f} s  " + ", ".join(f"{k}={v}" for k, v in s.details.items()) for s in self.steps.values()]
+        done = sum(s.status == "completed" for s in self.steps.values())
+        cells = 20 * done // max(1, len(self.steps))
+        return "\n".join([*(r.rstrip() for r in rows), "█" * cells + "░" * (20 - cells)])
+
     def timing(self) -> dict[str, float]:
         """Seconds of each step and in all."""
         out = {s.name: s.seconds for s in self.steps.values()}
