@@ -179,48 +179,93 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 class Source:
-    """A file read forward in pieces, with what is needed kept in memory."""
+    """A file read forward in pieces.  What is needed is kept in one buffer;
+    bytes that were dropped are cut off when they are more than the rest."""
 
     def __init__(self, stream):
-        self.stream, self.base, self.data = stream, 0, b""
+        self.stream, self.base = stream, 0
+        self.data, self.at = bytearray(), 0
+
+    def __len__(self) -> int:
+        return len(self.data) - self.at
 
     def more(self) -> bool:
         piece = self.stream.read(READ_BYTES)
         self.data += piece
         return bool(piece)
 
+    def need(self, count: int) -> bool:
+        """Whether count bytes are there, reading them first."""
+        while len(self) < count and self.more():
+            pass
+        return len(self) >= count
+
+    def view(self, start: int = 0, stop: int | None = None) -> bytes:
+        return bytes(memoryview(self.data)[self.at + start : len(self.data) if stop is None else self.at + stop])
+
+    def find(self, pattern: re.Pattern, start: int) -> int:
+        """The place of the next match at or after start; -1 if there is none."""
+        m = pattern.search(self.data, self.at + start)
+        return m.start() - self.at if m else -1
+
     def drop(self, count: int) -> None:
-        self.data = self.data[count:]
+        self.at += count
         self.base += count
+        if self.at > max(READ_BYTES, len(self.data) - self.at):
+            del self.data[: self.at]
+            self.at = 0
+
+
+#: A record whose content would be longer is taken for damaged.
+MOST_BYTES = 1 << 30
 
 
 def _gzip_record(source: Source) -> tuple[dict[str, str], bytes, int]:
-    z, plain, at = zlib.decompressobj(31), [], 0
+    """The record of the member that the source starts with.  The first bytes
+    must open with a version line, so that no wrong member is read to its end."""
+    z, plain, at, size = zlib.decompressobj(31), [], 0, 0
     while not z.eof:
-        if at >= len(source.data) and not source.more():
+        if at >= len(source) and not source.more():
             raise Damaged("the member is cut off")
+        stop = min(len(source), at + READ_BYTES)
         try:
-            plain.append(z.decompress(source.data[at:]))
+            piece = z.decompress(source.view(at, stop))
         except zlib.error as e:
             raise Damaged(str(e)) from None
-        at = len(source.data)
-    used = len(source.data) - len(z.unused_data)
+        if not size and piece and not b"WARC/".startswith(piece[:5]):
+            raise Damaged("the member does not hold a record")
+        plain.append(piece)
+        at, size = stop, size + len(piece)
+        if size > MOST_BYTES:
+            raise Damaged("the member is too long")
+    used = at - len(z.unused_data)
     fields, block, size = parse_record(content := b"".join(plain))
     if size != len(content):
         raise Damaged("the member holds more than a record")
     return fields, block, used
 
 
+LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
+
+
 def _plain_record(source: Source) -> tuple[dict[str, str], bytes, int]:
-    while True:
-        try:
-            return parse_record(source.data)
-        except Damaged:
-            # The rest may not have been read yet; no more than the stated length is.
-            size = re.search(rb"(?im)^content-length:\s*(\d+)", source.data[: 1 << 16])
-            wanted = (1 << 16) + (int(size[1]) if size else 0)
-            if len(source.data) >= wanted or not source.more():
-                raise
+    """The record that the source starts with: its head first, then as much as that states."""
+    head = 0
+    while head < 1 << 16:
+        source.need(head + 4096)
+        end = source.data.find(b"\r\n\r\n", source.at, source.at + (1 << 16))
+        if end >= 0 or len(source) < head + 4096 or not VERSION_LINE.match(source.data, source.at):
+            break
+        head += 4096
+    end = source.data.find(b"\r\n\r\n", source.at, source.at + (1 << 16))
+    if end < 0 or not VERSION_LINE.match(source.data, source.at):
+        raise Damaged("no version line or no end of the header")
+    stated = LENGTH.search(source.data, source.at, end + 2)
+    wanted = end - source.at + 4 + (int(stated[1]) if stated else 0) + 4
+    if wanted > MOST_BYTES:
+        raise Damaged("the record is too long")
+    source.need(wanted)
+    return parse_record(source.view(0, wanted))
 
 
 def _starts_record(data: bytes) -> bool:
@@ -230,41 +275,47 @@ def _starts_record(data: bytes) -> bool:
         return False
 
 
-def _next_start(source: Source) -> int:
-    """Bytes to skip to the next place that looks like a record; all if none."""
-    at = 1
+START = re.compile(rb"WARC/\d\.\d+\r?\n|" + re.escape(GZIP_MAGIC))
+#: Of a gzip header that may start a record, so much is looked at.
+LOOK_BYTES = 4096
+
+
+def _skip(source: Source) -> None:
+    """Drops bytes up to the next place that looks like a record, or all."""
+    start = 1
     while True:
-        plain = VERSION_LINE.search(source.data, at)
-        gz = source.data.find(GZIP_MAGIC, at)
-        while gz >= 0 and (plain is None or gz < plain.start()):
-            while len(source.data) < gz + 4096 and source.more():
-                pass
-            if _starts_record(source.data[gz : gz + 4096]):
-                return gz
-            gz = source.data.find(GZIP_MAGIC, gz + 1)
-        if plain:
-            return plain.start()
-        at = max(1, len(source.data) - 16)
-        if not source.more():
-            return len(source.data)
+        at = source.find(START, start)
+        if at < 0:
+            # A start may be cut by the end of what was read.
+            source.drop(max(0, len(source) - 16) if len(source) > start + 16 else 0)
+            start = min(start, len(source))
+            if not source.more():
+                source.drop(len(source))
+                return
+            continue
+        if source.data[source.at + at] == GZIP_MAGIC[0]:
+            source.need(at + LOOK_BYTES)
+            if not _starts_record(source.view(at, at + LOOK_BYTES)):
+                source.drop(at)
+                start = 1
+                continue
+        source.drop(at)
+        return
 
 
 def records(stream) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     """("record", offset, bytes, fields, block), and ("gap", offset, bytes,
     {"reason": ...}, b"") for what was quarantined."""
     source, gap, reason = Source(stream), None, ""
-    while True:
-        if not source.data and not source.more():
-            break
-        while len(source.data) < 16 and source.more():
-            pass
+    while source.need(1):
+        source.need(16)
+        gz = source.data.startswith(GZIP_MAGIC, source.at)
         try:
-            fields, block, used = (_gzip_record if source.data.startswith(GZIP_MAGIC) else _plain_record)(source)
+            fields, block, used = (_gzip_record if gz else _plain_record)(source)
         except Damaged as e:
-            skip = _next_start(source)
             if gap is None:
                 gap, reason = source.base, str(e)
-            source.drop(skip)
+            _skip(source)
             continue
         if gap is not None:
             yield "gap", gap, source.base - gap, {"reason": reason}, b""

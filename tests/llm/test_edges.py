@@ -2,6 +2,7 @@
 
 import io
 import random
+import resource
 import time
 import zlib
 
@@ -516,6 +517,34 @@ def read(data):
     return [(kind, offset, size, fields.get("x-page-id")) for kind, offset, size, fields, _ in warc.records(io.BytesIO(data))]
 
 
+class Noise(io.RawIOBase):
+    """Bytes of a given number between two archives, made while they are read."""
+
+    def __init__(self, before, count, after):
+        self.parts, self.left, self.after = [before], count, after
+        self.dice, self.most = np.random.default_rng(1), 0
+
+    def read(self, size):
+        if self.parts:
+            return self.parts.pop()
+        if self.left > 0:
+            self.left -= size
+            return self.dice.integers(0, 256, size + min(0, self.left), np.uint8).tobytes()
+        after, self.after = self.after, b""
+        return after
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_salvage_over_a_long_damaged_stretch(plain):
+    members = [warc.page_record(i, "u", b"x" * 50, "d", None, "t") for i in range(2)]
+    members = members if plain else [warc.member(m) for m in members]
+    stream = Noise(members[0], 96 << 20, members[1])
+    start, base = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = [(kind, size) for kind, _, size, *_ in warc.records(stream)]
+    assert found == [("record", len(members[0])), ("gap", 96 << 20), ("record", len(members[1]))]
+    assert time.process_time() - start < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base < 64 << 10
+
+
 def test_salvage_after_damage(monkeypatch):
     monkeypatch.setattr(warc, "READ_BYTES", 64)
     parts = archive(6)
