@@ -124,6 +124,8 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Where so few blocks hold wide members not reached yet, these are compared one by one.
+FEW_BLOCKS = 8
 
 
 def near(planes: np.ndarray, query: int, valid: np.ndarray, radius: int = RADIUS, bits: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -197,10 +199,20 @@ def linked_sets(fps: np.ndarray, radius: int = RADIUS) -> list[np.ndarray]:
         valid[seed >> 6] &= ~np.uint64(1 << (seed & 63))
         reached, todo = [seed], [seed]
         while todo:
-            query = int.from_bytes(fps[todo.pop()].tobytes(), "little")
-            blocks, sets = near(planes, query, valid, radius, bits)
-            valid[blocks] &= ~sets
-            new = [int(b) << 6 | i for b, s in zip(blocks, sets.tolist()) for i in range(BITS) if s >> i & 1]
+            query = fps[todo.pop()]
+            alive = np.flatnonzero(valid)
+            if not len(alive):
+                break  # all are reached
+            if fps.shape[1] > 1 and len(alive) <= FEW_BLOCKS:
+                lanes = np.unpackbits(valid[alive].view(np.uint8), bitorder="little").reshape(-1, BITS)
+                left = (alive[:, None] * BITS + np.arange(BITS))[lanes.astype(bool)]
+                new = left[np.bitwise_count(fps[left] ^ query).sum(axis=1, dtype=np.int64) <= radius].tolist()
+                for i in new:
+                    valid[i >> 6] &= ~np.uint64(1 << (i & 63))
+            else:
+                blocks, sets = near(planes, int.from_bytes(query.tobytes(), "little"), valid, radius, bits)
+                valid[blocks] &= ~sets
+                new = [int(b) << 6 | i for b, s in zip(blocks, sets.tolist()) for i in range(BITS) if s >> i & 1]
             reached += new
             todo += new
         if len(reached) > 1:
