@@ -3,11 +3,12 @@
 Two texts are linked if their sets of shingles share ``alike`` of all their
 elements or more.  ``BANDS`` keys of ``BAND_ROWS`` least hashes each give the
 candidate buckets: two sets alike to 0.8 have no key in common in 1 of 10^9
-cases.  Of buckets with the same rows one is kept.  In a bucket, wide
-fingerprints are compared bit-sliced (``simhash.linked_sets``), and the sets of
-what is within their radius decide exactly.  Both steps search outward from one
-row at a time over those not reached yet and give parts or spanning edges,
-never pairs.
+cases.  Of buckets with the same rows one is
+kept.  In a bucket, wide fingerprints are compared bit-sliced
+(``simhash.linked_sets``); what is connected by them meets once more with its
+whole sets, each text once, and these decide exactly.  Both steps search
+outward from one row at a time over those not reached yet and give spanning
+edges, never pairs.
 
 Defined results: words are as in ``simhash``; a text of fewer words than a
 shingle has is one shingle; texts without words are alike; null counts as empty.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, partitions, resting, written
-from .simhash import ALIKE, WIDE_RADIUS, WIDE_SHINGLE, WIDE_WORDS, linked_sets, wide_fingerprint
+from .simhash import ALIKE, WIDE_RADIUS, WIDE_SHINGLE, WIDE_WORDS, components, linked_sets, wide_fingerprint
 
 BANDS, BAND_ROWS = 20, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -82,13 +83,16 @@ def _parts(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[li
 
 
 def alike_edges(sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> list[tuple[int, int]]:
-    """Spanning edges (indexes) of the sets that are alike."""
+    """Spanning edges (indexes) of the sets that are alike; only those whose
+    wide fingerprints lie within the radius are compared."""
     sizes = np.array([len(s) for s in sets])
+    fps = np.array([wide_fingerprint(s) for s in sets]).reshape(-1, WIDE_WORDS)
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         n, own = sizes[i], sets[i]
         hit = np.zeros(len(others), bool)
         fits = (sizes[others] * alike[1] >= n * alike[0]) & (n * alike[1] >= sizes[others] * alike[0])
+        fits &= np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
         for k in np.flatnonzero(fits).tolist():
             other = sets[others[k]]
             at = np.searchsorted(own, other)
@@ -128,18 +132,18 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _near(rows: DataFrame) -> DataFrame:
-    """bucket, row of the parts of each bucket; a part is a bucket of its own."""
+    """Spanning edges (a, b) of what lies within the radius in each bucket."""
 
-    def parts_of(bucket: np.ndarray, row: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def edges_of(bucket: np.ndarray, row: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         bounds = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-        names, members = [], []
+        a, b = [], []
         for low, high in zip(bounds, bounds[1:]):
             for part in linked_sets(fps[low:high], WIDE_RADIUS):
                 part = np.sort(row[low:high][part])
-                names.append(np.full(len(part), xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63)))
-                members.append(part)
+                a.append(np.full(len(part) - 1, part[0]))
+                b.append(part[1:])
         together = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        return pa.RecordBatch.from_arrays([together(names), together(members)], ["bucket", "row"])
+        return pa.RecordBatch.from_arrays([together(a), together(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE_WORDS), np.uint64))
@@ -151,11 +155,11 @@ def _near(rows: DataFrame) -> DataFrame:
             # The last bucket may go on in the next batch.
             end = int(np.searchsorted(held[0], held[0][-1]))
             if end:
-                yield parts_of(*(x[:end] for x in held))
+                yield edges_of(*(x[:end] for x in held))
                 held = tuple(x[end:] for x in held)
-        yield parts_of(*held)
+        yield edges_of(*held)
 
-    return _dealt(rows).select("bucket", "row", "fp").mapInArrow(resting(run), "bucket long, row long").distinct()
+    return _dealt(rows).select("bucket", "row", "fp").mapInArrow(resting(run), "a long, b long").distinct()
 
 
 def _edges(rows: DataFrame, alike: tuple[int, int]) -> DataFrame:
@@ -173,9 +177,9 @@ def _sets(held: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([shingles(t.as_py(), shingle).tobytes() for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), own], ["row", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("row"), own], ["bucket", "row", "own"])
 
-    return held.select("row", "text").mapInArrow(resting(run), "row long, own binary")
+    return held.select("bucket", "row", "text").mapInArrow(resting(run), "bucket long, row long, own binary")
 
 
 def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:
@@ -186,10 +190,11 @@ def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] =
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (0, 1))).filter("n > 1")
     shared = written(shared.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
     members = written(keys.join(shared, "bucket", "left_semi"), "members")
-    parts = written(_near(members.join(keyed.select("row", "fp"), "row")), "parts")
+    near = written(_near(members.join(keyed.select("row", "fp"), "row")), "near")
     drop_scratch(keyed, shared, members)
-    texts = docs.select("row", "text").join(parts.select("row").distinct(), "row", "left_semi")
-    sets = written(_sets(texts, shingle), "sets")
-    out = written(_edges(parts.join(sets, "row"), alike), "links")
-    drop_scratch(parts, sets)
+    # Written, so that a small table is broadcast and no text is moved.
+    groups = written(components(near).select(F.col("node").alias("row"), F.col("label").alias("bucket")), "groups")
+    sets = written(_sets(docs.select("row", "text").join(groups, "row"), shingle), "sets")
+    out = written(_edges(sets, alike), "links")
+    drop_scratch(near, groups, sets)
     return out
