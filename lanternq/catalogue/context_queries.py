@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import fixed, scores, text
-from ..operators import pack, rank, search, structure
+from ..operators import pack, rank, structure
 from ..plans import cache, engine, prompt
 from ..sources import corpus
 from .shared import (
-    CODE, CORPUS, DEFINITIONS, KEYWORDS, LINES, PATTERN, QUESTION, files, lines, lines_of, path_score_sql, quoted, right_strip_sql, strip_sql, table, words,
+    CORPUS, DEFINITIONS, KEYWORDS, LINES, PATTERN, QUESTION, files, lines, lines_of, quoted, right_strip_sql, table,
 )
 from .text_queries import TOP, top_matches
 
@@ -378,3 +378,8 @@ def cache_expiry(spark, sf_dir):
 @query()
 def end_to_end_context(spark, sf_dir):
     return engine.ask(files(spark, sf_dir), QUESTION)
+
+
+# No file of this corpus is imported by another or holds a definition, so the
+# default budget is all that differs from the assembly above.
+ORACLES["end_to_end_context"] = ORACLES["prompt_assembly"].replace(str(BUDGET), str(Config().max_context_size))

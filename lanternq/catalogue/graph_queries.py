@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..operators import graph, search, structure
 from ..shared import fresh_path
 from ..sources import corpus
-from .shared import CODE, CODE_GRAPH, DEFINITIONS, IMPORTS, TARGETS, lines_of, quoted, strip_sql, table
+from .shared import CODE, CODE_GRAPH, DEFINITIONS, IMPORTS, TARGETS, lines_of, strip_sql, table
 
 QUERIES, ORACLES = {}, {}
 
