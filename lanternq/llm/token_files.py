@@ -23,7 +23,6 @@ their texts; an empty table gives no documents.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
