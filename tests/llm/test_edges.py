@@ -390,6 +390,27 @@ def test_bit_sliced_sets(count):
     assert got == label
 
 
+@pytest.mark.parametrize("count", [2, 30, 200, 900])
+def test_bit_sliced_sets_of_wide_fingerprints(count):
+    dice = np.random.default_rng(count)
+    centres = dice.integers(0, 1 << 63, (count // 9 + 1, simhash.WIDE_WORDS), np.uint64)
+    fps = centres[dice.integers(0, len(centres), count)]
+    for fp in fps:  # chains reach beyond the radius
+        for b in dice.integers(0, 256, dice.integers(0, 70)).tolist():
+            fp[b >> 6] ^= np.uint64(1 << (b & 63))
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=np.int64) <= simhash.WIDE_RADIUS
+    label = np.arange(count)
+    while True:
+        least = np.where(near, label, count).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    got = np.arange(count)
+    for group in simhash.linked_sets(fps, simhash.WIDE_RADIUS):
+        got[group] = group[0]
+    assert (got == label).all()
+
+
 def test_links_with_large_buckets(spark):
     fps = clustered(5, 250)
     table_ = written(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), "fps")
