@@ -88,16 +88,27 @@ def alike_edges(sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> list[
     sizes = np.array([len(s) for s in sets])
     fps = np.array([wide_fingerprint(s) for s in sets]).reshape(-1, WIDE_WORDS)
 
+    # Elements by number, set after set: what a set shares with all others is one pass over them.
+    known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    marked = np.zeros(len(known), bool)
+
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        n, own = sizes[i], sets[i]
+        n = sizes[i]
         hit = np.zeros(len(others), bool)
         fits = (sizes[others] * alike[1] >= n * alike[0]) & (n * alike[1] >= sizes[others] * alike[0])
         fits &= np.bitwise_count(fps[others] ^ fps[i]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
-        for k in np.flatnonzero(fits).tolist():
-            other = sets[others[k]]
-            at = np.searchsorted(own, other)
-            both = int((own[np.minimum(at, n - 1)] == other).sum())
-            hit[k] = both * alike[1] >= (n + len(other) - both) * alike[0]
+        if not fits.any():
+            return hit
+        own = numbers[starts[i] : starts[i] + n]
+        marked[own] = True
+        k = others[fits]
+        if len(k) * 8 < len(sets):
+            both = np.array([np.count_nonzero(marked[numbers[starts[j] : starts[j] + sizes[j]]]) for j in k.tolist()])
+        else:
+            both = np.add.reduceat(marked[numbers], starts, dtype=np.int64)[k]
+        marked[own] = False
+        hit[fits] = both * alike[1] >= (n + sizes[k] - both) * alike[0]
         return hit
 
     return [e for edges in _parts(len(sets), near) for e in edges]
