@@ -202,10 +202,15 @@ def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] =
     shared = written(shared.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
     members = written(keys.join(shared, "bucket", "left_semi"), "members")
     near = written(_near(members.join(keyed.select("row", "fp"), "row")), "near")
-    drop_scratch(keyed, shared, members)
+    # A row is tied to the first of each of its at most BANDS parts: to the least
+    # of these one edge is enough, and the others are tied among themselves.
+    stars = near.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("firsts")).withColumn("a", F.col("firsts")[0])
+    others = stars.select("a", F.explode(F.slice("firsts", 2, BANDS)).alias("b")).distinct()
+    tied = written(stars.select("a", "b").unionByName(others), "tied")
+    drop_scratch(keyed, shared, members, near)
     # Written, so that a small table is broadcast and no text is moved.
-    groups = written(components(near).select(F.col("node").alias("row"), F.col("label").alias("bucket")), "groups")
+    groups = written(components(tied).select(F.col("node").alias("row"), F.col("label").alias("bucket")), "groups")
     sets = written(_sets(docs.select("row", "text").join(groups, "row"), shingle), "sets")
     out = written(_edges(sets, alike), "links")
-    drop_scratch(near, groups, sets)
+    drop_scratch(tied, groups, sets)
     return out

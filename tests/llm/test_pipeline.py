@@ -6,6 +6,7 @@ import corpus_pipeline
 from lanternq.llm import entries
 from lanternq.llm.common import written
 
+from .test_edges import ODD, QUESTION, table
 from .test_similar import firsts_of, grams
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -44,3 +45,16 @@ def test_stages(spark):
 
     given, kept = steps["bpe"]
     assert kept == set(given) and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    documents = table(spark, [*ODD, (20, QUESTION, 1), (20, QUESTION, 1), (21, "clean text of a few words", 1)])
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, 1), (1, 0, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, QUESTION), (2, None), (None, "")], "item_id long, text string")
+    for name, rows in (("documents", documents), ("labels", labels), ("benchmark", benchmark)):
+        rows.write.parquet(f"{tmp_path}/some/{name}.parquet")
+        rows.filter("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 6, 9, 9, 21]
+    assert all(len(r.ids) == 4 * r.n_tokens for r in got) and {r.n_tokens for r in got if r.doc_id == 3} == {0}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
