@@ -14,8 +14,7 @@ both sides; a span without a sure split takes in the next chunk as well, until
 both of its ends agree with the ids beside it.
 
 Reuse is within a worker.  Encoding each chunk once in the whole cluster would
-move every chunk's hash and the shared chunks' ids through shuffles, which
-costs more than encoding them (see the README for figures).
+move every chunk's hash and the shared chunks' ids through shuffles.
 
 Defined results: a null text counts as empty and has no ids; texts that hold
 the string of a special token are encoded by the library as a whole; an empty
