@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, decontamination, exact_dedup, html_text, pii, simhash, substring_dedup, token_files, toxicity, warc
-
+from . import centroids, chunked_bpe, decontamination, exact_dedup, html_text, pii, simhash, substring_dedup, token_files, toxicity, warc
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:
@@ -63,19 +63,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_benchmark_decontamination, op3_html_extraction, op4_token_files, op5_chunked_bpe,
-        op6_substring_dedup, op7_simhash, op8_toxicity, op9_pii, op10_warc,
+        op6_substring_dedup, op7_simhash, op8_toxicity, op9_pii, op10_warc, op13_centroid_clustering,
     )
 }
-
-ORACLE_SQL = {
-    "op1_exact_dedup": r"""
-        WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-        FROM norm
-    """,
-}
