@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chunked_bpe, decontamination, exact_dedup, html_text, periodic_runs, pii, simhash, substring_dedup, token_files, toxicity, warc
+from . import centroids, chunked_bpe, decontamination, exact_dedup, html_text, periodic_runs, pii, simhash, substring_dedup, suffix_arrays, token_files, toxicity, warc
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.drop_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = periodic_runs.with_repeated_tail(table(spark, sf_dir, "documents"))
     return periodic_runs.summary(periodic_runs.periodic_runs(planted))
@@ -76,6 +80,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_benchmark_decontamination, op3_html_extraction, op4_token_files, op5_chunked_bpe,
-        op6_substring_dedup, op7_simhash, op8_toxicity, op9_pii, op10_warc, op12_periodic_runs, op13_centroid_clustering,
+        op6_substring_dedup, op7_simhash, op8_toxicity, op9_pii, op10_warc, op11_suffix_array_dedup, op12_periodic_runs, op13_centroid_clustering,
     )
 }
