@@ -37,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the contract of the query.
 EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match that cannot start at the beginning of a row of digits cannot start inside it.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -45,6 +46,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: on at most so many different regions.
 SAMPLE_TEXTS, SAMPLE_REGIONS = 600, 1500
 LONGEST = 7
+#: A model keeps the scores of so many spans of so many characters at most.
+KEPT_SPANS, KEPT_SPAN = 1 << 14, 64
 OTHER = len(KINDS)
 EPOCHS = 6
 
@@ -100,10 +103,37 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 WORD = re.compile(r"[^\s]+")
 #: Words that may belong to an entity: with digits or an at-sign, written-out signs.
-SEED = re.compile(r"[^\s]*[0-9@][^\s]*|[(\[{]?(?:at|dot)[)\]}]|(?<!\S)at\s+[\w-]+(?:\s+dot\s+[\w-]+)+", re.I)
+SIGN = re.compile(r"[0-9@]")
+WRITTEN_SIGN = re.compile(r"[(\[{]?(?:at|dot)[)\]}]|(?<!\S)at\s+[\w-]+(?:\s+dot\s+[\w-]+)+", re.I)
+REST_OF_WORD = re.compile(r"\S*")
 GAP = 5
 
 
+def seeds(text: str, at: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Bounds of these words of a stretch from left to right.  A digit or at-sign takes the
+    word around it, as far as that has not been passed; each character is
+    looked at a few times whatever the length of words."""
+    start, fresh, end = 0, True, len(text) if end is None else end
+    sign, written = SIGN.search(text, at, end), WRITTEN_SIGN.search(text, at, end)
+    while sign or written:
+        if sign and fresh:
+            start = sign.start()
+            while start > at and not text[start - 1].isspace():
+                start -= 1
+            fresh = False
+        start = max(start, at)
+        if sign and (not written or start <= written.start()):
+            bounds = start, REST_OF_WORD.match(text, sign.start(), end).end()
+        else:
+            bounds = written.span()
+        yield bounds
+        at = bounds[1]
+        if sign and sign.start() < at:
+            sign, fresh = SIGN.search(text, at, end), True
+        if written and written.start() < at:
+            written = WRITTEN_SIGN.search(text, at, end)
+
+
 def _units(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Words of a stretch without the punctuation at their edges."""
     out = []
@@ -128,11 +158,11 @@ def regions(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
     close together and a few words on either side), and the places between
     which an entity of the stretch must start."""
     held: list[tuple[int, int]] = []
-    for m in SEED.finditer(text):
-        if held and m.start() - held[-1][1] > 24:
+    for bounds in seeds(text):
+        if held and bounds[0] - held[-1][1] > 24:
             yield from _stretches(text, held)
             held = []
-        held.append(m.span())
+        held.append(bounds)
     if held:
         yield from _stretches(text, held)
 
@@ -204,34 +234,55 @@ class SemiMarkov:
 
     def __init__(self, weights: dict[tuple, float] | None = None):
         self.weights = weights or {}
+        self.scored: dict[tuple[str, int], list[float]] = {}
+
+    def scores(self, span: str, words: int) -> list[float]:
+        """A segment's score as each kind; those of short spans are kept."""
+        out = self.scored.get((span, words))
+        if out is None:
+            get, fs = self.weights.get, segment_features(span, words)
+            out = [sum(get((kind, f), 0.0) for f in fs) for kind in range(OTHER + 1 if words == 1 else OTHER)]
+            if len(span) <= KEPT_SPAN:
+                if len(self.scored) >= KEPT_SPANS:
+                    self.scored.clear()
+                self.scored[span, words] = out
+        return out
 
-    def lattice(self, text: str, units: list[tuple[int, int]]) -> list[list[tuple[int, int, float, list[str]]]]:
-        """For each end: (start, kind, score, features) of the segments."""
-        get, out = self.weights.get, []
+    def segments(self, text: str, units: list[tuple[int, int]]) -> Iterator[list[tuple[int, str, int]]]:
+        """For each end: (start, span, words) of the segments."""
         for j in range(1, len(units) + 1):
             ending = []
             for i in range(max(0, j - LONGEST), j):
                 span = text[units[i][0] : units[j - 1][1]]
-                if i < j - 1 and not any("0" <= c <= "9" or c == "@" for c in span) and not AT.search(span):
+                if i < j - 1 and not SIGN.search(span) and not AT.search(span):
                     continue  # only outside words have neither digit nor at-sign
-                fs = segment_features(span, j - i)
-                for kind in range(OTHER if i < j - 1 else OTHER + 1):
+                ending.append((i, span, j - i))
+            yield ending
+
+    def lattice(self, text: str, units: list[tuple[int, int]]) -> list[list[tuple[int, int, float, list[str]]]]:
+        """For each end: (start, kind, score, features) of the segments."""
+        get, out = self.weights.get, []
+        for segments in self.segments(text, units):
+            ending = []
+            for i, span, words in segments:
+                fs = segment_features(span, words)
+                for kind in range(OTHER if words > 1 else OTHER + 1):
                     ending.append((i, kind, sum(get((kind, f), 0.0) for f in fs), fs))
             out.append(ending)
         return out
 
     def best(self, text: str, units: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(kind, start, end) in characters of the best segmentation's entities."""
-        lattice = self.lattice(text, units)
-        get = self.weights.get
+        link = [[self.weights.get(("after", a, b), 0.0) for b in range(OTHER + 1)] for a in range(OTHER + 1)]
         states: list[dict[int, tuple[float, int, int]]] = [{OTHER: (0.0, -1, OTHER)}]
-        for ending in lattice:
+        for ending in self.segments(text, units):
             here: dict[int, tuple[float, int, int]] = {}
-            for i, kind, score, _ in ending:
-                for before, (value, _, _) in states[i].items():
-                    total = value + score + get(("after", before, kind), 0.0)
-                    if kind not in here or total > here[kind][0]:
-                        here[kind] = (total, i, before)
+            for i, span, words in ending:
+                for kind, score in enumerate(self.scores(span, words)):
+                    for before, (value, _, _) in states[i].items():
+                        total = value + score + link[before][kind]
+                        if kind not in here or total > here[kind][0]:
+                            here[kind] = (total, i, before)
             states.append(here)
         out, j = [], len(units)
         kind = max(states[j], key=lambda k: states[j][k][0])
@@ -295,6 +346,7 @@ class SemiMarkov:
             for f in segment_features(text[units[i][0] : units[j - 1][1]], j - i):
                 add((kind, f), 1.0)
             before = kind
+        self.scored.clear()
         for key, by in change.items():
             self.weights[key] = self.weights.get(key, 0.0) * (1 - rate * 0.002) + rate * by
 
@@ -413,7 +465,7 @@ def added_spans(model: SemiMarkov, text: str, base: list[tuple[int, int, int]])
             if u is not None and u in free:
                 stretch.append(u)
                 continue
-            if stretch and SEED.search(text, stretch[0][0], stretch[-1][1]):
+            if stretch and any(True for _ in seeds(text, stretch[0][0], stretch[-1][1])):
                 out += [s for s in model.best(text, stretch) if low <= s[1] < high]
             stretch = []
     # Neighbouring stretches may disagree about an entity between them: the first counts.

@@ -67,11 +67,22 @@ IDENTITY_FAMILIES = tuple(
         "old young elderly teenage",
     )
 )
-EDGES = re.compile(r"^[^\w]+|[^\w]+$")
+WORD_CHARACTER = re.compile(r"\w")
+
+
+def without_edges(raw: str) -> str:
+    """The word from its first letter, digit or underscore to its last one."""
+    first = WORD_CHARACTER.search(raw)
+    if not first:
+        return ""
+    end = len(raw)
+    while not (raw[end - 1].isalnum() or raw[end - 1] == "_"):
+        end -= 1
+    return raw[first.start() : end]
 
 
 def features_of(raw: str) -> tuple[str, ...]:
-    word = EDGES.sub("", raw.lower())
+    word = without_edges(raw.lower())
     if not word:
         return ()
     return (word, f"{word[:PREFIX]}*") if len(word) >= PREFIX else (word,)
@@ -119,7 +130,7 @@ def _swapped(rows: Iterable[set[str]], index: dict[str, int]) -> tuple[np.ndarra
     pair, feature, change, count = [], [], [], 0
     for row in rows:
         for raw in sorted(row):
-            word = EDGES.sub("", raw.lower())
+            word = without_edges(raw.lower())
             if word in other:
                 for fs, sign in ((features_of(word), -1.0), (features_of(other[word]), 1.0)):
                     for f in fs:
