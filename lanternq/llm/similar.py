@@ -10,6 +10,12 @@ whole sets, each text once, and these decide exactly.  Both steps search
 outward from one row at a time over those not reached yet and give spanning
 edges, never pairs.
 
+No task holds a group of more than ``HELD_BYTES``.  A larger one is dealt into
+blocks, and each block is searched together with the first one, which ties a
+group of near copies to one part at once.  Rows outside that part (strays)
+then meet all blocks, some of them at a time; pairs inside the part need no
+look any more, so no link is lost.
+
 Defined results: words are as in ``simhash``; a text of fewer words than a
 shingle has is one shingle; texts without words are alike; null counts as empty.
 """
@@ -29,6 +35,8 @@ from .common import drop_scratch, partitions, resting, written
 from .simhash import ALIKE, WIDE_RADIUS, WIDE_SHINGLE, WIDE_WORDS, components, linked_sets, wide_fingerprint
 
 BANDS, BAND_ROWS = 20, 2
+#: Bytes of the rows of a group that are searched together, about; and what a row takes besides its item.
+HELD_BYTES, ROW_BYTES = 8 << 20, 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,6 +201,46 @@ def _sets(held: DataFrame, shingle: int) -> DataFrame:
     return held.select("bucket", "row", "text").mapInArrow(resting(run), "bucket long, row long, own binary")
 
 
+def _in_blocks(rows: DataFrame, item: str, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What edges_of gives for rows (bucket, row and item), with buckets of over
+    HELD_BYTES searched in blocks; the edges span the same parts."""
+    size = F.length(item) + ROW_BYTES
+    sizes = rows.groupBy("bucket").agg(F.sum(size).alias("size")).filter(F.col("size") > HELD_BYTES)
+    sizes = written(sizes.select("bucket", _blocks("size").alias("blocks")), "sizes")
+    if sizes.isEmpty():
+        return written(edges_of(rows), "edges")
+    large = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    large = written(large, "large")
+
+    def meeting(df: DataFrame, *of: str) -> DataFrame:
+        # Should two groups get one number, they are searched together, which adds no wrong edge.
+        return df.select(F.xxhash64("bucket", *of).alias("bucket"), "row", item)
+
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    with_first = meeting(large.withColumn("other", F.explode(others)), "other")
+    found = written(edges_of(rows.join(sizes, "bucket", "left_anti").unionByName(with_first)), "edges")
+
+    labels = components(found).withColumnRenamed("node", "row")
+    later = large.filter("block > 0").select("bucket", "row", size.alias("size")).join(labels, "row", "left")
+    parts = later.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = parts.filter("label is not null").groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    strays = later.join(main, "bucket", "left").filter("main is null or label is null or label <> main")
+    strays = written(strays.select("bucket", "row", "size"), "strays")
+    if strays.isEmpty():
+        return found
+    shares = written(strays.groupBy("bucket").agg(_blocks(F.sum("size")).alias("shares")), "shares")
+    dealt = strays.select("bucket", "row").join(shares, "bucket").join(large, ["bucket", "row"])
+    dealt = dealt.withColumn("share", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shares"))).withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)))
+    whole = large.filter("block > 0").join(shares, "bucket").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    more = written(edges_of(meeting(dealt, "share", "block").unionByName(meeting(whole, "share", "block")).distinct()), "edges")
+    return found.unionByName(more)
+
+
+def _blocks(size: F.Column | str) -> F.Column:
+    """Blocks of half of HELD_BYTES, two at least: two of them are held together."""
+    return F.greatest(F.lit(2), F.ceil((F.col(size) if isinstance(size, str) else size) * 2 / HELD_BYTES)).cast("long")
+
+
 def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """Edges (a, b) between row numbers that span the same components as all
     pairs of alike texts.  docs has stored columns row and text."""
@@ -201,7 +249,7 @@ def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] =
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (0, 1))).filter("n > 1")
     shared = written(shared.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "shared")
     members = written(keys.join(shared, "bucket", "left_semi"), "members")
-    near = written(_near(members.join(keyed.select("row", "fp"), "row")), "near")
+    near = _in_blocks(members.join(keyed.select("row", "fp"), "row"), "fp", _near)
     # A row is tied to the first of each of its at most BANDS parts: to the least
     # of these one edge is enough, and the others are tied among themselves.
     stars = near.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("firsts")).withColumn("a", F.col("firsts")[0])
@@ -211,6 +259,6 @@ def links(docs: DataFrame, shingle: int = WIDE_SHINGLE, alike: tuple[int, int] =
     # Written, so that a small table is broadcast and no text is moved.
     groups = written(components(tied).select(F.col("node").alias("row"), F.col("label").alias("bucket")), "groups")
     sets = written(_sets(docs.select("row", "text").join(groups, "row"), shingle), "sets")
-    out = written(_edges(sets, alike), "links")
+    out = _in_blocks(sets, "own", lambda rows: _edges(rows, alike))
     drop_scratch(tied, groups, sets)
     return out
