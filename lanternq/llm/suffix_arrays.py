@@ -62,6 +62,8 @@ BUCKET_BYTES = 32 << 20
 KEY_BYTES = 5
 #: Windows of a passage, bytes of a shard, bytes that are ordered together.
 MOST_WINDOWS, SHARD_BYTES, ORDERED_BYTES = 4096, 1 << 20, 1 << 20
+#: Passages whose bytes a task remembers to have given.
+GIVEN = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -332,10 +334,14 @@ def _digest(passage: bytes) -> int:
 
 
 def _passages(held: DataFrame, buckets: int, window: int, anchor: int) -> DataFrame:
-    """The passages of each text's shared keys."""
+    """The passages of each text's shared keys; a task gives the bytes of equal
+    ones once, and now and then again (null else)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
+            if len(given) > GIVEN:
+                given.clear()
             for own, document, text, keys in zip(*(batch.column(c) for c in ("own", "document", "text", "keys"))):
                 data = text.as_py().encode()
                 key, _, first, count = anchored_runs([data], window, anchor)
@@ -344,14 +350,18 @@ def _passages(held: DataFrame, buckets: int, window: int, anchor: int) -> DataFr
                 first, count = first[stay].tolist(), count[stay].tolist()
                 parts = [data[a : a + n + window - 1] for a, n in zip(first, count)]
                 same = [pa.array(np.full(len(parts), x.as_py()), pa.int64()) for x in (own, document)]
-                yield _arrow(PASSAGE, *same, key[stay].astype(np.int64), list(map(_digest, parts)), first, count, parts)
+                key, digests, fresh = key[stay].astype(np.int64), list(map(_digest, parts)), []
+                for k, digest, part in zip(key.tolist(), digests, parts):
+                    fresh.append(None if (name := (k, digest)) in given else part)
+                    given.add(name)
+                yield _arrow(PASSAGE, *same, key, digests, first, count, fresh)
 
     return held.select("own", "document", "text", "keys").mapInArrow(resting(run), PASSAGE)
 
 
 def _distinct(passages: DataFrame) -> DataFrame:
     """The different passages, each with its first document as owner."""
-    return passages.groupBy("key", "digest").agg(F.min("document").alias("owner"), F.first("passage").alias("passage"))
+    return passages.groupBy("key", "digest").agg(F.min("document").alias("owner"), F.first("passage", ignorenulls=True).alias("passage"))
 
 
 def _seen(distinct: DataFrame, window: int) -> DataFrame:
