@@ -66,11 +66,13 @@ def file_types_by_name(spark, sf_dir):
 # -- reading --------------------------------------------------------------
 
 
-@query("SELECT doc_id, text AS content FROM documents")
+@query("SELECT doc_id, chr(65533) || chr(57344) || text || chr(65533) AS content FROM documents")
 def tolerant_read(spark, sf_dir):
-    """Texts with bytes in them that are no UTF-8, which a tolerant read leaves out."""
+    """Texts with bytes in them that are no UTF-8, which a tolerant read leaves
+    out, and replacement signs of their own, which it keeps."""
     docs = files(spark, sf_dir)
-    spoiled = F.concat(F.unhex(F.lit("FF")), F.encode("content", "utf-8"), F.unhex(F.lit("C3"))).cast("string")
+    own = F.concat(F.lit("\ufffd\ue000"), "content", F.lit("\ufffd"))
+    spoiled = F.concat(F.unhex(F.lit("FF")), F.encode(own, "utf-8"), F.unhex(F.lit("C3"))).cast("string")
     return docs.select("doc_id", corpus.tolerant(spoiled).alias("content"))
 
 

@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
 
     def prompt_of(question: str) -> str:
         log = StepLog()
-        hits = semantic_hits(code_map(files, cache, log)[0], question) if config.semantic_analysis else None
+        hits = semantic_hits(code_map(files, cache, log, project=args.path)[0], question) if config.semantic_analysis else None
         packed = context(files, question, config, hits, cache, log).cache()
         if args.debug:
             debug_table(packed).orderBy("rank").show(truncate=False)

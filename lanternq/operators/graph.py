@@ -9,6 +9,7 @@ round.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,6 +145,42 @@ def related_nodes(edges: DataFrame, starts: DataFrame, most: int = 2) -> DataFra
     return reached.filter("distance > 0")
 
 
+#: Starts whose reached nodes are bits of one word.
+WORD_BITS = 64
+
+
+def related_by_bits(edges: DataFrame, starts: DataFrame, most: int = 2) -> DataFrame:
+    """``related_nodes`` for many starts at once.
+
+    Starts are numbered, and 64 of them share a word: a node holds, for each
+    word, the bits of the starts that have reached it.  A round takes the
+    bitwise or over a node's neighbours; bits that were not there before are
+    the starts that reach it at that distance.  A round moves a row for each
+    node and word instead of one for each node and start.
+    """
+    both = saved(undirected(edges))
+    named = saved(starts.select(F.col("id").alias("start")).distinct().withColumn("n", F.monotonically_increasing_id()))
+    place = named.select("start", F.shiftright("n", 6).alias("word"), (F.col("n") % WORD_BITS).cast("int").alias("bit"))
+    shift = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    front = saved(place.groupBy(F.col("start").alias("node"), "word").agg(F.bit_or(shift).alias("bits")))
+    seen, rounds = front, []
+    for step in range(1, most + 1):
+        came = front.join(both, front.node == both.source).groupBy(F.col("target").alias("node"), "word").agg(F.bit_or("bits").alias("came"))
+        known = came.join(seen.withColumnRenamed("bits", "had"), ["node", "word"], "left")
+        fresh = F.col("came").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        front = saved(known.select("node", "word", fresh.alias("bits")).filter("bits <> 0"))
+        if front.isEmpty():
+            break
+        rounds.append(front.withColumn("distance", F.lit(step)))
+        if step < most:
+            seen = saved(seen.unionByName(front).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    if not rounds:
+        return place.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")).filter("distance > 0")
+    rows = reduce(DataFrame.unionByName, rounds)
+    every = rows.select("node", "word", "bits", "distance", F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1))).alias("bit"))
+    return every.filter(F.getbit("bits", "bit") == 1).join(place, ["word", "bit"]).select("start", "node", "distance")
+
+
 def call_chains(edges: DataFrame, starts: DataFrame, most: int = 5) -> DataFrame:
     """start, chain (array of ids) of every directed calls path of one to most
     edges; parallel edges count once; cycles run on until the bound."""

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -43,6 +44,21 @@ def first_n_per_file(matches: DataFrame, most: int, *by: str) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
+def runnable(spark: SparkSession, patterns: list[str]) -> dict[str, bool]:
+    """Whether each regular expression can be run.  A search with one that
+    cannot finds nothing; the others of a question go on."""
+
+    compiler = spark.sparkContext._jvm.java.util.regex.Pattern
+    out = {}
+    for pattern in patterns:
+        try:
+            compiler.compile(pattern)
+            out[pattern] = True
+        except PySparkException:
+            out[pattern] = False
+    return out
+
+
 #: The one backend; there is no external program to choose.
 PRIMARY_SEARCH_TOOL = "spark"
 
@@ -64,9 +80,12 @@ def search_text(
     """Matching lines: path, line_number, line (stripped), column, match_count,
     score, search_tool; at most max_results of each file.
 
-    column counts bytes of the line as it stands, before stripping.
+    column counts bytes of the line as it stands, before stripping.  A pattern
+    that is no regular expression has no rows.
     """
     p = effective(pattern, case_sensitive, whole_word, regex)
+    if not runnable(lines.sparkSession, [p])[p]:
+        lines, p = lines.filter(F.lit(False)), ""
     if file_types:
         lines = lines.filter(extension(F.col("path")).isin(*map(ending_of_type, file_types)))
     hits = lines.filter(F.col("line").rlike(p))
@@ -93,10 +112,13 @@ def search_as_ag(lines: DataFrame, pattern: str, file_types: list[str] | None =
 
 
 def search_patterns(lines: DataFrame, patterns: list[str], max_results: int = 100, case_sensitive: bool = False) -> DataFrame:
-    """One scan for several patterns; a row for each (pattern, line)."""
-    if not patterns:
+    """One scan for several patterns; a row for each (pattern, line).  One that
+    is no regular expression has no rows."""
+    usable = runnable(lines.sparkSession, [effective(p, case_sensitive) for p in patterns])
+    tried = [(k, p) for k, p in enumerate(patterns) if usable[effective(p, case_sensitive)]]
+    if not tried:
         return lines.withColumn("rank", F.lit(0)).withColumn("pattern", F.lit(None).cast("string")).filter(F.lit(False))
-    hit = F.array(*(F.when(F.col("line").rlike(effective(p, case_sensitive)), F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern"))) for k, p in enumerate(patterns)))
+    hit = F.array(*(F.when(F.col("line").rlike(effective(p, case_sensitive)), F.struct(F.lit(k).alias("rank"), F.lit(p).alias("pattern"))) for k, p in tried))
     rows = lines.select("*", F.explode(F.array_compact(hit)).alias("hit")).select(*lines.columns, "hit.rank", "hit.pattern")
     return first_n_per_file(rows, max_results, "pattern")
 
@@ -130,8 +152,11 @@ def initial_search(
     top = found.orderBy(F.desc("hits"), *arrival).limit(most)
     column = F.lit(None).cast("int")
     count = F.lit(None).cast("int")
-    for k, word in enumerate(keywords[:searched]):
-        p = effective(word, case_sensitive)
+    patterns = [effective(word, case_sensitive) for word in keywords[:searched]]
+    usable = runnable(lines.sparkSession, patterns)
+    for k, p in enumerate(patterns):
+        if not usable[p]:
+            continue
         column = F.when(F.col("rank") == k, first_column(F.col("line"), p)).otherwise(column)
         count = F.when(F.col("rank") == k, F.regexp_count("line", F.lit(p)).cast("int")).otherwise(count)
     return top.select(

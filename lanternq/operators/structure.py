@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import docstring_text, found, is_java_library, is_project_module
 from ..shared import written as saved
+from . import intervals
 
 SCHEMA = "path string, kind string, name string, start_line int, end_line int, start_column int, code string, parse_error boolean"
 
@@ -151,6 +152,13 @@ def node_at(structured: DataFrame, path: str, line: int) -> DataFrame:
     return inside.orderBy(F.col("end_line") - F.col("start_line"), "start_line", "name").limit(1)
 
 
+def nodes_at(structured: DataFrame, points: DataFrame) -> DataFrame:
+    """For each point (path, line_number) inside a definition the smallest one:
+    path, line_number, name, kind, start_line, end_line."""
+    spans = structured.filter(F.col("kind").isin("function", "constructor", "class")).select("path", "name", "kind", "start_line", "end_line")
+    return intervals.smallest_around(points, spans, "line_number").select("path", "line_number", "span.*")
+
+
 #: Node types of Java files, by what the scanner finds.
 JAVA_TYPES = {"class": "class_declaration", "function": "method_declaration", "constructor": "constructor_declaration", "javadoc": "block_comment"}
 

@@ -34,8 +34,10 @@ def question_terms(question: str) -> list[str]:
 MAP_GRACE_SECONDS = 300
 
 
-def code_map(files: DataFrame, cache: Cache | None = None, log: StepLog | None = None, force: bool = False, grace: float = MAP_GRACE_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of a corpus; with a cache, those stored for its present state."""
+def code_map(files: DataFrame, cache: Cache | None = None, log: StepLog | None = None, force: bool = False, grace: float = MAP_GRACE_SECONDS, project: str = "") -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a corpus; with a cache, those stored for its present
+    state.  project tells corpora apart that share a cache: a young map is taken
+    without a look at the files."""
     log = log or StepLog()
 
     def build() -> tuple[DataFrame, DataFrame]:
@@ -53,12 +55,13 @@ def code_map(files: DataFrame, cache: Cache | None = None, log: StepLog | None =
 
     if cache is None:
         return build()
-    key = None if force else cache.latest("map:nodes", grace)
-    key = key.removesuffix("-nodes") if key else key_of("map", state=corpus_state(files))
+    kind = f"map:{project}" if project else "map"
+    key = None if force else cache.latest(f"{kind}:nodes", grace)
+    key = key.removesuffix("-nodes") if key else key_of("map", project=project, state=corpus_state(files))
     nodes, edges = (None, None) if force else (cache.get(f"{key}-nodes"), cache.get(f"{key}-edges"))
     if nodes is None or edges is None:
         for name, rows in zip(("nodes", "edges"), build()):
-            cache.put(f"{key}-{name}", rows, f"map:{name}")
+            cache.put(f"{key}-{name}", rows, f"{kind}:{name}")
         nodes, edges = (cache.spark.read.parquet(f"{cache.folder}/data/{key}-{name}") for name in ("nodes", "edges"))
     return nodes, edges
 
@@ -77,7 +80,8 @@ def keyword_hits(files: DataFrame, keywords: list[str], config: Config) -> DataF
     """path, line_number, score, hits, keyword_rank of the best lines; with
     fuzzy_search also of lines with a word that is nearly a keyword."""
     # A file without any keyword has no line to split off.
-    wanted = [search.effective(k, config.case_sensitive) for k in keywords[: config.max_searched_keywords]]
+    usable = search.runnable(files.sparkSession, [search.effective(k, config.case_sensitive) for k in keywords[: config.max_searched_keywords]])
+    wanted = [p for p, good in usable.items() if good]
     some = files.filter(F.col("content").rlike("(?m)" + "|".join(f"(?:{w})" for w in wanted))) if wanted and not config.fuzzy_search else files
     every_line = lines(some)
     columns = ["path", "line_number", "score", "hits", "keyword_rank"]
@@ -172,8 +176,8 @@ def _context(files: DataFrame, question: str, config: Config, semantic_hits: Dat
     )
 
 
-def ask(files: DataFrame, question: str, config: Config = Config(), cache: Cache | None = None, log: StepLog | None = None) -> DataFrame:
+def ask(files: DataFrame, question: str, config: Config = Config(), cache: Cache | None = None, log: StepLog | None = None, project: str = "") -> DataFrame:
     """One row: question, prompt."""
-    hits = semantic_hits(code_map(files, cache, log)[0], question) if config.semantic_analysis else None
+    hits = semantic_hits(code_map(files, cache, log, project=project)[0], question) if config.semantic_analysis else None
     packed = context(files, question, config, hits, cache, log)
     return prompt(packed, question, question_keywords(question)).select(F.lit(question).alias("question"), "prompt")

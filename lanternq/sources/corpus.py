@@ -68,8 +68,13 @@ def one_newline(text: Column) -> Column:
 
 
 def tolerant(text: Column) -> Column:
-    """The text without bytes that are no UTF-8 (replacement signs of its own go with them)."""
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    """The text without bytes that are no UTF-8.  Replacement signs of its own
+    stay: they are spelt another way while those of bad bytes are taken out."""
+    mark, sign = "\ue000", "\ufffd"
+    spelt = F.replace(F.replace(text, F.lit(mark), F.lit(mark + "a")), F.lit(sign), F.lit(mark + "b"))
+    good = F.replace(F.make_valid_utf8(spelt), F.lit(sign), F.lit(""))
+    back = F.replace(F.replace(good, F.lit(mark + "b"), F.lit(sign)), F.lit(mark + "a"), F.lit(mark))
+    return F.when(F.is_valid_utf8(text), text).otherwise(back)
 
 
 def capped(content: Column, size_bytes: Column, most_bytes: int = 1 << 20, most_chars: int = 512 << 10) -> Column:
