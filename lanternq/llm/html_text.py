@@ -40,19 +40,20 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter"
-    r"|notices?|pager|pagination|popup|promo\w*|related|remark|replies|respond|share|sharing|shoutbox|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
-#: Inside an article a class name must be made of these and neutral words only.
+#: Words of class names and ids that name what is no part of a text: all of the
+#: element goes unless it holds half of the page's running text.
 FOREIGN = re.compile(
-    r"(?:^|(?<=\s))(?:(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|gdpr|menu|modal|nav|navbar|navigation|newsletter|pager|pagination|popup|promo\w*|share|sharing"
-    r"|shoutbox|sidebar|social|sponsor\w*|subscribe|toolbar|widget|area|bar|block|bottom|box|buttons?|container|content|form|holder|icons?|inner|items?|left|links?|list|notice|panel|related"
-    r"|right|section|slot|top|unit|wrap|wrapper|\d+)(?:[_-]|(?=\s)|$))+(?=\s|$)",
+    r"ads?|advert\w*|adsbygoogle|adslot|banners?|breadcrumbs?|comments?|commentlist|commenters?|consent|cookies?|disqus|discussions?|gdpr|masthead|menus?|modal|nav|navbar|navigation"
+    r"|newsletters?|notices?|outbrain|pager|pagination|popup|promo\w*|related|remarks?|replies|respond|shoutbox|sidebars?|signup|sponsor\w*|subscribe|subscription|taboola|toolbar|widgets?",
     re.I,
 )
-NEUTRAL = re.compile(r"(?:(?:area|bar|block|bottom|box|buttons?|container|content|form|holder|icons?|inner|items?|left|links?|list|notice|panel|related|right|section|slot|top|unit|wrap|wrapper|\d+)(?:[_-]|$))+", re.I)
+#: Two words that do so together, and words that do so outside articles.
+FOREIGN_PAIRS = re.compile(r"(?:site|page|article|post)[_-]footer|author[_-](?:box|bio|card)|about[_-]author|sign[_-]up|reader[_-]\w*mail", re.I)
+FOREIGN_OUTSIDE = re.compile(r"header|footer|byline|skip", re.I)
+#: Words that may do so: the element goes if none of its blocks is running text.
+DOUBTFUL = re.compile(r"shar(?:e|es|ing)|social|authors?|footer|skip|follow|tools?", re.I)
+#: Running text has so many characters at least, and few of them in links.
+RUNNING = 50
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY_ROLES = frozenset("navigation banner complementary contentinfo search menu menubar alert alertdialog dialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<", re.S)
@@ -62,13 +63,14 @@ COMMAS = re.compile(r"[,،﹐﹑⹁⸲，、]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "box", "order", "score", "length", "linked", "kept")
+    __slots__ = ("tag", "parent", "children", "dropped", "suspect", "doubtful", "box", "order", "score", "length", "linked", "kept")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, order: int = 0):
         self.tag, self.parent, self.dropped, self.order = tag, parent, dropped, order
         self.children: list[Node | str] = []
         #: The nearest element of an unlikely name, itself or above.
         self.suspect: Node | None = parent.suspect if parent else None
+        self.doubtful = False
         #: The nearest container above.
         self.box: Node | None = parent and (parent if parent.tag in CONTAINERS else parent.box)
         self.score, self.length, self.linked = 0.0, 0, 0
@@ -97,18 +99,19 @@ def _unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
 STATES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[_-]\S*", re.I)
 
 
-def _named_unlikely(tag: str, attributes: str, inside_article: bool) -> bool:
+def _doubt(tag: str, attributes: str, inside_article: bool) -> int:
+    """What the names of an element say: 2 that it is foreign, 1 that it may be, 0 nothing."""
     if not attributes or tag in ("html", "body", "article", "main") or inside_article and tag in HEADINGS:
-        return False
+        return 0
+    doubt = 0
     for name, a, b, c, _ in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             value = STATES.sub(" ", a or b or c)
-            if inside_article:
-                if any(not NEUTRAL.fullmatch(m[0]) for m in FOREIGN.finditer(value)):
-                    return True
-            elif UNLIKELY.search(value):
-                return True
-    return False
+            words = re.split(r"[\s_-]+", value)
+            if FOREIGN_PAIRS.search(value) or any(FOREIGN.fullmatch(w) or not inside_article and FOREIGN_OUTSIDE.fullmatch(w) for w in words):
+                return 2
+            doubt = doubt or int(any(DOUBTFUL.fullmatch(w) for w in words))
+    return doubt
 
 
 class _Open:
@@ -195,8 +198,9 @@ def tree(page: str) -> Node:
             parent = opened.stack[-1]
             count += 1
             node = Node(tag, parent, _unlikely(tag, attributes, opened.articles > 0), count)
-            if not node.dropped and _named_unlikely(tag, attributes, opened.articles > 0):
-                node.suspect = node
+            doubt = 0 if node.dropped else _doubt(tag, attributes, opened.articles > 0)
+            if doubt:
+                node.suspect, node.doubtful = node, doubt == 1
                 suspects.append(node)
             parent.children.append(node)
             if not attributes.rstrip().endswith("/") or tag in BLOCKS:
@@ -210,11 +214,12 @@ def points_of(text: str) -> float:
 
 
 def _drop_suspects(root: Node, suspects: list[Node]) -> None:
-    """Drops elements of unlikely names, unless they hold an article or main
-    element or at least half of the page's points of paragraphs with few links."""
+    """Drops elements of foreign names, unless they hold an article or main
+    element or at least half of the page's points of paragraphs with few links;
+    of doubtful names, only if none of their blocks is running text."""
     if not suspects:
         return
-    points, whole, holds = {id(n): 0.0 for n in suspects}, 0.0, set()
+    points, whole, holds, running = {id(n): 0.0 for n in suspects}, 0.0, set(), set()
     todo = [root]
     while todo:
         node = todo.pop()
@@ -223,6 +228,8 @@ def _drop_suspects(root: Node, suspects: list[Node]) -> None:
                 holds.add(id(node.suspect))
             todo += [c for c in node.children if isinstance(c, Node)]
     for node, text, linked in blocks(root):
+        if node.suspect and node.tag not in HEADINGS and len(text) >= RUNNING and 4 * linked < len(text):
+            running.add(id(node.suspect))
         if node.tag == "p" and 2 * linked < len(text):
             score = points_of(text)
             whole += score
@@ -232,10 +239,12 @@ def _drop_suspects(root: Node, suspects: list[Node]) -> None:
         above = node.parent.suspect if node.parent else None
         if above:
             points[id(above)] += points[id(node)]
-            if id(node) in holds:
-                holds.add(id(above))
+            for held in (holds, running):
+                if id(node) in held:
+                    held.add(id(above))
     for node in suspects:
-        node.dropped = id(node) not in holds and not (whole and points[id(node)] * 2 >= whole)
+        stays = id(node) in holds or whole and points[id(node)] * 2 >= whole or node.doubtful and id(node) in running
+        node.dropped = not stays
 
 
 def decoded(parts: list[str]) -> str:
