@@ -339,3 +339,25 @@ def graph_json_roundtrip(spark, sf_dir):
     graph.write_graph(nodes, edges, folder)
     nodes, edges = graph.read_graph(spark, folder)
     return nodes.select(F.lit("node").alias("kind"), "id", "type").unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws(" ", "source", "target").alias("id"), "type"))
+
+
+_FUNCTION_CALLS = """fe AS (SELECT 'func:src/s_' || k || '.py:f_' || k || ':3' AS source, 'func:src/n_' || n || '.py:g_' || n || ':1' AS target FROM sup
+        UNION ALL SELECT 'func:src/s_' || k || '.py:m_' || k || ':8', 'func:src/s_' || k || '.py:f_' || k || ':3' FROM sup),
+    calls_of AS (SELECT source, target FROM fe UNION SELECT source, target FROM g_edges WHERE type = 'calls'),
+    walks AS (SELECT source AS start, target AS last, source || ' -> ' || target AS chain, 1 AS depth FROM calls_of WHERE starts_with(source, 'func:')
+        UNION ALL SELECT start, target, chain || ' -> ' || target, depth + 1 FROM walks JOIN calls_of ON source = last WHERE depth < 4),
+    named AS (SELECT id, name FROM g_nodes WHERE type = 'function' AND name IN ('m_1', 'f_1'))"""
+
+
+@query(f"""{CODE_GRAPH}, {_FUNCTION_CALLS}
+    SELECT name AS term, 'chain' AS kind, chain AS id FROM walks JOIN named ON start = named.id WHERE depth <= 3
+    UNION ALL SELECT 'm_1', 'flow', a.id || ' -> ' || b.id FROM named a, named b WHERE a.name = 'm_1' AND b.name = 'f_1'
+    UNION SELECT name, 'impact:call_chain', chain FROM walks JOIN named ON start = named.id
+    UNION SELECT name, 'impact:direct_caller', c.source FROM calls_of c JOIN named ON c.target = named.id""")
+def function_context(spark, sf_dir):
+    """Chains, a flow and the reach of a change along calls between functions, on a map as questions use it."""
+    from ..plans import engine
+
+    nodes, edges = engine.code_map(_code(spark, sf_dir).filter("ext = '.py'"))
+    found = graph.question_context(nodes, edges, "What would change with m_1 and f_1?", ["m_1", "f_1"])
+    return found.filter(~F.col("kind").isin("node", "file", "impact:indirect", "impact:file"))

@@ -93,3 +93,24 @@ GRAPH_JAVA_IMPORT, JAVA_CALL = rf"import\s+(?:static\s+)?({DOTTED})\s*;", rf"({I
 GRAPH_JS_IMPORTS = ("import\\s+.*?\\s+from\\s+[\"']([^\"']+)[\"']", "import\\s+[\"']([^\"']+)[\"']", "require\\s*\\(\\s*[\"']([^\"']+)[\"']\\s*\\)")
 JS_CALL = r"([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\("
 GREP_LINE = r"^(.+?):(\d+):(.*)$"
+
+#: Tree patterns of the parsed languages.
+TREE_PATTERNS = {
+    "python": {
+        "functions": "(function_definition name: (identifier) @function.name parameters: (parameters) @function.params body: (block) @function.body) @function.def",
+        "classes": "(class_definition name: (identifier) @class.name body: (block) @class.body) @class.def",
+        "docstrings": """
+            (module . (comment)* . (expression_statement (string)) @module_doc_str)
+            (class_definition body: (block . (expression_statement (string)) @class_doc_str))
+            (function_definition body: (block . (expression_statement (string)) @function_doc_str))""",
+    },
+    "java": {
+        "functions": """
+            (method_declaration name: (identifier) @function.name parameters: (formal_parameters) @function.params body: (block) @function.body) @function.def
+            (constructor_declaration name: (identifier) @function.name parameters: (formal_parameters) @function.params body: (constructor_body) @function.body) @function.def""",
+        "classes": """
+            (class_declaration name: (identifier) @class.name body: (class_body) @class.body) @class.def
+            (interface_declaration name: (identifier) @class.name body: (interface_body) @class.body) @class.def""",
+        "javadoc": "(block_comment) @javadoc",
+    },
+}

@@ -90,6 +90,14 @@ def function_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return inner.select(source.alias("source"), _definition_id("func", "target_path").alias("target"), F.lit("calls").alias("type"), "name").distinct()
 
 
+def with_function_calls(edges: DataFrame, calls: DataFrame, targets: DataFrame, functions: DataFrame) -> DataFrame:
+    """edges and those from function to function (of calls whose line is known),
+    along which chains, flows and the reach of a change are followed."""
+    placed = calls.filter("line > 0").select("path", "name", "line").join(targets.select("path", "name", "target_path", "start_line"), ["path", "name"])
+    between = function_calls(placed, functions)
+    return edges.unionByName(between.withColumn("edge_id", edge_number("source", "target", "type", "name")))
+
+
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
     ids = nodes.select("id")

@@ -48,10 +48,11 @@ def code_map(files: DataFrame, cache: Cache | None = None, log: StepLog | None =
             functions, classes = structure.functions(parsed), structure.classes(parsed)
             imports, calls = structure.dependencies(held, parsed)
         with log.step("resolve"):
-            imports, calls = structure.resolved_imports(imports, held), structure.resolved_calls(calls, functions)
+            imports, targets = structure.resolved_imports(imports, held), saved(structure.resolved_calls(calls, functions))
         with log.step("graph"):
             nodes = saved(graph.nodes(held, functions, classes, imports))
-            return nodes, saved(graph.with_ends(graph.edges(functions, classes, imports, calls), nodes))
+            every = graph.with_function_calls(graph.edges(functions, classes, imports, targets), calls, targets, functions)
+            return nodes, saved(graph.with_ends(every, nodes))
 
     if cache is None:
         return build()
