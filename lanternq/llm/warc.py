@@ -216,8 +216,8 @@ class Source:
             self.at = 0
 
 
-#: A record whose content would be longer is taken for damaged.
-MOST_BYTES = 1 << 30
+#: A binary value cannot be longer, so a longer record stays a gap.
+MOST_BYTES = (1 << 31) - (1 << 16)
 
 
 def _gzip_record(source: Source) -> tuple[dict[str, str], bytes, int]:
@@ -245,21 +245,22 @@ def _gzip_record(source: Source) -> tuple[dict[str, str], bytes, int]:
     return fields, block, used
 
 
+HEAD_END, HEAD_BYTES = re.compile(rb"\r\n\r\n"), 4096
 LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
 
 
 def _plain_record(source: Source) -> tuple[dict[str, str], bytes, int]:
     """The record that the source starts with: its head first, then as much as that states."""
-    head = 0
-    while head < 1 << 16:
-        source.need(head + 4096)
-        end = source.data.find(b"\r\n\r\n", source.at, source.at + (1 << 16))
-        if end >= 0 or len(source) < head + 4096 or not VERSION_LINE.match(source.data, source.at):
+    end, looked = -1, 0
+    while end < 0 and (not looked or VERSION_LINE.match(source.data, source.at)):
+        source.need(looked + HEAD_BYTES)
+        end = source.find(HEAD_END, max(0, looked - 3))
+        if len(source) < looked + HEAD_BYTES:
             break
-        head += 4096
-    end = source.data.find(b"\r\n\r\n", source.at, source.at + (1 << 16))
+        looked += HEAD_BYTES
     if end < 0 or not VERSION_LINE.match(source.data, source.at):
         raise Damaged("no version line or no end of the header")
+    end += source.at
     stated = LENGTH.search(source.data, source.at, end + 2)
     wanted = end - source.at + 4 + (int(stated[1]) if stated else 0) + 4
     if wanted > MOST_BYTES:
@@ -268,15 +269,23 @@ def _plain_record(source: Source) -> tuple[dict[str, str], bytes, int]:
     return parse_record(source.view(0, wanted))
 
 
-def _starts_record(data: bytes) -> bool:
-    try:
-        return bool(VERSION_LINE.match(zlib.decompressobj(31).decompress(data, 64)))
-    except zlib.error:
-        return False
+def _starts_record(source: Source, at: int) -> bool:
+    """Whether a gzip member at a place opens with a version line, however long its header is."""
+    z, plain = zlib.decompressobj(31), b""
+    while len(plain) < 16 and not z.eof:
+        source.need(at + LOOK_BYTES)
+        if at >= len(source):
+            break
+        try:
+            plain += z.decompress(source.view(at, min(len(source), at + LOOK_BYTES)), 64)
+        except zlib.error:
+            return False
+        at += LOOK_BYTES
+    return bool(VERSION_LINE.match(plain))
 
 
 START = re.compile(rb"WARC/\d\.\d+\r?\n|" + re.escape(GZIP_MAGIC))
-#: Of a gzip header that may start a record, so much is looked at.
+#: Of a gzip member that may start a record, so much is looked at at a time.
 LOOK_BYTES = 4096
 
 
@@ -294,8 +303,7 @@ def _skip(source: Source) -> None:
                 return
             continue
         if source.data[source.at + at] == GZIP_MAGIC[0]:
-            source.need(at + LOOK_BYTES)
-            if not _starts_record(source.view(at, at + LOOK_BYTES)):
+            if not _starts_record(source, at):
                 source.drop(at)
                 start = 1
                 continue
