@@ -360,9 +360,10 @@ def java_candidates(name: Column) -> Column:
 
 
 def candidates(path: Column, ext: Column, name: Column) -> Column:
-    return (
-        F.when(ext == ".py", python_candidates(path, name)).when(ext == ".java", java_candidates(name)).otherwise(js_candidates(path, name))
-    )
+    """Paths that an import may mean, best first; they begin with a slash if the file's own does."""
+    found = F.when(ext == ".py", python_candidates(path, name)).when(ext == ".java", java_candidates(name)).otherwise(js_candidates(path, name))
+    rooted = F.transform(found, lambda x: F.when(x.startswith("/"), x).otherwise(F.concat(F.lit("/"), x)))
+    return F.when(path.startswith("/"), rooted).otherwise(found)
 
 
 def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
