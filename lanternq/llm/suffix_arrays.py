@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, partitions, resting, text_of, written
+from .common import drop_scratch, partitions, resting, slices, text_of, written
 
 WINDOW = 50
 ANCHOR = 20
@@ -329,6 +329,10 @@ def _told(sent: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(resting(run), TOLD)
 
 
+def _of_text(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return _mixed(key + _mixed((doc.astype(np.uint64) + np.uint64(1)) * _ODD))
+
+
 def _digest(passage: bytes) -> int:
     return xxhash.xxh3_64_intdigest(passage) - (1 << 63)
 
@@ -340,21 +344,25 @@ def _passages(held: DataFrame, buckets: int, window: int, anchor: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
         for batch in batches:
-            if len(given) > GIVEN:
-                given.clear()
-            for own, document, text, keys in zip(*(batch.column(c) for c in ("own", "document", "text", "keys"))):
-                data = text.as_py().encode()
-                key, _, first, count = anchored_runs([data], window, anchor)
+            for part in slices(batch, "text", PIECE_BYTES):
+                if len(given) > GIVEN:
+                    given.clear()
+                texts = [t.as_py().encode() for t in part.column("text")]
+                key, doc, first, count = anchored_runs(texts, window, anchor)
                 key = short_keys(key, buckets)
-                stay = np.isin(key, np.concatenate([np.asarray(k.values) for k in keys]).astype(np.uint64))
-                first, count = first[stay].tolist(), count[stay].tolist()
-                parts = [data[a : a + n + window - 1] for a, n in zip(first, count)]
-                same = [pa.array(np.full(len(parts), x.as_py()), pa.int64()) for x in (own, document)]
-                key, digests, fresh = key[stay].astype(np.int64), list(map(_digest, parts)), []
-                for k, digest, part in zip(key.tolist(), digests, parts):
-                    fresh.append(None if (name := (k, digest)) in given else part)
-                    given.add(name)
-                yield _arrow(PASSAGE, *same, key, digests, first, count, fresh)
+                told = [np.concatenate([np.asarray(k.values) for k in keys]).astype(np.uint64) for keys in part.column("keys")]
+                own = np.repeat(np.arange(len(told)), [len(k) for k in told])
+                # A key of another text may be taken for this one's, which costs a passage and changes nothing.
+                stay = np.isin(_of_text(key, doc), _of_text(np.concatenate(told), own))
+                key, doc, first, count = key[stay].astype(np.int64), doc[stay], first[stay], count[stay]
+                digests, fresh = [], []
+                for k, i, a, z in zip(key.tolist(), doc.tolist(), first.tolist(), (first + count + window - 1).tolist()):
+                    passage = texts[i][a:z]
+                    digests.append(digest := _digest(passage))
+                    fresh.append(None if (k, digest) in given else passage)
+                    given.add((k, digest))
+                same = (part.column(c).take(pa.array(doc)) for c in ("own", "document"))
+                yield _arrow(PASSAGE, *same, key, digests, first.astype(np.int32), count.astype(np.int32), fresh)
 
     return held.select("own", "document", "text", "keys").mapInArrow(resting(run), PASSAGE)
 
