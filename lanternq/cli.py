@@ -13,7 +13,7 @@ from .plans.cache import Cache
 from .plans.engine import code_map, context, question_keywords, semantic_hits
 from .plans.progress import StepLog
 from .plans.prompt import ChatSession, prompt
-from .sources.corpus import read_tree
+from .sources.tree_source import read_source_tree
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{name}: {value}")
         return 0
     spark = SparkSession.builder.appName("lanternq").getOrCreate()
-    files = read_tree(spark, args.path, strict=False).filter("content is not null")
+    files = read_source_tree(spark, args.path, strict=False).filter("content is not null")
     cache = Cache(spark, args.cache, config.cache_ttl_seconds) if args.cache else None
 
     def prompt_of(question: str) -> str:

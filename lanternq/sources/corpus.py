@@ -36,7 +36,9 @@ def read_tree(
     spark: SparkSession, root: str, extensions: list[str] | None = None, ignores: list[str] = fixed.SEARCH_IGNORES, strict: bool = True
 ) -> DataFrame:
     """Files below root: path (from root on, with a leading slash), file_name,
-    ext, language, size_bytes, mtime, content, error.
+    ext, language, size_bytes, mtime, content, error.  Spark's own file listing
+    leaves out empty files and names that begin with a dot or an underscore;
+    ``tree_source.read_source_tree`` has them and lists no ignored folder.
 
     Bytes that are no UTF-8 give a row with an error and no content, or, if not
     strict, are left out of the content.
