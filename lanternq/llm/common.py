@@ -104,13 +104,16 @@ class Remembered(dict):
 
     Beyond ``megabytes`` of keys and values, those not met again since the last
     such turn are forgotten, which bounds the memory of a worker at twice that.
+    Keys of more than ``longest`` characters are made anew each time.
     """
 
-    def __init__(self, make: Callable[[str], object], megabytes: int):
-        self.make, self.limit = make, megabytes << 20
+    def __init__(self, make: Callable[[str], object], megabytes: int, longest: int = sys.maxsize):
+        self.make, self.limit, self.longest = make, megabytes << 20, longest
         self.older, self.held = {}, 0
 
     def __missing__(self, key: str) -> object:
+        if len(key) > self.longest:
+            return self.make(key)
         if self.held >= self.limit:
             self.older, self.held = dict(self), 0
             self.clear()

@@ -22,7 +22,9 @@ their texts; an empty table gives no documents.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Remembered, fresh_path, packed, partitions, written
+from .common import Remembered, byte_characters, fresh_path, packed, partitions, written
 from .storage import AtomicFile, reader
 
 END_ID = 2
@@ -47,17 +49,45 @@ FOOTER_MAGIC = 0x8F92EAB1
 FRAME = struct.Struct("<IIIqII")
 FOOTER = struct.Struct("<QQQII")
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("null", "u1")])
-#: Megabytes of words with their ids that a worker remembers (twice this at most).
-REMEMBERED = 24
-#: A longer word is not remembered.
+#: Megabytes of pieces, and of words, with their ids that a worker remembers (twice this at most).
+PIECES_MB, WORDS_MB = 48, 24
+#: A longer word or piece is not remembered.
 LONG_WORD = 64
+#: Characters that are encoded at once.
+BLOCK_CHARS = 1 << 14
+#: How the tokenizer file normalises and splits; texts are split here only if it does.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Blanks, and letters, digits and signs that normalisation only lower-cases.
+PLAIN = re.compile("[\t\n\r -~¡§«°»¿À-ÖØ-öø-įı-ſ–—‘’“”…€]*")
+#: ``SPLIT`` for such characters in lower case (letters first: no branch before them begins with one).
+PIECES = re.compile(r"[a-zß-öø-ſ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t\n\r 0-9a-zß-öø-ſ]+")
+
+
+def blocks(text: str) -> Iterator[str]:
+    """A text in parts of ``BLOCK_CHARS`` and what is left of a word."""
+    start = 0
+    while (end := text.find(" ", start + BLOCK_CHARS)) >= 0:
+        yield text[start:end]
+        start = end
+    yield text[start:]
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space and case.
 
-    No token of such a tokenizer spans white space, so the library encodes a
-    word once and its ids are looked up from then on.
+    ``PLAIN`` texts are split here into the pieces that the tokenizer file
+    asks for, and the library's model encodes a piece once; its ids are looked
+    up from then on.  The library's own way to a word's pieces costs more than
+    its model, and most words that are new have known pieces.
+
+    No token spans white space, so a text is taken in blocks that end there.
+    A block that is not plain, or holds the string of a special token, is taken
+    word by word, and such words go through the whole of the library.
     """
 
     def __init__(self, path: str):
@@ -65,15 +95,42 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = Remembered(self._word, REMEMBERED)
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.shown = str.maketrans({chr(b): c for c, b in byte_characters().items()})
+        held = json.loads(self.tokenizer.to_str())
+        #: Whether texts can be split here.
+        self.splits = (
+            (held["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and (held["pre_tokenizer"] or {}).get("pretokenizers") == PRE_TOKENIZERS
+            and not any(t["normalized"] for t in held["added_tokens"])
+        )
+        self.pieces = Remembered(self._piece, PIECES_MB, LONG_WORD)
+        self.known = Remembered(self._word, WORDS_MB, LONG_WORD)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return packed([t.id for t in self.model.tokenize(shown)])
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
 
     def _word(self, word: str) -> bytes:
+        if self._is_plain(word):
+            return self._plain(word)
         return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def _is_plain(self, text: str) -> bool:
+        return self.splits and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def _block(self, text: str) -> bytes:
+        if self._is_plain(text):
+            return self._plain(text)
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+
     def encode(self, text: str) -> bytes:
         """Little-endian ids of a text."""
-        known = self.known
-        return b"".join([known[w] if len(w) <= LONG_WORD else self._word(w) for w in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self._block, blocks(text)))
 
 
 @lru_cache(maxsize=2)

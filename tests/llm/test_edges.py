@@ -1,6 +1,7 @@
 """Defined results for odd rows, and the parts of the operators one by one."""
 
 import io
+import json
 import random
 import resource
 import time
@@ -181,6 +182,48 @@ def test_word_encoder_agrees_with_the_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def agrees(encoder, text):
+    return np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_splits_plain_characters_as_the_library():
+    encoder = token_files.WordEncoder(WORD_FILE)
+    plain = [c for c in map(chr, range(0x2100)) if token_files.PLAIN.fullmatch(c)]
+    assert encoder.splits and len(plain) > 300
+    for a in plain:
+        assert agrees(encoder, "".join(f"{a}{b}x{b}{a} " for b in plain))
+    dice = random.Random(0)
+    assert all(agrees(encoder, "".join(dice.choices([*plain, "'", "'s", "'LL", " "], k=300))) for _ in range(200))
+    assert not encoder.known
+
+
+def test_word_encoder_asks_only_the_model_for_new_words_of_plain_characters(monkeypatch):
+    encoder = token_files.WordEncoder(WORD_FILE)
+    text = "Zorbelin, (zorbelin) ZORBELIN's élan... 12\n\tzorbelin!"
+    wanted = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    asked = []
+    monkeypatch.setattr(encoder.pieces, "make", lambda p, f=encoder.pieces.make: asked.append(p) or f(p))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == wanted
+    assert asked == ["zorbelin", ",", "(", ")", "'s", "élan", "...", "1", "2", "!"]
+
+
+def test_word_encoder_in_blocks(monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_CHARS", 5)
+    encoder = token_files.WordEncoder(WORD_FILE)
+    for text in ["", " ", "a" * 70, "one two  three\nfour ", "x <|endoftext|> plain words ̈é e\u0301 x", *(noise(seed, 60) for seed in range(200))]:
+        assert "".join(token_files.blocks(text)) == text and agrees(encoder, text)
+    assert max(map(len, encoder.pieces)) <= token_files.LONG_WORD
+
+
+def test_word_encoder_leaves_other_tokenizer_files_to_the_library(tmp_path):
+    held = json.load(open(WORD_FILE))
+    del held["normalizer"]["normalizers"][2]  # keeps case
+    (tmp_path / "cased.json").write_text(json.dumps(held))
+    encoder = token_files.WordEncoder(str(tmp_path / "cased.json"))
+    assert not encoder.splits and agrees(encoder, "Some Words, in CASES it's 12") and not encoder.pieces
+
+
 def test_token_file_reads_only_the_frames_asked_for(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FRAME_IDS", 100)
     uri = f"file://{tmp_path}/x.tok.zst"
