@@ -103,11 +103,16 @@ def _pattern(tokens: list[str], at: int) -> tuple[Pattern, int]:
     if token != "(":
         raise BadPattern(f"{token or 'the end'} where a pattern should begin")
     at += 1
-    if tokens[at : at + 1] in (["("], ["["]):  # a group of one
+    if tokens[at : at + 1] in (["("], ["["]):  # a group of one, and its tests
         out, at = _pattern(tokens, at)
         item, at = _counted(tokens, at, Item(out))
+        tests = []
+        while tokens[at : at + 1] == ["("] and tokens[at + 1 : at + 2] and tokens[at + 1][0] == "#":
+            test, at = _test(tokens, at)
+            tests.append(test)
         if tokens[at : at + 1] != [")"]:
             raise BadPattern("groups of several patterns are not known")
+        _attach(out, tests)
         return out, at + 1
     kind = tokens[at] if at < len(tokens) else ""
     if not re.fullmatch(r"[A-Za-z_]\w*", kind):

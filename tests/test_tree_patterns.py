@@ -115,6 +115,15 @@ def test_patterns(tree, query, wanted):
         assert found(tree, query) == wanted
 
 
+def test_a_group_keeps_its_tests(tree):
+    grouped = patterns.parse('((call function: (identifier) @f) @c (#eq? @f "g") (#match? @c "x"))')
+    assert [(p.type, p.tests, p.items[0].pattern.tests) for p in grouped] == [("call", [("#match?", "x")], [("#eq?", "g")])]
+    assert found(tree, '(call function: ((identifier) @f (#eq? @f "g"))) ((pass_statement) @p (#eq? @p "other"))') == [("f", "g")]
+    for bad in ('((identifier) @i (#eq? @i "x")', '((identifier) @i (#eq? @i "x") (call))', '((identifier) @i (#any? @i "x"))'):
+        with pytest.raises(patterns.BadPattern):
+            patterns.parse(bad)
+
+
 def plain(pattern, node, kids):
     """Whether a node matches, and the captures of all its matches, by trying every choice of children."""
     if pattern.choices:
