@@ -2,7 +2,8 @@
 
 The index says for each run of three ASCII characters (in lower case) which
 files have it in a line; it is a table bucketed and sorted by the trigram, so
-that a look-up reads the buckets it asks for.  A regular expression is turned
+that a look-up reads the buckets it asks for.  Files are numbers in it, and the
+trigrams of many files are made at once, by array operations over their bytes.  A regular expression is turned
 into a tree of trigrams that every line it matches must hold, joined by *and*
 and *or*.  Files whose postings fulfil the tree are candidates, and only their
 lines are searched; a pattern that asks for no trigram is searched for in all
@@ -17,12 +18,16 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import fresh_path
+from ..shared import drop_scratch, fresh_path, written
 from ..sources.corpus import lines
 from . import search
 
@@ -209,22 +214,74 @@ def fulfilled(tree: tuple) -> Column:
 
 # -- index ----------------------------------------------------------------
 
+#: Bytes of a text whose trigrams are told apart at once.
+PIECE = 4 << 20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+HELD = np.zeros(256, bool)
+HELD[[9, *range(0x20, 0x7F)]] = True
+
+
+def codes(text: bytes) -> np.ndarray:
+    """The different trigrams of a text in UTF-8, each as a number of 21 bits, in order.
+    A line's end is no plain character, so none reaches over it."""
+    found = []
+    for low in range(0, max(1, len(text) - 2), PIECE):
+        part = LOWER[np.frombuffer(text, np.uint8, min(PIECE + 2, len(text) - low), low)]
+        plain, part = HELD[part], part.astype(np.int32)
+        found.append(np.unique((part[:-2] << 14 | part[1:-1] << 7 | part[2:])[plain[:-2] & plain[1:-1] & plain[2:]]))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+POSTINGS = "trigram string, base bigint, offsets array<int>, paths array<string>"
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch of files a row for each of its trigrams with the places
+    of the files that have it, and one with the batch's paths."""
+    base = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        texts = batch.column("content").cast(pa.large_binary())
+        each = [codes(x.as_buffer()) if x.is_valid else np.empty(0, np.int32) for x in texts]
+        every = np.concatenate(each or [np.empty(0, np.int32)])
+        order = np.argsort(every, kind="stable")
+        files = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])[order]
+        known, first = np.unique(every[order], return_index=True)
+        names = [chr(c >> 14) + chr(c >> 7 & 127) + chr(c & 127) for c in known.tolist()]
+        n = len(known)
+        offsets = pa.ListArray.from_arrays(pa.array(np.append(first, len(files)).astype(np.int32)), pa.array(files))
+        paths = batch.column("path").cast(pa.string())
+        columns = [
+            pa.array([*names, None], pa.string()),
+            pa.array(np.full(n + 1, base)),
+            pa.concat_arrays([offsets, pa.nulls(1, offsets.type)]),
+            pa.concat_arrays([pa.nulls(n, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(paths)], pa.int32()), paths)]),
+        ]
+        base += batch.num_rows
+        yield pa.RecordBatch.from_arrays(columns, ["trigram", "base", "offsets", "paths"])
+
 
 def postings(files: DataFrame) -> DataFrame:
-    """trigram, path: each once."""
-    line = F.lower("line")
-    every = F.transform(F.sequence(F.lit(1), F.length(line) - 2), lambda i: F.substring(line, i, F.lit(3)))
-    rows = lines(files).filter(F.length("line") >= 3).select("path", F.explode(F.array_distinct(every)).alias("trigram"))
-    return rows.filter(F.col("trigram").rlike(r"^[\x20-\x7e\t]{3}$")).distinct()
+    """trigram, base, offsets: the numbers (base and an offset) of the files that
+    have a trigram in a line; and rows without a trigram, whose paths are
+    those of the numbers from base on.  Numbers are those of a run, so the
+    rows are to be written before they are used."""
+    return files.select("path", "content").mapInArrow(_posted, POSTINGS)
 
 
 def build_index(files: DataFrame, buckets: int | None = None, name: str | None = None, path: str | None = None) -> str:
-    """Writes the index of files (path, content) as a bucketed table, whose name it returns."""
+    """Writes the index of files (path, content) as a bucketed table, whose name
+    it returns, and the paths of its numbers as a table beside it."""
     spark = files.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = name or f"trigrams_{uuid.uuid4().hex}"
-    rows = postings(files).repartition(buckets, "trigram")
-    rows.write.bucketBy(buckets, "trigram").sortBy("trigram").option("path", path or fresh_path(spark, "trigrams")).saveAsTable(name)
+    path = path or fresh_path(spark, "trigrams")
+    every = written(postings(files), "postings")
+    numbers = every.filter("trigram is null").select("base", F.posexplode("paths").alias("at", "path")).select((F.col("base") + F.col("at")).alias("number"), "path")
+    numbers.write.option("path", f"{path}-files").saveAsTable(f"{name}_files")
+    rows = every.filter("trigram is not null").select("trigram", "base", "offsets").repartition(buckets, "trigram")
+    rows.write.bucketBy(buckets, "trigram").sortBy("trigram").option("path", path).saveAsTable(name)
+    drop_scratch(every)
     return name
 
 
@@ -234,7 +291,9 @@ def candidates(spark: SparkSession, index: str, pattern: str) -> DataFrame | Non
     if tree == ALL:
         return None
     held = spark.table(index).filter(F.col("trigram").isin(known_trigrams(tree)))
-    return held.groupBy("path").agg(fulfilled(tree).alias("may")).filter("may").select("path")
+    held = held.select("trigram", "base", F.explode("offsets").alias("offset")).select("trigram", (F.col("base") + F.col("offset")).alias("number"))
+    some = held.groupBy("number").agg(fulfilled(tree).alias("may")).filter("may")
+    return spark.table(f"{index}_files").join(some, "number", "left_semi").select("path")
 
 
 def indexed_search(files: DataFrame, index: str, pattern: str, max_results: int | None = 100, case_sensitive: bool = False, whole_word: bool = False, regex: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,20 @@ def test_replacement_signs_stay(spark):
     raw = "ä�b".encode() + b"\xff" + "é�".encode() + b"\xc3"
     got = spark.createDataFrame([(bytearray(raw),)], "b binary").select(corpus.tolerant(F.col("b").cast("string")).alias("t")).first().t
     assert got == "ä�bé�"
+
+
+def test_index_of_a_long_line(spark, monkeypatch):
+    """Trigrams are cut in one pass: by a substring from the line's start for each, this took minutes."""
+    rng = random.Random(7)
+    texts = {"long": "".join(rng.choice("abcdefgh é\t") for _ in range(1_000_000)) + "zqX y\nzq", "short": "zq\r\nxa", "none": None, "two": "z"}
+    files = written(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    start = time.monotonic()
+    index = trigrams.build_index(files)
+    assert [r.path for r in trigrams.candidates(spark, index, "zqx").collect()] == ["long"]
+    assert time.monotonic() - start < 60
+    kept = {x[i : i + 3] for t in texts.values() for x in re.split("\r?\n", (t or "").lower()) for i in range(len(x) - 2)}
+    assert {r.trigram for r in spark.table(index).select("trigram").collect()} == {x for x in kept if "é" not in x}
+    text, whole = b"\xc3\xa9 ABC" * 40, trigrams.codes(b"\xc3\xa9 abc" * 40)
+    monkeypatch.setattr(trigrams, "PIECE", 5)
+    assert trigrams.codes(text).tolist() == whole.tolist() and len(whole) == 2
+    assert not len(trigrams.codes(b"ab")) and not len(trigrams.codes(b""))
