@@ -216,3 +216,10 @@ def test_step_log(spark):
     df, seen = progress.observed(spark.range(5), "rows")
     df.collect()
     assert seen.get == {"rows": 5}
+
+
+def test_equal_regions_have_an_order(spark):
+    """Whichever comes first, the reason of equal regions is the same."""
+    rows = [("a", 1, 2, 0, "line 1"), ("a", 1, 2, 0, "line 2")]
+    made = lambda some: spark.createDataFrame(some, "path string, start_line int, end_line int, priority int, reason string").coalesce(1)
+    assert [[tuple(r) for r in pack.merged_regions(made(some)).collect()] for some in (rows, rows[::-1])] == [[("a", 1, 2, 0, "line 2")]] * 2
