@@ -142,7 +142,9 @@ def nodes_by_type(spark, sf_dir):
 
 @query(f"{CODE_GRAPH} SELECT id, type, name FROM g_nodes WHERE path = 'src/s_1.py'")
 def nodes_in_file(spark, sf_dir):
-    return graph.nodes_in_file(_graph(spark, sf_dir)[0], "src/s_1.py").select("id", "type", "name")
+    """Only this file is parsed: no other one has a part in its nodes."""
+    files = _code(spark, sf_dir).filter(F.col("path") == "src/s_1.py")
+    return graph.nodes_in_file(graph.nodes_of_files(files), "src/s_1.py").select("id", "type", "name")
 
 
 @query(f"{CODE_GRAPH} SELECT DISTINCT source AS id, target AS other FROM g_edges WHERE type IN ('calls', 'imports')")

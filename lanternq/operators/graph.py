@@ -19,6 +19,7 @@ from ..functions.scores import code_relevance, name_relevance
 from ..functions.text import language_of
 from ..shared import written as saved
 from ..sources.corpus import extension
+from . import structure
 
 # -- building -------------------------------------------------------------
 
@@ -121,6 +122,14 @@ def nodes_in_file(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.filter(F.col("path") == path)
 
 
+def nodes_of_files(files: DataFrame) -> DataFrame:
+    """The nodes that stand in files (path, ext, content), from these files alone: ids
+    hold their path, and what imports lead to stands in none."""
+    parsed = saved(structure.structure(files))
+    none = files.select("path", F.lit("").alias("name"), F.lit("").alias("target")).limit(0)
+    return nodes(files, structure.functions(parsed), structure.classes(parsed), none)
+
+
 def dependencies(edges: DataFrame, types: list[str] | None = None) -> DataFrame:
     """id, other: distinct targets of each source."""
     chosen = edges.filter(F.col("type").isin(types)) if types else edges

@@ -155,3 +155,13 @@ def test_index_of_a_long_line(spark, monkeypatch):
     monkeypatch.setattr(trigrams, "PIECE", 5)
     assert trigrams.codes(text).tolist() == whole.tolist() and len(whole) == 2
     assert not len(trigrams.codes(b"ab")) and not len(trigrams.codes(b""))
+
+
+def test_nodes_of_files_are_those_of_the_graph(spark, sf_dir):
+    from lanternq.catalogue import graph_queries
+
+    code = graph_queries._code(spark, sf_dir)
+    paths = ["src/s_1.py", "src/main/java/app/P3.java", "web/p2.js", "none.py"]
+    got = graph.nodes_of_files(code.filter(F.col("path").isin(paths)))
+    wanted = graph_queries._graph(spark, sf_dir)[0].filter(F.col("path").isin(paths))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
