@@ -157,6 +157,17 @@ def test_index_of_a_long_line(spark, monkeypatch):
     assert not len(trigrams.codes(b"ab")) and not len(trigrams.codes(b""))
 
 
+def test_starts_with_the_same_neighbour_share_words(spark, monkeypatch):
+    """Of 640 starts around 10 hubs, every node is reached by 64, which are few words."""
+    rows = [(f"s{i}", f"hub{i % 10}", "calls", "f") for i in range(640)]
+    edges = spark.createDataFrame(rows, "source string, target string, type string, name string").repartition(7)
+    words, kept = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, *a: (lambda x: ("word" in x.columns and words.append(x)) or x)(kept(df, *a)))
+    got = graph.related_by_bits(edges, edges.select(F.col("source").alias("id")), 2)
+    assert got.count() == 640 + 640 * 63
+    assert max(x.groupBy("node").count().agg(F.max("count")).first()[0] for x in words) <= 4
+
+
 def test_nodes_of_files_are_those_of_the_graph(spark, sf_dir):
     from lanternq.catalogue import graph_queries
 
